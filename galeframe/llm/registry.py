@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup
+from . import exact_dedup, packing
 from .common import table
 
 
@@ -12,8 +12,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {
