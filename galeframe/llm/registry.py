@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, pii
 from .common import table
 
 
@@ -16,9 +16,14 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents")))
 
 
+def op7_personal_data(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op7_personal_data": op7_personal_data,
 }
 
 ORACLES = {
