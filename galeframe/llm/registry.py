@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, packing, pii
+from . import exact_dedup, packing, pii, toxicity
 from .common import table
 
 
@@ -20,10 +20,16 @@ def op7_personal_data(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op7_personal_data": op7_personal_data,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES = {

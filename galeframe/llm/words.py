@@ -15,6 +15,10 @@ BLOCK = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[0x21:0x7F] = True
+for _kept in (slice(0x30, 0x3A), slice(0x41, 0x5B), slice(0x61, 0x7B)):
+    _SIGN[_kept] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -67,7 +71,35 @@ def _hash_chunk(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h ^ (mix((e - b).astype(np.uint64) + np.uint64(7))))
 
 
-def split(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the non-empty byte strings ``data[begin[i]:end[i]]``, which stand in order."""
+    value = np.empty(len(begin), dtype=np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, side="right")))
+        value[i:j] = _hash_chunk(data, begin[i:j], end[i:j])
+        i = j
+    return value
+
+
+def trimmed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words without ASCII signs at their ends; a word of signs alone stays as it is."""
+    b, e = begin.copy(), end.copy()
+    at = np.flatnonzero(_SIGN[data[b]]) if len(b) else np.zeros(0, dtype=np.int64)
+    while len(at):
+        b[at] += 1
+        at = at[b[at] < e[at]]
+        at = at[_SIGN[data[b[at]]]]
+    empty = b == e
+    b[empty] = begin[empty]
+    at = np.flatnonzero(_SIGN[data[e - 1]] & ~empty) if len(b) else at
+    while len(at):
+        e[at] -= 1
+        at = at[_SIGN[data[e[at] - 1]]]
+    return b, e
+
+
+def split(data: np.ndarray, bounds: np.ndarray, lower: bool, trim: bool = False) -> Words:
     """Words `[^\\x20\\x09-\\x0D]+` of the documents ``data[bounds[i]:bounds[i + 1]]``."""
     if lower:
         data = _LOWER[data]
@@ -85,13 +117,10 @@ def split(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
     begin, end = at[0::2], at[1::2]
     if len(both):
         begin, end = np.sort(np.concatenate([begin, both])), np.sort(np.concatenate([end, both]))
-    value = np.empty(len(begin), dtype=np.uint64)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, side="right")))
-        value[i:j] = _hash_chunk(data, begin[i:j], end[i:j])
-        i = j
-    return Words(data, begin, end, value, np.searchsorted(begin, bounds, side="left"))
+    first = np.searchsorted(begin, bounds, side="left")
+    if trim:
+        begin, end = trimmed(data, begin, end)
+    return Words(data, begin, end, hashes(data, begin, end), first)
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,7 +141,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
-def word_blocks(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(column: pa.Array, lower: bool, trim: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, their words) over a string column."""
     for i, j, data, bounds in blocks(column):
-        yield i, j, split(data, bounds, lower)
+        yield i, j, split(data, bounds, lower, trim)
