@@ -48,8 +48,9 @@ def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPA
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            texts = (t.as_py() for t in batch.column(1))
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                ids = found + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

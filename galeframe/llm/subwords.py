@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Different words that a task remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Bytes of text whose new words are encoded together.
+GROUP_BYTES = 4_000_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,8 +45,6 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         for at in range(0, len(words), 256):
             some = [w.decode() for w in words[at : at + 256]]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -53,23 +54,35 @@ class WordEncoder:
             for k, word in enumerate(words[at : at + 256]):
                 self.known[word] = ids[cut[k] : cut[k + 1]].tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        raw = text.encode()
-        if any(s in raw for s in self.special):  # their strings may hold or touch white space
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known = self.known
-        out = []
-        words = raw.lower().split()  # of bytes: ASCII letters and ASCII white space only
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            try:
-                out.append(b"".join(map(known.__getitem__, some)))
-            except KeyError:
-                self._learn(list({w for w in some if w not in known}))
-                self._learn(list({w for w in some if w not in known}))  # the table may have been emptied
-                out.append(b"".join(map(known.__getitem__, some)))
-        return b"".join(out)
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        group: list[list[bytes] | bytes] = []
+        size = 0
+        for text in texts:
+            raw = (text or "").encode()
+            if any(s in raw for s in self.special):  # their strings may hold or touch white space
+                group.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            else:
+                group.append(raw.lower().split())  # of bytes: ASCII letters and ASCII white space only
+            size += len(raw)
+            if size > GROUP_BYTES:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, group: list[list[bytes] | bytes]) -> Iterator[bytes]:
+        needed: set[bytes] = set()
+        for words in group:
+            if isinstance(words, list):
+                needed.update(words)
+        missing = needed - self.known.keys()
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = needed
+        self._learn(list(missing))
+        of = self.known.__getitem__
+        for words in group:
+            yield b"".join(map(of, words)) if isinstance(words, list) else words
 
 
 @functools.lru_cache(maxsize=2)
