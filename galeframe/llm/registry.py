@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, packing, pii, toxicity
+from . import exact_dedup, html_text, packing, pii, toxicity
 from .common import table
 
 
@@ -25,11 +25,16 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op6_toxicity": op6_toxicity,
+    "op4_html_text": op4_html_text,
 }
 
 ORACLES = {
