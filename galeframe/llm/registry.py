@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, html_text, packing, pii, toxicity
+from . import exact_dedup, html_text, packing, pii, token_counts, toxicity
 from .common import table
 
 
@@ -29,12 +29,17 @@ def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op6_toxicity": op6_toxicity,
     "op4_html_text": op4_html_text,
+    "op1_token_counts": op1_token_counts,
 }
 
 ORACLES = {
