@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, html_text, packing, pii, token_counts, toxicity
+from . import exact_dedup, html_text, packing, pii, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -40,6 +44,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op4_html_text": op4_html_text,
     "op1_token_counts": op1_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
