@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, html_text, packing, pii, substrings, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, packing, pii, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op9_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.label_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op1_token_counts": op1_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
 }
 
 ORACLES = {
