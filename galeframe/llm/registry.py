@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_text, packing, pii, substrings, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, packing, pii, similar, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -41,6 +43,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.label_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return similar.similar_groups(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -50,6 +56,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 ORACLES = {
