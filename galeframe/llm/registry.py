@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_text, packing, pii, similar, substrings, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, lm_scoring, packing, pii, similar, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return similar.similar_groups(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -57,6 +61,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 ORACLES = {
