@@ -271,7 +271,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
     wanted = dealt.groupBy(F.col("from.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("minimiser", "salt", "buckets", "packed_a", "packed_b", F.col("from.start").alias("start"), F.col("from.n_windows").alias("n_windows"))).alias("wanted")
     )
-    one_text = texts.where("doc_id IS NOT NULL").join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    bodies = words.squeeze(texts)
+    one_text = bodies.where("doc_id IS NOT NULL").join(wanted, "doc_id").select("doc_id", "body", "wanted")
     counted = settled(_bucket_counts(_pack(one_text, window), window))
 
     # windows of a crowded minimiser: the smallest id over its buckets
@@ -286,4 +287,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
     owners = different.select(*key, F.col("from.doc_id").alias("least_id"))
     places = shared.join(owners, key).join(told, ["packed_a", "packed_b"], "left").where("doc_id > least_id OR windows IS NOT NULL")
     found = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_windows", "least_id", "windows")).alias("found"))
-    return _finish(texts.join(found, "doc_id", "left").select("doc_id", "text", "found"), window, with_text)
+    return _finish(bodies.join(found, "doc_id", "left").select("doc_id", "body", "found"), window, with_text)

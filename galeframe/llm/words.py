@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are hashed at once; bounds the working memory of a task.
 CHUNK = 1 << 19
@@ -124,8 +126,11 @@ def split(data: np.ndarray, bounds: np.ndarray, lower: bool, trim: bool = False)
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, bounds) over a string column; null counts as empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """(from row, to row, bytes, bounds) over a column of strings or of :func:`squeeze`; null counts as empty."""
+    if pa.types.is_binary(column.type):
+        column = pa.array([zlib.decompress(v.as_py()) if v.is_valid else b"" for v in column], pa.large_binary())
+    elif not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
@@ -141,6 +146,17 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
+def squeeze(texts: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text) as (doc_id, body), the compressed text: for texts that have to be shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            bodies = [zlib.compress((t.as_py() or "").encode(), 1) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, body binary")
+
+
 def word_blocks(column: pa.Array, lower: bool, trim: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, their words) over a string column."""
     for i, j, data, bounds in blocks(column):
