@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import exact_dedup
-from galeframe.llm.common import settled, table
+from galeframe.llm import decontaminate, exact_dedup, packing, similar, toxicity
+from galeframe.llm.common import stored, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it is fitted on a bounded sample of the labelled ones."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +20,38 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
+    return similar.drop_similar(docs, n=5, threshold=Fraction(8, 10))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, each with its sequence and its place there."""
+    return packing.pack(packing.cut_documents(docs))
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", leaks),
+    ("best-fit packing", packed),
+]
 
 #: A learned score decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written once before the next reads it."""
+    """All stages over ``documents``; what a stage keeps is written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
-            docs = settled(docs)
+            docs = stored(docs)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fold(id_column, n: int):
     """crc32 of the id as text, modulo ``n``; -1 for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
