@@ -7,12 +7,13 @@ sum of the smaller counts, coordinate by coordinate, which bounds their overlap.
 The index has two levels. The upper level is a partitioning that Spark deals
 out: the hash range is cut into so many slabs that two documents similar enough
 must agree on all of some slab that is not empty (their sets differ in fewer
-shingles than there are slabs). Documents that agree on a slab are linked to the
-smallest of them, and what is connected that way is a family; no link ever
-leaves its family. The lower level is an R-tree over the count vectors of a
-family: boxes, then points, are compared by the bound, and the pairs that
-survive it are verified on the sets themselves. A family of many documents is
-split into blocks, and pairs of blocks are separate tasks.
+shingles than there are slabs). Documents that agree on a slab stand together,
+are put into an R-tree of their count vectors, and those whose bound reaches the
+threshold are connected; what is connected that way is a family, and no link
+ever leaves its family. The lower level is an R-tree over each family: boxes,
+then points, are compared by the bound, and the pairs that survive it are
+verified on the sets themselves. A family of many documents is split into
+blocks, and pairs of blocks are separate tasks.
 
 Within a task a pair whose documents are connected already is not verified
 again, so a group of copies costs as many links as it has documents.
@@ -32,8 +33,13 @@ from . import words
 from .common import settled
 from .components import components
 
-#: Coordinates of a point.
+#: Coordinates of a point, at least, and the mean count in a coordinate, at most.
 GROUPS = 64
+MEAN_COUNT = 16
+#: Documents of a slab that are held at once; a larger slab is connected without looking at its points.
+MOST_HELD = 4096
+#: Low bits of a slab key that hold its band.
+BAND_BITS = 6
 #: Points in a leaf of the R-tree.
 LEAF = 16
 #: Documents, and shingles in thousands, in a block of a family on average.
@@ -107,23 +113,47 @@ def slab_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
         if slabs - held.sum() < slabs - differ:  # fewer empty slabs than agreeing ones
             number = number[held]
         total = sums[edges[number + 1]] - sums[edges[number]]
-        out.append(words.mix(total ^ words.mix(number.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(level + 1))))
+        key = words.mix(total ^ words.mix(number.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(level + 1)))
+        out.append((key & ~np.uint64((1 << BAND_BITS) - 1)) | np.uint64(level))
     return np.concatenate(out)
 
 
+def coordinates(band: int) -> int:
+    """A power of two, so that a point of more coordinates can be folded."""
+    groups = GROUPS
+    while band_top(band) > MEAN_COUNT * groups:
+        groups *= 2
+    return groups
+
+
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((words.mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def fold_to(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(-1, groups).sum(axis=0)
+
+
+def _whole(shingles: np.ndarray) -> np.uint64:
+    """A hash of the whole set."""
+    return words.mix(np.array([words.mix(shingles).sum() ^ np.uint64(len(shingles))]))[0]
+
+
 def _facts(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key): the size of each set and a hash of the whole set."""
+    """(doc_id, n_shingles, set_key, point): the size of each set, a hash of it, and its point with counts of 255 for more."""
 
     def run(batches):
         for batch in batches:
             size = np.zeros(batch.num_rows, dtype=np.int64)
             key = np.zeros(batch.num_rows, dtype=np.uint64)
+            points = [b""] * batch.num_rows
             for row, s in shingle_sets(batch.column(1), n):
-                size[row] = len(s)
-                key[row] = words.mix(np.array([words.mix(s).sum() ^ np.uint64(len(s))]))[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64))], names=["doc_id", "n_shingles", "set_key"])
+                size[row], key[row] = len(s), _whole(s)
+                groups = coordinates(int(_band(np.array([len(s)]))[0]) + 1)
+                points[row] = np.minimum(count_vector(s, groups), 255).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64)), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_key", "point"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, point binary")
 
 
 def _keys(docs: DataFrame, n: int, threshold: Fraction, frequent: dict[int, int]) -> DataFrame:
@@ -137,7 +167,7 @@ def _keys(docs: DataFrame, n: int, threshold: Fraction, frequent: dict[int, int]
                 if len(s) == 0:
                     continue
                 if frequent:
-                    whole = int(words.mix(np.array([words.mix(s).sum() ^ np.uint64(len(s))])).view(np.int64)[0])
+                    whole = int(_whole(s).view(np.int64))
                     if frequent.get(whole, ids[row]) != ids[row]:
                         continue
                 keys = slab_keys(s, threshold)
@@ -156,10 +186,6 @@ def _keys(docs: DataFrame, n: int, threshold: Fraction, frequent: dict[int, int]
 # --- the R-tree of one block or pair of blocks
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((words.mix(shingles) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
-
-
 class RTree:
     """Points packed into leaves in the order of their sizes and first coordinates; each leaf has its box."""
 
@@ -197,7 +223,8 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     """
     rate = threshold / (1 + threshold)  # overlap >= rate * (a + b) is similarity >= threshold
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([count_vector(s) for s in sets])
+    groups = coordinates(int(_band(sizes.max())))
+    points = np.stack([count_vector(s, groups) for s in sets])
     stored = np.arange(len(ids)) if side is None else np.flatnonzero(side == 1)
     asking = np.arange(len(ids)) if side is None else np.flatnonzero(side == 0)
     if not len(stored) or not len(asking):
@@ -219,15 +246,72 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     return out
 
 
+def near_pairs(points: np.ndarray, sizes: np.ndarray, rate: Fraction) -> list[tuple[int, int]]:
+    """Pairs that connect all points whose overlap, by the bound, may reach the threshold."""
+    if len(points) == 2:
+        both = int(np.minimum(points[0], points[1]).sum())
+        return [(0, 1)] if rate.denominator * both >= rate.numerator * int(sizes.sum()) else []
+    tree = RTree(points, sizes)
+    parent = list(range(len(points)))
+    out = []
+    for q in range(len(points)):
+        for c in tree.candidates(points[q], int(sizes[q]), rate).tolist():
+            a, b = _root(parent, q), _root(parent, c)
+            if a != b:
+                parent[a] = b
+                out.append((q, c))
+    return out
+
+
+def _near(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): documents of a slab that the bound connects; rows of a slab stand together."""
+    rate = threshold / (1 + threshold)
+
+    def run(batches):
+        key, ids, sizes, points, whole = None, [], [], [], False
+        out: list[tuple[int, int]] = []
+
+        def finish():
+            if whole:  # too many to hold: all of them are connected, which loses no link
+                out.extend((ids[0], i) for i in ids[1:])
+            elif len(ids) > 1:
+                groups = coordinates(key & ((1 << BAND_BITS) - 1))
+                held = np.stack([fold_to(np.frombuffer(p, dtype=np.uint8).astype(np.int32) + (np.frombuffer(p, dtype=np.uint8) == 255) * 1_000_000, groups) for p in points])
+                out.extend((ids[a], ids[b]) for a, b in near_pairs(held, np.array(sizes), rate) if ids[a] != ids[b])
+
+        def batch_out():
+            done = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            for k, doc_id, size, point in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if k != key:
+                    finish()
+                    key, ids, sizes, points, whole = k, [], [], [], False
+                ids.append(doc_id)
+                sizes.append(size)
+                points.append(point)
+                if len(ids) > MOST_HELD:
+                    whole = True
+                    out.extend((ids[0], i) for i in ids[1:])
+                    ids, sizes, points = ids[:1], sizes[:1], points[:1]
+            yield batch_out()
+        finish()
+        yield batch_out()
+
+    return members.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """The rows with the text replaced by the set; all other columns stay."""
-    columns = [c for c in docs.columns if c != "text"]
+    """The rows with the compressed text replaced by the set; all other columns stay."""
+    columns = [c for c in docs.columns if c != "body"]
     schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in columns) + ", shingles binary"
 
     def run(batches):
         for batch in batches:
             sets = [b""] * batch.num_rows
-            for row, s in shingle_sets(batch.column(batch.schema.get_field_index("text")), n):
+            for row, s in shingle_sets(batch.column(batch.schema.get_field_index("body")), n):
                 sets[row] = s.tobytes()
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(sets, pa.binary())], names=[*columns, "shingles"])
 
@@ -284,20 +368,22 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     equal = known.join(of_set, "set_key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
 
     named = texts.where("doc_id IS NOT NULL")
-    slab = Window.partitionBy("key")
-    agreed = _keys(named, n, threshold, frequent).withColumn("least", F.min("doc_id").over(slab)).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    slab = _keys(named, n, threshold, frequent).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+    members = slab.select("doc_id", "key").join(known.select("doc_id", "n_shingles", "point"), "doc_id")
+    agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold).distinct()
     families = settled(components(agreed).select(F.col("id").alias("doc_id"), F.col("component").alias("family")))
 
     # blocks of a family by hash, so that no task ever holds a family; pairs of blocks are dealt out
     sized = families.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
     crowd = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / (1000 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = families.join(crowd, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = _sets(named.join(placed, "doc_id").select("doc_id", "family", "blocks", "block", "text"), n)
+    sets = _sets(words.squeeze(named).join(placed, "doc_id").select("doc_id", "family", "blocks", "block", "body"), n)
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("doc_id", "family", "block", "shingles", pairs).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "shingles")
     together = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
     links = settled(equal.unionByName(_verified(together, threshold)))
     found = components(links)
+    facts = facts.select("doc_id", "n_shingles")
     return facts.join(found, facts["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
