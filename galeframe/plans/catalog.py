@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from galeframe.plans import scalars, series  # noqa: F401  they register their queries
+from galeframe.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "scan_events_profile"
+FLAGSHIP = "W8_episodes"
 
-
-def scan_events_profile(spark, sf_dir):
-    """Row count and value range of the events table by event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-
-
-QUERIES = {"scan_events_profile": scan_events_profile}
-ORACLES = {"scan_events_profile": "SELECT event_type, count(*) AS n_rows, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY event_type"}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
