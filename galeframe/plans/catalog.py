@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeframe.plans import aggregates, scalars, series  # noqa: F401  they register their queries
+from galeframe.plans import aggregates, joins, metrics, scalars, series  # noqa: F401  they register their queries
 from galeframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "W8_episodes"
