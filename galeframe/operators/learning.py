@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_FEATURES = 512
 
@@ -108,7 +109,7 @@ def nystroem_map(centres: np.ndarray, gamma: float, jitter: float = 1e-6) -> np.
 def nystroem_features(df: DataFrame, vector: str, centres: np.ndarray, gamma: float, name: str = "z") -> DataFrame:
     """``df`` with the Nystroem features of a vector; blocks of rows meet the landmarks in one product."""
     root = nystroem_map(centres, gamma)
-    schema = df.schema.add(name, "array<double>")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
