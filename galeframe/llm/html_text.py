@@ -180,6 +180,22 @@ f0 30 0.0 0|f0 80 0.0 0|n1 4 0.0 1|n0 31 0.0 1|n0 8 0.0 1|n0 44 0.0 1|f0 90 0.02
 f0 1 1.0 0|a1 9 0.0 1|a0 60 0.0 1|a0 1 0.0 1|a0 35 0.0 1|a0 2 0.0 1|a0 90 0.0 1|a0 1 0.0 1|a0 22 0.0 1|f0 2 0.0 0
 a1 4 0.0 1|a0 12 0.0 1|a0 2 0.0 1|a0 70 0.0 1|a0 1 1.0 1|a0 3 0.8 1|a0 41 0.0 1|a0 1 0.0 1|a0 140 0.0 1|f0 1 1.0 0
 n0 3 1.0 0|a1 12 0.0 1|a0 85 0.0 1|a0 2 0.0 1|a0 8 0.0 1|a0 2 1.0 1|a0 30 0.7 1|a0 2 0.0 1|a0 95 0.0 1|n0 1 0.0 0
+n0 1 1.0 0|n0 1 1.0 0|n0 60 0.0 1|n0 52 0.0 1|n0 64 0.0 1|n0 1 1.0 0|n0 2 0.0 0
+n0 2 1.0 0|n0 3 1.0 0|n0 1 1.0 0|n0 35 0.1 1|n0 80 0.0 1|n0 27 0.0 1|n0 2 1.0 0|n0 3 1.0 0|n0 4 0.0 0
+a0 200 0.0 1
+a0 7 0.0 1
+a1 5 0.0 1|a0 60 0.0 1|a0 3 0.0 1
+a0 40 0.0 1|a0 1 1.0 1
+f0 3 1.0 0|a0 2 0.0 1|a0 90 0.0 1|a0 2 1.0 1
+a1 2 0.0 1|a0 300 0.0 1
+n0 80 0.0 1
+n0 30 0.0 1|n0 45 0.0 1
+f0 2 1.0 0|a0 5 1.0 1|a0 1 0.0 1|a0 20 0.0 1
+a0 12 0.0 1|a0 4 1.0 1|a0 9 0.0 1
+a0 3 1.0 1|a0 15 0.0 1
+f0 1 1.0 0|a1 6 0.0 1|a0 2 1.0 1|a0 2 0.0 1
+n0 3 1.0 0|n0 12 0.9 0|n0 2 0.0 0
+f0 5 0.0 0|n0 2 1.0 0|n0 3 0.0 0
 """
 
 
@@ -225,7 +241,7 @@ def trained_tree():
 def is_main(tree, row) -> bool:
     while isinstance(tree, tuple):
         tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree >= 0.5
+    return tree > 0.5
 
 
 def main_text(page: str | None, tree=None) -> str:
