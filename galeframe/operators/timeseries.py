@@ -200,3 +200,9 @@ def label_budgets(df: DataFrame, keys: list[str], id_column: str, seed: int, bud
     """Nested label sets: a row is in every budget that is at least its shuffled rank."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*hashed_order(id_column, seed))))
     return ranked.select("*", F.explode(F.array([F.lit(b) for b in budgets])).alias("budget")).where("__rank <= budget").drop("__rank")
+
+
+def rows_of_windows(df: DataFrame, keys: list[str], order: list[str], is_target: str, width: int) -> DataFrame:
+    """The rows that stand in the lag window of a wanted target: only these may feed fitted statistics."""
+    ahead = _by(keys, order).rowsBetween(1, width)
+    return df.withColumn("__used", F.max(F.col(is_target).cast("int")).over(ahead)).where("__used = 1").drop("__used")

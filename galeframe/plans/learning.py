@@ -95,3 +95,39 @@ def ridge_weights(spark, sf_dir):
 def residual_intervals(spark, sf_dir):
     rows = forecasts(spark, sf_dir).select("window_index", "seed", "prediction", (F.col("y") - F.col("prediction")).alias("residual"))
     return ln.residual_intervals(rows, "prediction", "residual").select("window_index", "seed", "bin", r("lower").alias("lower"), r("upper").alias("upper"))
+
+
+@query("T16_kernel_ridge")
+def kernel_ridge(spark, sf_dir):
+    """Ridge on Nystroem features: kernel ridge with a bounded number of landmarks."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
+    w, b = ln.ridge(ln.moments(features, "z", "y", "is_target"), 0.1)
+    return ln.predict_linear(features, "z", w, b).select("vec_id", r("prediction", 5).alias("prediction"))
+
+
+@query("T17_kernel_quantiles")
+def kernel_quantiles(spark, sf_dir):
+    """Lower and upper quantile by certified pinball fits, endpoints in order."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
+    jobs = spark.createDataFrame([("low", 0.05, 0), ("high", 0.95, 0)], "job string, tau double, seed int")
+    fits = {f["job"]: f for f in ln.fit_jobs(features, jobs, "z", "y", penalty=0.1).collect()}
+    out = features
+    for name in ("low", "high"):
+        out = ln.predict_linear(out, "z", np.array(fits[name]["weights"]), fits[name]["intercept"], name)
+    return out.select("vec_id", F.least("low", "high").alias("lower"), F.greatest("low", "high").alias("upper"))
+
+
+@query("T21_stacking")
+def stacking(spark, sf_dir):
+    """A ridge over the predictions of a forest, boosted trees and a ridge, fitted on rows that those did not see."""
+    rows = _vectors(spark, sf_dir)
+    part = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(2)) == 0
+    base = rows.where(part)
+    w, b = ln.ridge(ln.moments(base, "x", "y", "is_target"), 1.0)
+    out = ln.predict_linear(rows, "x", w, b, "p0")
+    out = ln.predict_ml(out, ln.forest(base, "x", "y", trees=8, depth=4), "x", "p1")
+    out = ln.predict_ml(out, ln.boosted(base, "x", "y", rounds=4), "x", "p2").withColumn("p", F.array("p0", "p1", "p2"))
+    v, c = ln.ridge(ln.moments(out.where(~part), "p", "y", "is_target"), 1.0)
+    return ln.predict_linear(out, "p", v, c).select("vec_id", r("prediction", 5).alias("prediction"))

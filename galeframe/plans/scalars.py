@@ -201,6 +201,13 @@ def seeded_noise(spark, sf_dir):
     return site_series(spark, sf_dir).select("raw_row", fx.add_noise(F.col("power"), F.lit(0.5), F.col("raw_row"), 7).alias("noisy"))
 
 
+@query("F24_stable_seed", "SELECT n_name, substr(sha256('7|' || n_name), 1, 16) AS seed_hex FROM nation")
+def stable_seed(spark, sf_dir):
+    """The first 8 bytes of the hash that seeds come from, as hex; on the driver they are read as a little-endian integer."""
+    digest = F.sha2(F.concat(F.lit("7|"), F.col("n_name")), 256)
+    return table(spark, sf_dir, "nation").select("n_name", F.substring(digest, 1, 16).alias("seed_hex"))
+
+
 @query("F25_seed_values", "SELECT l_orderkey, l_linenumber, round(l_discount + l_tax, 6) + 0.0 AS total FROM lineitem")
 def seed_values(spark, sf_dir):
     text = F.concat(F.lit("["), F.col("l_discount"), F.lit(", "), F.col("l_tax"), F.lit("]"))

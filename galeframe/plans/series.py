@@ -66,6 +66,22 @@ def append_lag(spark, sf_dir):
     return rows.select("site", "ts", r(_flat(F.col("lags"), 6), 4).alias("mark"))
 
 
+@query("W3_fit_statistics", f"WITH {SERIES_SQL}, u AS (SELECT site, power, max(CAST(ts < TIMESTAMP '2024-01-11' AND raw_row % 5 = 0 AS INT)) OVER (PARTITION BY site ORDER BY ts, raw_row ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS used FROM series) SELECT site, count(*) AS n, round(avg(power), 6) AS mean_value, round(stddev_pop(power), 6) AS scale FROM u WHERE used = 1 GROUP BY site")
+def fit_statistics(spark, sf_dir):
+    wanted = (F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")) & (F.col("raw_row") % 5 == 0)
+    used = ts.rows_of_windows(site_series(spark, sf_dir).withColumn("is_fit", wanted), ["site"], ["ts", "raw_row"], "is_fit", 3)
+    return used.groupBy("site").agg(F.count(F.lit(1)).alias("n"), r(F.avg("power")).alias("mean_value"), r(F.stddev_pop("power")).alias("scale"))
+
+
+@query("W6_append_two_lags", f"{_CONTIGUOUS_SQL} SELECT site, ts, round(p3 + 2 * p2 + 3 * p1 + 4 * q3 + 5 * q2 + 6 * q1 + 7 * 2 * p3 + 8 * 2 * p2 + 9 * 2 * p1, 4) + 0.0 AS mark FROM w WHERE run = 3 AND rn > 3")
+def append_two_lags(spark, sf_dir):
+    base = grid(spark, sf_dir).withColumn("double", F.col("power") * 2)
+    rows = ts.contiguous_lag_windows(base.select("site", "ts", "power"), ["power"], 3, 900, ["site"])
+    for column in ("wind", "double"):
+        rows = ts.append_lag(rows, base.select("site", "ts", column), column, 3, 900, ["site"])
+    return rows.select("site", "ts", r(_flat(F.col("lags"), 9), 4).alias("mark"))
+
+
 @query("W7_ramp", f"WITH {SERIES_SQL} SELECT raw_row, round(abs(power - coalesce(lag(power) OVER (PARTITION BY site ORDER BY ts, raw_row), power)), 6) + 0.0 AS ramp FROM series")
 def ramp(spark, sf_dir):
     return ts.ramp(site_series(spark, sf_dir), "power", ["site"], ["ts", "raw_row"]).select("raw_row", r("ramp").alias("ramp"))
