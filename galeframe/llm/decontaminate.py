@@ -100,12 +100,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need
     of_items = of_items.where(F.col("length") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.col("length"), F.lit(LITERALS)))
     of_items = settled(of_items.select(F.col("id").alias("item_id"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
     totals = of_items.groupBy("item_id").agg(F.least(F.countDistinct("item_place"), F.lit(needed)).alias("need"))
-    small = of_items.count() <= BROADCAST_WINDOWS
+    small = of_items.count() <= BROADCAST_WINDOWS  # checked, else the join shuffles and adaptive execution splits a frequent window
     of_docs = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", sorted(lengths))
-    if small:
-        met = of_docs.join(F.broadcast(of_items), "key")
-    else:  # documents' windows that the benchmark lacks go first, so the join moves few rows of a frequent window
-        met = of_docs.hint("shuffle_hash").join(of_items, "key")
+    met = of_docs.join(F.broadcast(of_items) if small else of_items, "key")
     # one to one between the values of the item and those of the document
     pairs = F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d"))
     met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", pairs.alias("pairs"))
