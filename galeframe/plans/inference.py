@@ -43,12 +43,12 @@ def block_swap(spark, sf_dir):
 
 @query(
     "I5_holm",
-    """WITH p AS (SELECT o_orderpriority AS family, o_custkey AS k, round(avg(o_totalprice) / 500000 / 50, 9) AS p FROM orders WHERE o_custkey < 200 GROUP BY ALL),
+    """WITH p AS (SELECT o_orderpriority AS family, o_custkey AS k, round(avg(o_totalprice) / 500000 / 5000, 12) AS p FROM orders GROUP BY ALL),
         w AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, k) AS rn, count(*) OVER (PARTITION BY family) AS m FROM p)
         SELECT family, k, round(least(1.0, max((m - rn + 1) * p) OVER (PARTITION BY family ORDER BY rn)), 9) AS p_holm FROM w""",
 )
 def holm(spark, sf_dir):
-    p = table(spark, sf_dir, "orders").where("o_custkey < 200").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("k")).agg(F.round(F.avg("o_totalprice") / 500000 / 50, 9).alias("p"))
+    p = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("k")).agg(F.round(F.avg("o_totalprice") / 500000 / 5000, 12).alias("p"))
     return st.holm(p, ["family"], "p", ["k"]).select("family", "k", F.round("p_holm", 9).alias("p_holm"))
 
 

@@ -26,12 +26,12 @@ def moments(spark, sf_dir):
 
 @query(
     "T2_population_scaling",
-    "WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS m, stddev_pop(CAST(x AS DOUBLE)) AS sd FROM e GROUP BY pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((CAST(x AS DOUBLE) - m) / sd, 5) + 0.0 AS z FROM e JOIN s USING (pos) WHERE pos < 4",
+    "WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), s AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS m, stddev_pop(CAST(x AS DOUBLE)) AS sd FROM e GROUP BY pos) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((CAST(x AS DOUBLE) - m) / sd, 5) + 0.0 AS z FROM e JOIN s USING (pos)",
 )
 def population_scaling(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
     stats = rows.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
-    return rows.where("pos < 4").join(F.broadcast(stats), "pos").select("vec_id", "pos", r((F.col("x") - F.col("m")) / F.col("sd"), 5).alias("z"))
+    return rows.join(F.broadcast(stats), "pos").select("vec_id", "pos", r((F.col("x") - F.col("m")) / F.col("sd"), 5).alias("z"))
 
 
 @query("T1_landmarks")

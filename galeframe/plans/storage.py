@@ -34,10 +34,10 @@ def cached_site(spark, sf_dir):
     return again.groupBy("site").agg(F.count(F.lit(1)).alias("n"), r(F.sum("power"), 4).alias("total"))
 
 
-@query("S8_csv", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+@query("S8_csv", "SELECT o_orderkey, o_totalprice FROM orders")
 def csv(spark, sf_dir):
     path = shared(spark)
-    so.write_csv(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice"), path)
+    so.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path)
     return so.read_csv(spark, path, "o_orderkey long, o_totalprice double")
 
 
@@ -55,12 +55,12 @@ def model_arrays(spark, sf_dir):
     return spark.read.parquet(path).select("name", F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-@query("S13_append_log", "SELECT s_suppkey FROM supplier UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0")
+@query("S13_append_log", "SELECT s_suppkey FROM supplier UNION ALL SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
 def append_log(spark, sf_dir):
     path = shared(spark)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey")
     so.write_csv(rows, path, append=True)
-    so.write_csv(rows.where("s_suppkey % 2 = 0"), path, append=True)
+    so.write_csv(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey"), path, append=True)
     return so.read_csv(spark, path, "s_suppkey long")
 
 
