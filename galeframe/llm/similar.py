@@ -21,6 +21,7 @@ again, so a group of copies costs as many links as it has documents.
 
 from __future__ import annotations
 
+import functools
 from fractions import Fraction
 
 import numpy as np
@@ -118,6 +119,7 @@ def slab_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.concatenate(out)
 
 
+@functools.cache
 def coordinates(band: int) -> int:
     """A power of two, so that a point of more coordinates can be folded."""
     groups = GROUPS
@@ -130,8 +132,12 @@ def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((words.mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def fold_to(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(-1, groups).sum(axis=0)
+def point_of(stored: bytes, groups: int) -> np.ndarray:
+    """A stored point, folded; a count of 255 stands for any larger one and never lowers a bound."""
+    point = np.frombuffer(stored, dtype=np.uint8).astype(np.int32)
+    if b"\xff" in stored:
+        point[point == 255] = 1_000_000
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
 
 
 def _whole(shingles: np.ndarray) -> np.uint64:
@@ -198,22 +204,32 @@ class RTree:
         self.least = np.minimum.reduceat(self.sizes, starts)
         self.most = np.maximum.reduceat(self.sizes, starts)
 
-    def candidates(self, point: np.ndarray, size: int, rate: Fraction) -> np.ndarray:
-        """Numbers of the points whose overlap with ``point`` may reach ``rate`` times both sizes."""
+    def candidates(self, point: np.ndarray, size: int, rate: Fraction, apart: np.ndarray) -> np.ndarray:
+        """Numbers of the points in ``apart`` (a mask) whose overlap with ``point`` may reach ``rate`` times both sizes."""
         least = -(-rate.numerator * (size + self.least) // rate.denominator)
         leaves = np.flatnonzero((np.minimum(self.high, point).sum(axis=1) >= least) & (np.minimum(self.most, size) >= least))
         if not len(leaves):
             return np.zeros(0, dtype=np.int64)
-        at = np.concatenate([np.arange(self.starts[f], min(self.starts[f] + LEAF, len(self.points))) for f in leaves])
+        at = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+        at = at[at < len(self.points)]
+        at = at[apart[self.order[at]]]
         need = -(-rate.numerator * (size + self.sizes[at]) // rate.denominator)
         return self.order[at[np.minimum(self.points[at], point).sum(axis=1) >= need]]
 
 
-def _root(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class Groups:
+    """Which points are connected so far: a label each."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.left = n
+
+    def apart(self, x: int) -> np.ndarray:
+        return self.label != self.label[x]
+
+    def connect(self, x: int, y: int) -> None:
+        self.label[self.label == self.label[y]] = self.label[x]
+        self.left -= 1
 
 
 def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction) -> list[tuple[int, int]]:
@@ -230,35 +246,32 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     if not len(stored) or not len(asking):
         return []
     tree = RTree(points[stored], sizes[stored])
-    parent = list(range(len(ids)))
+    known = Groups(len(ids))
     out = []
     for q in asking.tolist():
-        for c in stored[tree.candidates(points[q], int(sizes[q]), rate)].tolist():
-            if side is None and c <= q:
-                continue
-            a, b = _root(parent, q), _root(parent, c)
-            if a == b:
+        if known.left == 1:
+            break
+        for c in stored[tree.candidates(points[q], int(sizes[q]), rate, known.apart(q)[stored])].tolist():
+            if known.label[c] == known.label[q]:
                 continue
             both = len(np.intersect1d(sets[q], sets[c], assume_unique=True))
             if rate.denominator * both >= rate.numerator * int(sizes[q] + sizes[c]):
-                parent[a] = b
+                known.connect(q, c)
                 out.append((int(ids[q]), int(ids[c])))
     return out
 
 
 def near_pairs(points: np.ndarray, sizes: np.ndarray, rate: Fraction) -> list[tuple[int, int]]:
     """Pairs that connect all points whose overlap, by the bound, may reach the threshold."""
-    if len(points) == 2:
-        both = int(np.minimum(points[0], points[1]).sum())
-        return [(0, 1)] if rate.denominator * both >= rate.numerator * int(sizes.sum()) else []
     tree = RTree(points, sizes)
-    parent = list(range(len(points)))
+    known = Groups(len(points))
     out = []
     for q in range(len(points)):
-        for c in tree.candidates(points[q], int(sizes[q]), rate).tolist():
-            a, b = _root(parent, q), _root(parent, c)
-            if a != b:
-                parent[a] = b
+        if known.left == 1:
+            break
+        for c in tree.candidates(points[q], int(sizes[q]), rate, known.apart(q)).tolist():
+            if known.label[c] != known.label[q]:
+                known.connect(q, c)
                 out.append((q, c))
     return out
 
@@ -275,9 +288,14 @@ def _near(members: DataFrame, threshold: Fraction) -> DataFrame:
             if whole:  # too many to hold: all of them are connected, which loses no link
                 out.extend((ids[0], i) for i in ids[1:])
             elif len(ids) > 1:
-                groups = coordinates(key & ((1 << BAND_BITS) - 1))
-                held = np.stack([fold_to(np.frombuffer(p, dtype=np.uint8).astype(np.int32) + (np.frombuffer(p, dtype=np.uint8) == 255) * 1_000_000, groups) for p in points])
-                out.extend((ids[a], ids[b]) for a, b in near_pairs(held, np.array(sizes), rate) if ids[a] != ids[b])
+                width = coordinates(key & ((1 << BAND_BITS) - 1))
+                held = [point_of(p, width) for p in points]
+                if len(ids) == 2:
+                    near = rate.denominator * int(np.minimum(*held).sum()) >= rate.numerator * sum(sizes)
+                    pairs = [(0, 1)] if near else []
+                else:
+                    pairs = near_pairs(np.stack(held), np.array(sizes), rate)
+                out.extend((ids[a], ids[b]) for a, b in pairs if ids[a] != ids[b])
 
         def batch_out():
             done = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
