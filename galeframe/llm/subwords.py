@@ -15,7 +15,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Different words that a task remembers; the table is emptied when it is full.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 4_000_000
 
