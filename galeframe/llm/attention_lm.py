@@ -136,8 +136,8 @@ class Model:
         """Squared gradients, and how often each row was touched."""
         return {name: np.zeros_like(getattr(self, name)) for name in ("embed", "bias", *self.DENSE)} | {"embed_touches": np.zeros(len(self.embed))}
 
-    def train(self, ids: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray]) -> None:
-        """One Adagrad step on a batch of windows."""
+    def train(self, ids: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray], scored: np.ndarray | None = None) -> None:
+        """One Adagrad step on the targets of a batch of windows, or on those that are ``scored`` only."""
         x, q, k, v, weight, total, z, h3 = self._forward(ids)
         weight = weight / total
         h, y = h3.reshape(-1, WIDTH), self.of[target.reshape(-1)]
@@ -146,6 +146,8 @@ class Model:
         np.exp(logits, out=logits)
         error = logits / logits.sum(axis=1, keepdims=True)
         error[np.arange(len(y)), y] -= 1
+        if scored is not None:  # each id of a text counts once, and what fills up its last window does not
+            error *= scored.reshape(-1, 1)
         dh = error @ self.head
         dh3 = dh.reshape(h3.shape)
         dz = dh3 @ self.out.T
@@ -169,7 +171,7 @@ class Model:
             "head": (slice(None), error.T @ h),
             "bias": (slice(None), error.sum(axis=0)),
         }
-        scale = 1 / len(y) ** 0.5
+        scale = 1 / max(1, len(y) if scored is None else scored.sum()) ** 0.5
         for name, (rows, gradient) in gradients.items():
             gradient = gradient * scale
             seen[name][rows] += gradient**2

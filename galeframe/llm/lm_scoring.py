@@ -3,14 +3,12 @@
 Words are counted over every training document. The subword counts that start
 the attention model follow from them, as each different word is encoded once
 for all its occurrences. The model is trained where the texts are: every task
-trains on stretches of all its training documents, from the same start, and
+trains on every id of all its training documents, from the same start, and
 what the tasks learned is averaged. Scoring reads every text once more.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,9 +20,6 @@ from .attention_lm import BATCH, Model
 from .common import fold, settled
 from .subwords import default_path, tokenizer, word_encoder
 
-#: Share of the stretches of a training text that are trained on: one in so many, by a hash.
-TRAIN_EVERY = 24
-STRETCH_CHARS = 160
 #: Words with at least this share of all tokens are looked up where the text is; so there are at most 1 / share.
 FREQUENT_SHARE = 1 / 1_000_000
 #: Texts that are scored at once.
@@ -82,18 +77,6 @@ def _subword_counts(counts: DataFrame, path: str) -> np.ndarray:
 _LEARNED = "part int, slot int, weight double, " + ", ".join(f"v{k} double" for k in range(9))
 
 
-def _stretches(text: str):
-    """The stretches of a text that are trained on, chosen by their characters alone; cut at spaces."""
-    at = 0
-    while at < len(text):
-        end = text.find(" ", at + STRETCH_CHARS)
-        end = len(text) if end < 0 else end
-        part = text[at:end]
-        if zlib.crc32(part.encode()) % TRAIN_EVERY == 0:
-            yield part
-        at = end + 1
-
-
 def _dense(model: Model) -> np.ndarray:
     """All small parameters as one table; the biases stand beside the rows of the head, which are the last."""
     rows = np.concatenate([getattr(model, n) for n in Model.DENSE]).astype(float)
@@ -111,17 +94,17 @@ def _train(texts: DataFrame, start: Model, path: str) -> Model:
         seen, pool, held, tokens = model.fresh(), [], 0, 0
 
         def step():
-            ids, target = (np.concatenate([p[k] for p in pool]) for k in range(2))
+            ids, target, scored = (np.concatenate([p[k] for p in pool]) for k in range(3))
             for at in range(0, len(ids), BATCH):
-                model.train(ids[at : at + BATCH], target[at : at + BATCH], seen)
+                part = slice(at, at + BATCH)
+                model.train(ids[part], target[part], seen, scored[part])
 
-        for batch in batches:
-            chosen = [part for text in batch.column(0) for part in _stretches(text.as_py() or "")]
-            for ids in encoder.ids(chosen):
-                made = model.windows(np.frombuffer(ids, dtype="<u4").astype(np.int64), END_ID)
+        for batch in _slices(batches):
+            for ids in encoder.ids(text.as_py() for text in batch.column(0)):
+                made = model.windows(np.frombuffer(ids, dtype="<u4").astype(np.int32), END_ID)
                 pool.append(made)
                 held += len(made[0])
-                tokens += made[0].size
+                tokens += int(made[2].sum())
                 if held >= 4 * BATCH:
                     step()
                     pool, held = [], 0

@@ -84,3 +84,14 @@ def test_base_scores_equal_brute_force(make, prose):
             assert math.isclose(found[i].base_score, base, rel_tol=1e-9)
             assert found[i].held_out == (i not in train) and found[i].score < 0
     assert lm_scoring.score(make(rows).limit(0)).count() == 0
+
+
+def test_every_id_of_every_training_text_is_trained_on(make, prose):
+    rows = [(k, prose(k, 60)) for k in range(40)]
+    path = lm_scoring.default_path()
+    ids = [np.frombuffer(b, dtype="<u4") for b in lm_scoring.word_encoder(path).ids([t for _, t in rows])]
+    start = attention_lm.Model.start(np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY))
+    start.head += np.random.default_rng(1).standard_normal(start.head.shape).astype(np.float32)
+    model = lm_scoring._train(make(rows), start, path)
+    used = np.unique(np.concatenate(ids))
+    assert (model.embed[used] != start.embed[used]).any(axis=1).all()
