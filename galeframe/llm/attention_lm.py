@@ -1,15 +1,16 @@
 """A causal self-attention language model in numpy over subword ids.
 
-One attention layer reads a window of ``CONTEXT`` ids and predicts the class of
-the next one; the most frequent ids are classes of their own, the others share
-classes of about equal weight. Within a class an id has its share of the corpus
-counts, so the probabilities of all ids sum to one. Every class starts at its
-corpus odds: the untrained model is the corpus' unigram model, and training adds
-what the context tells.
+One attention layer reads a window of ``CONTEXT`` ids; the next id is predicted
+through a binary tree (hierarchical softmax over a Huffman code of the corpus
+counts), so its probabilities sum to one at the cost of a few inner products
+and the context tells any two ids apart. Every node starts at the odds that the
+counts give it: the untrained model is the corpus' unigram model, and training
+adds what the context tells.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,6 @@ WIDTH = 8
 CONTEXT = 16
 #: A window moves by so many ids; each id is scored once, with CONTEXT - STRIDE ids before it at least.
 STRIDE = 12
-OWN_CLASSES = 24
-SHARED_CLASSES = 8
 #: Windows that are worked on at once.
 BATCH = 256
 RATE = 0.1
@@ -28,48 +27,72 @@ SEED = 11
 _MOST = np.float32(60)  # exponents beyond are cut, so that sums stay finite
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each id, log share of each id in its class, log share of each class)."""
-    weight = counts + 0.5
-    order = np.argsort(-weight, kind="stable")
-    of = np.empty(len(counts), dtype=np.int64)
-    own = min(OWN_CLASSES, len(counts) - 1)
-    of[order[:own]] = np.arange(own)
-    rest = order[own:]
-    up = np.cumsum(weight[rest])
-    of[rest] = own + np.minimum((up - weight[rest] / 2) / up[-1] * SHARED_CLASSES, SHARED_CLASSES - 1).astype(np.int64)
-    _, of = np.unique(of, return_inverse=True)
-    total = np.bincount(of, weight)
-    return of.astype(np.int32), np.log(weight / total[of]), np.log(total / total.sum())
+@dataclass
+class Tree:
+    """Paths of a Huffman code: for each id its inner nodes and the side taken there."""
+
+    first: np.ndarray
+    node: np.ndarray
+    side: np.ndarray  # 1.0 right, 0.0 left
+    odds: np.ndarray  # log odds of the right side, by the counts
+
+
+def huffman(counts: np.ndarray) -> Tree:
+    n = len(counts)
+    heap = [(float(c) + 0.5, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * n - 1, dtype=np.int64)
+    right = np.zeros(2 * n - 1)
+    odds = np.zeros(n - 1, dtype=np.float32)
+    for inner in range(n - 1):
+        (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a] = parent[b] = n + inner
+        right[b] = 1.0
+        odds[inner] = np.log(wb / wa)
+        heapq.heappush(heap, (wa + wb, n + inner))
+    root = 2 * n - 2
+    # ids climb to the root together
+    ids, at = np.arange(n), np.arange(n)
+    who, node, side = [], [], []
+    while len(ids):
+        live = at != root
+        ids, at = ids[live], at[live]
+        who.append(ids)
+        node.append(parent[at] - n)
+        side.append(right[at])
+        at = parent[at]
+    who, node, side = np.concatenate(who), np.concatenate(node), np.concatenate(side)
+    order = np.argsort(who, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
+    return Tree(first, node[order].astype(np.int32), side[order].astype(np.float32), odds)
 
 
 @dataclass
 class Model:
-    of: np.ndarray  # class of each id
-    share: np.ndarray  # log share of each id in its class
+    tree: Tree
     embed: np.ndarray  # id x WIDTH
     place: np.ndarray  # CONTEXT x WIDTH
     query: np.ndarray
     key: np.ndarray
     value: np.ndarray
     out: np.ndarray
-    head: np.ndarray  # class x WIDTH
-    bias: np.ndarray  # class
+    head: np.ndarray  # inner node x WIDTH
+    bias: np.ndarray  # inner node
 
-    DENSE = ("place", "query", "key", "value", "out", "head")
+    DENSE = ("place", "query", "key", "value", "out")
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = SEED) -> Model:
         random = np.random.default_rng(seed)
-        of, share, prior = classes(counts)
+        tree = huffman(counts)
 
         def draw(*shape):
             return (random.standard_normal(shape) * 0.3).astype(np.float32)
 
-        return cls(of, share, draw(len(counts), WIDTH), draw(CONTEXT, WIDTH) * np.float32(0.1), *(draw(WIDTH, WIDTH) for _ in range(4)), np.zeros((len(prior), WIDTH), np.float32), prior.astype(np.float32))
+        return cls(tree, draw(len(counts), WIDTH), draw(CONTEXT, WIDTH) * np.float32(0.1), *(draw(WIDTH, WIDTH) for _ in range(4)), np.zeros((len(tree.odds), WIDTH), np.float32), tree.odds.copy())
 
     def copy(self) -> Model:
-        return Model(self.of, self.share, *(getattr(self, n).copy() for n in ("embed", *self.DENSE, "bias")))
+        return Model(self.tree, *(getattr(self, n).copy() for n in ("embed", *self.DENSE, "head", "bias")))
 
     def _forward(self, ids: np.ndarray):
         b, c = ids.shape
@@ -88,14 +111,19 @@ class Model:
         """log10 probability of each target where ``scored``, in order."""
         h = self._forward(ids)[-1][scored]
         y = target[scored]
-        logits = np.hstack([h, np.ones((len(h), 1), np.float32)]) @ self._head_and_bias()
-        np.minimum(logits, _MOST, out=logits)
-        picked = logits[np.arange(len(y)), self.of[y]]
-        np.exp(logits, out=logits)
-        return (picked - np.log(logits @ np.ones(logits.shape[1], np.float32)) + self.share[y]) * (1 / np.log(10))
-
-    def _head_and_bias(self) -> np.ndarray:
-        return np.vstack([self.head.T, self.bias])
+        node, side, begin, odds = self._odds(h, y)[:4]
+        # log(1 + exp(x)) of the odds of the side not taken
+        against = np.minimum(odds * (1 - 2 * side), _MOST)
+        return np.add.reduceat(np.log1p(np.exp(against)), begin, dtype=np.float64) * -(1 / np.log(10)) if len(y) else np.zeros(0)
+
+    def _odds(self, h: np.ndarray, y: np.ndarray):
+        """(node, side, where each target's path begins, log odds of the right side, node vectors, h) along the paths."""
+        n = self.tree.first[y + 1] - self.tree.first[y]
+        begin = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(self.tree.first[y] - begin, n)
+        node = self.tree.node[at]
+        u, hr = self.head[node], np.repeat(h, n, axis=0)
+        return node, self.tree.side[at], begin, np.einsum("ij,ij->i", u, hr) + self.bias[node], u, hr
 
     def windows(self, ids: np.ndarray, end: int):
         """(inputs, targets, scored) windows of one text; the end id opens the text and closes it."""
@@ -134,21 +162,26 @@ class Model:
 
     def fresh(self) -> dict[str, np.ndarray]:
         """Squared gradients, and how often each row was touched."""
-        return {name: np.zeros_like(getattr(self, name)) for name in ("embed", "bias", *self.DENSE)} | {"embed_touches": np.zeros(len(self.embed))}
+        return {name: np.zeros_like(getattr(self, name)) for name in ("embed", "head", "bias", *self.DENSE)} | {"embed_touches": np.zeros(len(self.embed)), "head_touches": np.zeros(len(self.head))}
 
     def train(self, ids: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray], scored: np.ndarray | None = None) -> None:
         """One Adagrad step on the targets of a batch of windows, or on those that are ``scored`` only."""
         x, q, k, v, weight, total, z, h3 = self._forward(ids)
         weight = weight / total
-        h, y = h3.reshape(-1, WIDTH), self.of[target.reshape(-1)]
-        logits = h @ self.head.T + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        error = logits / logits.sum(axis=1, keepdims=True)
-        error[np.arange(len(y)), y] -= 1
-        if scored is not None:  # each id of a text counts once, and what fills up its last window does not
-            error *= scored.reshape(-1, 1)
-        dh = error @ self.head
+        # each id of a text counts once, and what fills up its last window does not
+        here = np.flatnonzero(np.ones(target.size, dtype=bool) if scored is None else scored)
+        if not len(here):
+            return
+        y = target.reshape(-1)[here]
+        node, side, begin, odds, u, hr = self._odds(h3.reshape(-1, WIDTH)[here], y)
+        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - side).astype(np.float32)
+        dh = np.zeros((target.size, WIDTH), np.float32)
+        dh[here] = np.add.reduceat(u * error[:, None], begin, axis=0)
+        touches = np.bincount(node, minlength=len(self.head))
+        nodes = np.flatnonzero(touches)
+        hr *= error[:, None]
+        dhead = np.stack([np.bincount(node, hr[:, d], len(self.head))[nodes] for d in range(WIDTH)], axis=1)
+        dbias = np.bincount(node, error, len(self.head))[nodes]
         dh3 = dh.reshape(h3.shape)
         dz = dh3 @ self.out.T
         da = dz @ v.transpose(0, 2, 1)
@@ -168,12 +201,13 @@ class Model:
             "key": (slice(None), flat @ dk.reshape(-1, WIDTH)),
             "value": (slice(None), flat @ dv.reshape(-1, WIDTH)),
             "out": (slice(None), z.reshape(-1, WIDTH).T @ dh),
-            "head": (slice(None), error.T @ h),
-            "bias": (slice(None), error.sum(axis=0)),
+            "head": (nodes, dhead),
+            "bias": (nodes, dbias),
         }
-        scale = 1 / max(1, len(y) if scored is None else scored.sum()) ** 0.5
+        scale = 1 / len(y) ** 0.5
         for name, (rows, gradient) in gradients.items():
             gradient = gradient * scale
             seen[name][rows] += gradient**2
             getattr(self, name)[rows] -= (RATE * gradient / np.sqrt(seen[name][rows] + 1e-6)).astype(np.float32)
         seen["embed_touches"][used] += np.bincount(where)
+        seen["head_touches"][nodes] += touches[nodes]

@@ -78,11 +78,13 @@ _LEARNED = "part int, slot int, weight double, " + ", ".join(f"v{k} double" for
 
 
 def _dense(model: Model) -> np.ndarray:
-    """All small parameters as one table; the biases stand beside the rows of the head, which are the last."""
-    rows = np.concatenate([getattr(model, n) for n in Model.DENSE]).astype(float)
-    beside = np.zeros((len(rows), 1))
-    beside[len(rows) - len(model.bias) :, 0] = model.bias
-    return np.hstack([rows, beside])
+    """All parameters that every window uses, as one table."""
+    return np.concatenate([getattr(model, n) for n in Model.DENSE]).astype(float)
+
+
+def _head(model: Model) -> np.ndarray:
+    """The vectors of the tree's nodes with their biases."""
+    return np.hstack([model.head, model.bias[:, None]]).astype(float)
 
 
 def _train(texts: DataFrame, start: Model, path: str) -> Model:
@@ -112,9 +114,8 @@ def _train(texts: DataFrame, start: Model, path: str) -> Model:
             step()
         if not tokens:
             return
-        embed = np.hstack([model.embed - start.embed, np.zeros((len(model.embed), 1))])
-        dense = _dense(model) - _dense(start)
-        learned = ((0, embed, seen["embed_touches"]), (1, dense, np.full(len(dense), float(tokens))))
+        embed, dense = (np.hstack([c, np.zeros((len(c), 1))]) for c in (model.embed - start.embed, _dense(model) - _dense(start)))
+        learned = ((0, embed, seen["embed_touches"]), (1, dense, np.full(len(dense), float(tokens))), (2, _head(model) - _head(start), seen["head_touches"]))
         for part, change, weight in learned:
             slot = np.flatnonzero(weight)
             w = np.sqrt(weight[slot])
@@ -131,13 +132,14 @@ def _train(texts: DataFrame, start: Model, path: str) -> Model:
     model = start.copy()
     model.embed[slot[part == 0]] += change[part == 0, :8].astype(np.float32)
     dense = _dense(model)
-    dense[slot[part == 1]] += change[part == 1]
+    dense[slot[part == 1]] += change[part == 1, :8]
     at = 0
     for name in Model.DENSE:
         n = len(getattr(model, name))
-        setattr(model, name, dense[at : at + n, :8].astype(np.float32))
+        setattr(model, name, dense[at : at + n].astype(np.float32))
         at += n
-    model.bias = dense[at - len(model.bias) :, 8].astype(np.float32)
+    model.head[slot[part == 2]] += change[part == 2, :8].astype(np.float32)
+    model.bias[slot[part == 2]] += change[part == 2, 8].astype(np.float32)
     return model
 
 

@@ -95,3 +95,22 @@ def test_every_id_of_every_training_text_is_trained_on(make, prose):
     model = lm_scoring._train(make(rows), start, path)
     used = np.unique(np.concatenate(ids))
     assert (model.embed[used] != start.embed[used]).any(axis=1).all()
+
+
+def test_context_tells_rare_ids_apart():
+    # two rare ids of about equal counts, each after its own sign
+    ids = [np.array([k, 200 + k] * 8 + [*range(100)] * 2) for _ in range(30) for k in (101, 102)]
+    model = attention_lm.Model.start(np.bincount(np.concatenate(ids), minlength=400))
+    made = [model.windows(i, 399) for i in ids]
+    inputs, targets, scored = (np.concatenate([m[k] for m in made]) for k in range(3))
+    seen = model.fresh()
+    for _ in range(60):
+        model.train(inputs, targets, seen, scored)
+
+    def log10(k, target):
+        context = np.array([[k, 200 + k] * 7 + [k]])
+        last = np.zeros(context.shape, dtype=bool)
+        last[:, -1] = True
+        return model.log10(context, np.full(context.shape, target), last)[0]
+
+    assert log10(101, 301) - log10(101, 302) > log10(102, 301) - log10(102, 302) + 0.5
