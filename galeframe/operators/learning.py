@@ -9,8 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_FEATURES = 512
+#: Newton steps that are tried at once, from undamped to one that cannot overshoot.
+TRIALS = 14
 
 
 @dataclass
@@ -181,26 +183,111 @@ def pinball_fit(z: np.ndarray, y: np.ndarray, cost: np.ndarray, tau: float, pena
     return PinballFit(best[1], best[2], best[0], dual, done, False)
 
 
-def fit_jobs(df: DataFrame, jobs: DataFrame, vector: str, target: str, penalty: float = 1.0, most_rows: int = 8000) -> DataFrame:
-    """A pinball fit for every row of ``jobs`` (job, tau, seed), each on the rows that its seed's hash order puts first.
+def _total(rows: DataFrame, measure, size: int) -> np.ndarray:
+    """The sum over all rows of ``measure(x, y)``: each task sends one table of the model's size; x ends with a one for the intercept."""
 
-    A job's training set has at most ``most_rows`` rows, so no group is unbounded.
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            total += measure(np.hstack([z, np.ones((len(z), 1))]), batch.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["pos", "value"])
+
+    found = rows.mapInArrow(run, "pos long, value double").groupBy("pos").agg(F.sum("value")).collect()
+    return np.array([r[1] for r in sorted(found)])
+
+
+def fit_jobs(df: DataFrame, jobs: DataFrame, vector: str, target: str, penalty: float = 1.0, most: int = 200, relative: float = 1e-4, absolute: float = 1e-7) -> DataFrame:
+    """A pinball fit for every row of ``jobs`` (job, tau, seed), each on all rows whose vector and target are known.
+
+    The problem and the certificate of :func:`pinball_fit` with equal costs. The
+    pinball is smoothed within ``delta`` of its kink and minimised by damped
+    Newton steps, ``delta`` falling until the gap of the unsmoothed primal and
+    dual closes. Tasks send sums of the model's size only, and the driver solves
+    systems of that size. All rows train, so fits do not depend on the seed.
     """
-    numbered = df.select(F.col("vec_id"), F.col(vector).cast("array<double>").alias("z"), F.col(target).cast("double").alias("y"))
-    seeds = [r["seed"] for r in jobs.select("seed").distinct().collect()]
-    sampled = None
-    for seed in seeds:
-        part = numbered.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(most_rows).withColumn("seed", F.lit(seed))
-        sampled = part if sampled is None else sampled.unionByName(part)
-    rows = sampled.join(F.broadcast(jobs), "seed")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        z, y = np.stack(group["z"].to_numpy()), group["y"].to_numpy()
-        found = pinball_fit(z, y, np.full(len(y), 1 / len(y)), float(group["tau"].iloc[0]), penalty)
-        return pd.DataFrame([{"job": group["job"].iloc[0], "tau": group["tau"].iloc[0], "seed": group["seed"].iloc[0], "n": len(y), "primal": found.primal, "dual": found.dual, "iterations": found.iterations, "converged": found.converged, "intercept": found.intercept, "weights": found.weights.tolist()}])
-
-    return rows.groupBy("job").applyInPandas(run, "job string, tau double, seed int, n long, primal double, dual double, iterations long, converged boolean, intercept double, weights array<double>")
+    rows = df.select(F.col(vector).cast("array<double>").alias("z"), F.col(target).cast("double").alias("y")).where("z IS NOT NULL AND y IS NOT NULL").persist(StorageLevel.DISK_ONLY)
+    try:
+        found = _fit_all(rows, jobs.select("job", "tau", "seed").collect(), penalty, most, relative, absolute)  # one row a fit
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "job string, tau double, seed int, n long, primal double, dual double, iterations long, converged boolean, intercept double, weights array<double>")
+
+
+def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: float, absolute: float) -> list[tuple]:
+    n, least, width, spread = rows.agg(F.count(F.lit(1)), F.min(F.size("z")), F.max(F.size("z")), F.stddev_pop("y")).first()
+    if not n or not jobs:
+        return []
+    if least != width or width > MOST_FEATURES:
+        raise ValueError(f"vectors of different lengths or of more than {MOST_FEATURES} features")
+    d, tau = width + 1, np.array([float(j["tau"]) for j in jobs])
+    base = np.diag(np.append(np.full(width, float(penalty)), 0.0))
+    starts = rows.agg(F.percentile_approx("y", F.array(*(F.lit(t) for t in tau.tolist())))).first()[0]
+    at = [np.append(np.zeros(width), b) for b in starts]
+    delta = np.full(len(jobs), max(float(spread), 1e-6))
+    best, dual, done = [(np.inf, p) for p in at], np.full(len(jobs), -np.inf), np.zeros(len(jobs), dtype=np.int64)
+    sums = _total(rows, lambda x, y: np.append(x.sum(axis=0), [y.sum(), (x * x).sum()]), d + 2) / n
+    live = list(range(len(jobs)))
+    for step in range(1, most + 1):
+        # slopes, curvature and the dual at each point
+        points = [(k, at[k], delta[k], tau[k]) for k in live]
+
+        def slopes(x, y, points=points):
+            out = []
+            for _, p, width_of_kink, t in points:
+                e = (y - x @ p) / width_of_kink
+                a = np.clip(e, t - 1, t)
+                bent = x[(e > t - 1) & (e < t)]
+                out.append(np.concatenate([a @ x, [a @ y], (bent.T @ bent).ravel() / width_of_kink]))
+            return np.concatenate(out)
+
+        trials = {}
+        for k, found in zip(live, np.split(_total(rows, slopes, len(live) * (d + 1 + d * d)) / n, len(live)), strict=True):
+            ax, ay, curve = found[:d], found[d], found[d + 1 :].reshape(d, d) + base
+            over = ax[-1]  # the free intercept wants multipliers that sum to zero
+            limit = tau[k] - 1 if over > 0 else tau[k]
+            share = abs(over) / max(abs(over - limit), 1e-300)
+            # each multiplier moves by its share of the room to its limit
+            bx, by = ax - share * (ax - limit * sums[:d]), ay - share * (ay - limit * sums[d])
+            dual[k] = max(dual[k], by - 0.5 * bx[:width] @ bx[:width] / penalty)
+            slope = base @ at[k] - ax
+            steepest = penalty + sums[d + 1] / delta[k]  # no curvature is above this
+            trials[k] = np.array([at[k], *(at[k] - np.linalg.solve(curve + m * np.eye(d), slope) for m in np.geomspace(1e-9, steepest, TRIALS))])
+
+        # the smooth and the true objective at each trial
+        tried = [(trials[k], delta[k], tau[k]) for k in live]
+
+        def values(x, y, tried=tried):
+            out = []
+            for p, width_of_kink, t in tried:
+                e = y[:, None] - x @ p.T
+                a = np.clip(e / width_of_kink, t - 1, t)
+                out += [(a * e - width_of_kink * a * a / 2).sum(axis=0), np.maximum(t * e, (t - 1) * e).sum(axis=0)]
+            return np.concatenate(out)
+
+        m = TRIALS + 1
+        for k, found in zip(live, np.split(_total(rows, values, len(live) * 2 * m) / n, len(live)), strict=True):
+            norm = 0.5 * penalty * (trials[k][:, :width] ** 2).sum(axis=1)
+            smooth, true = found[:m] + norm, found[m:] + norm
+            if true.min() < best[k][0]:
+                best[k] = (float(true.min()), trials[k][true.argmin()])
+            at[k] = trials[k][smooth.argmin()]
+            if smooth[0] - smooth.min() <= 0.01 * delta[k]:  # smoothing costs at most half of delta
+                delta[k] = max(delta[k] / 4, 0.25 * (absolute + relative * max(1.0, abs(best[k][0]))))
+            done[k] = step
+        live = [k for k in live if not _closed(best[k][0], dual[k], relative, absolute)]
+        if not live:
+            break
+    return [
+        (j["job"], float(j["tau"]), j["seed"], n, best[k][0], float(dual[k]), int(done[k]), bool(_closed(best[k][0], dual[k], relative, absolute)), float(best[k][1][-1]), best[k][1][:width].tolist())
+        for k, j in enumerate(jobs)
+    ]
+
+
+def _closed(primal: float, dual: float, relative: float, absolute: float) -> bool:
+    return primal - dual <= absolute + relative * max(1.0, abs(primal), abs(dual))
 
 
 def predict_linear(df: DataFrame, vector: str, weights: np.ndarray, intercept: float, name: str = "prediction") -> DataFrame:

@@ -163,6 +163,19 @@ def test_pinball_fit_is_certified(tau):
     assert np.mean(y <= z @ found.weights + found.intercept) == pytest.approx(tau, abs=0.03)
 
 
+def test_fit_jobs_use_every_row(spark):
+    r = np.random.default_rng(6)
+    z = r.standard_normal((9000, 3))
+    y = z @ [1.0, -2.0, 0.5] + r.standard_normal(9000)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(9000), "z": z.tolist(), "y": y}), "vec_id long, z array<double>, y double")
+    jobs = spark.createDataFrame([("low", 0.1, 0), ("mid", 0.5, 1)], "job string, tau double, seed int")
+    for found in learning.fit_jobs(rows, jobs, "z", "y", 0.1).collect():
+        whole = learning.pinball_fit(z, y, np.full(9000, 1 / 9000), found.tau, 0.1)
+        assert found.n == 9000 and found.converged and found.dual <= found.primal
+        assert found.primal == pytest.approx(whole.primal, abs=2e-4)
+        assert np.allclose(found.weights, whole.weights, atol=0.05)
+
+
 def test_moments_give_ridge(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((200, 3))
