@@ -5,6 +5,8 @@ or names were replaced keeps its template. Windows of ``WINDOW`` template words
 of the documents are hash-joined to those of the benchmark. A joined alignment
 of a document and an item counts only if its slots are consistent: each value
 of the item stands for one value of the document, and the other way round.
+Windows with names are joined a second time with the names as words, so a copy
+whose names are not marked (lower-case, or the first word of a line) is met too.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def surface(text):
 
 
 def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
-    """(id, length, place, key, slots) of every template window of the given lengths.
+    """(id, length, place, literal, key, slots) of every template window of the given lengths; ``literal`` ones hold names as words.
 
     No filter stands above the projections: Spark would push it below them and
     work out the words once more for it.
@@ -65,16 +67,24 @@ def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
     words = rows.select(F.col(id_col).alias("id"), surface(F.col("text")).alias("surface"))
     words = words.withColumn("slotted", F.col("surface").rlike(f"[{MARKS}]"))
     template = F.when(F.col("slotted"), F.regexp_replace("surface", f"([{MARKS}])[^ ]*", "$1")).otherwise(F.col("surface"))
-    words = words.select("id", "slotted", F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
+    # the same as the template where no name is
+    literal = F.when(F.col("surface").contains(NAME), F.split(F.translate(F.regexp_replace("surface", f"([{NUMBER}{UNIT}])[^ ]*", "$1"), NAME, ""), " "))
+    words = words.select("id", "slotted", literal.alias("literal"), F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
     parts = []
     for length in lengths:
         windows = F.expr(
-            f"""CASE WHEN size(template) >= {length} AND template[0] <> '' THEN transform(sequence(1, size(template) - {length - 1}), at -> named_struct(
+            f"""CASE WHEN size(template) >= {length} AND template[0] <> '' THEN concat(transform(sequence(1, size(template) - {length - 1}), at -> named_struct(
                 'place', at,
+                'literal', false,
                 'key', xxhash64(slice(template, at, {length}), {length}),
-                'slots', CASE WHEN slotted THEN filter(slice(surface, at, {length}), w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}') END)) END"""
+                'slots', CASE WHEN slotted THEN filter(slice(surface, at, {length}), w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}') END)),
+                CASE WHEN literal IS NOT NULL THEN transform(filter(sequence(1, size(template) - {length - 1}), at -> array_contains(slice(template, at, {length}), '{NAME}')), at -> named_struct(
+                'place', at,
+                'literal', true,
+                'key', xxhash64(slice(literal, at, {length}), {length}),
+                'slots', filter(slice(surface, at, {length}), w -> substr(w, 1, 1) IN ('{NUMBER}', '{UNIT}')))) ELSE array() END) END"""
         )
-        parts.append(words.select("id", F.explode(windows).alias("w")).select("id", F.lit(length).alias("length"), "w.place", "w.key", "w.slots"))
+        parts.append(words.select("id", F.explode(windows).alias("w")).select("id", F.lit(length).alias("length"), "w.place", "w.literal", "w.key", "w.slots"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -98,15 +108,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need
     own_length = items.select(F.col("item_id").alias("id"), F.least(n_words, F.lit(window)).alias("own"))
     of_items = _windows(items, "item_id", sorted(lengths)).join(own_length.distinct(), "id").where("length = own")
     of_items = of_items.where(F.col("length") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.col("length"), F.lit(LITERALS)))
-    of_items = settled(of_items.select(F.col("id").alias("item_id"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
-    totals = of_items.groupBy("item_id").agg(F.least(F.countDistinct("item_place"), F.lit(needed)).alias("need"))
+    of_items = settled(of_items.select(F.col("id").alias("item_id"), F.col("literal").alias("item_literal"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
+    templates = F.countDistinct(F.when(~F.col("item_literal"), F.col("item_place")))
+    totals = of_items.groupBy("item_id").agg(F.least(F.when(templates > 0, templates).otherwise(F.countDistinct("item_place")), F.lit(needed)).alias("need"))
     small = of_items.count() <= BROADCAST_WINDOWS  # checked, else the join shuffles and adaptive execution splits a frequent window
     of_docs = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", sorted(lengths))
     met = of_docs.join(F.broadcast(of_items) if small else of_items, "key")
     # one to one between the values of the item and those of the document
     pairs = F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d"))
-    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", pairs.alias("pairs"))
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), (F.col("literal") | F.col("item_literal")).alias("literal"), "item_place", pairs.alias("pairs"))
+    aligned = met.groupBy("doc_id", "item_id", "shift", "literal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
     covered = aligned.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
     limit = F.broadcast(totals) if small else totals

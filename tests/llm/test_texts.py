@@ -125,3 +125,11 @@ def test_whole_short_items_are_found(spark, make, prose):
     items = spark.createDataFrame([(1, "seven small words make this item here")], "item_id long, text string")
     rows = [(1, prose(1, 20) + " seven small words make this item here " + prose(2, 20)), (2, "seven small words make this item there")]
     assert [r.doc_id for r in decontaminate.label_leaks(make(rows), items).where("contaminated").collect()] == [1]
+
+
+def test_copies_whose_names_are_not_marked_are_found(spark, make, prose):
+    text = "yesterday Ann Berg met Carl Dorn near Essen while Fred Gans drove from Halle to Ilmenau with Jan Kolb"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = [(1, f"{prose(1, 20)} {text.lower()} {prose(2, 20)}"), (2, text.replace(" Carl", "\nCarl").replace(" Fred", "\nFred").replace(" Halle", "  Halle")), (3, prose(3, 60))]
+    assert [r.doc_id for r in decontaminate.label_leaks(make(rows), items).where("contaminated").orderBy("doc_id").collect()] == [1, 2]
+    assert decontaminate.label_leaks(make([(1, text)]), spark.createDataFrame([(1, text.lower())], "item_id long, text string")).first().contaminated
