@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -45,6 +46,47 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of ids that are broadcast at most, about 32 MB as a hash table of a task; more are shuffled.
+MOST_IDS = 1_000_000
+#: Rows, and bytes, of texts that are handed to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, so that the memory of a Python worker is bounded by :data:`BATCH_BYTES`, not by 10,000 texts."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.match("[0-9]+$", spark.conf.get(name) or "")
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
+def own_columns(df: DataFrame):
+    """All columns of ``df``, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def without_keys(docs: DataFrame, key, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (an expression) is not in the one column of ``gone``, with the columns of ``docs``.
+
+    Only keys move while there are at most :data:`MOST_IDS` of them, counted;
+    beyond, both sides are shuffled. A null key is in no set, so its row stays.
+    """
+    name = fresh_name(docs, "gone_key")
+    gone = settled(gone.toDF(name).distinct())
+    if gone.count() <= MOST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key == F.col(name), "left_anti").select(own_columns(docs))
+
+
 def fold(id_column, n: int):
     """crc32 of the id as text, modulo ``n``; -1 for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, small_batches
 from .subwords import default_path, word_encoder
 
 CAPACITY = 4096
@@ -41,6 +41,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     is ``END_ID`` alone. Only documents of more than ``capacity`` ids are cut.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = word_encoder(path)
@@ -48,8 +49,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPA
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            texts = (t.as_py() for t in batch.column(1))
-            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1)), strict=True):
                 ids = found + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
