@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, without_keys
 
 WINDOW = 8
 #: Consecutive windows that make a leak: 13 words. A shorter item needs all of its windows.
@@ -138,5 +138,5 @@ def label_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; rows with a null id stay."""
+    return without_keys(docs, F.col("doc_id"), find_leaks(docs, benchmark).select("doc_id"))

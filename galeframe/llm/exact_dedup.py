@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settled
+from .common import MOST_IDS, fresh_name, own_columns, settled, without_keys
 
 #: Counters of the summary. A digest with more than 8 / TRACKED of the rows is
 #: always found; fewer rows than that are no skew.
@@ -73,9 +73,22 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that tie in the id and the text are one row afterwards; otherwise as
     :func:`label_copies`.
     """
-    def key(id_column, digest_column):
-        return F.concat(digest_column, F.lit(":"), F.coalesce(id_column.cast("string"), F.lit("")))
-
-    kept = label_copies(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    stay = docs.withColumn("__key", key(F.col(id_col), digest(F.col(text_col)))).join(kept, "__key", "left_semi")
-    return stay.dropDuplicates(["__key"]).select([F.col(f"`{c}`") for c in docs.columns])
+    rows = settled(label_copies(docs, id_col, text_col))
+    key = _row_key(F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`")))
+    of_rows = rows.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text_sha256")))
+    gone = of_rows.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row_key")
+    stay = without_keys(docs, key, gone)
+    # a row that is not kept though its id is the kept one repeats another row
+    again = settled(of_rows.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row_key").distinct())
+    n = again.count()
+    if n == 0:
+        return stay
+    name = fresh_name(docs, "again_key")
+    again = again.toDF(name)
+    again = F.broadcast(again) if n <= MOST_IDS else again
+    repeated = stay.join(again, key == F.col(name)).dropDuplicates([name]).select(own_columns(docs))
+    return stay.join(again, key == F.col(name), "left_anti").select(own_columns(docs)).unionByName(repeated)
+
+
+def _row_key(id_column, digest_column):
+    return F.concat(digest_column, F.lit(":"), F.coalesce(id_column.cast("string"), F.lit("")))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .common import settled
+from .common import settled, small_batches, without_keys
 from .components import components
 
 #: Coordinates of a point, at least, and the mean count in a coordinate, at most.
@@ -407,5 +407,4 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
 
 def drop_similar(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all their columns; rows with a null id stay."""
-    gone = similar_groups(docs, n, threshold).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return without_keys(docs, F.col("doc_id"), similar_groups(docs, n, threshold).where("component_id <> doc_id").select("doc_id"))
