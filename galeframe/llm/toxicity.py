@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import fold
+from .common import fold, small_batches
 
 #: Bounded fit: at most so many labelled rows of each label, of at most so many
 #: bytes, chosen by a hash of the id. Rows beyond it are scored like all others.
@@ -98,13 +98,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit + self.bias, -30, 30)))
 
 
-def _prepared(texts: list[str], labels: np.ndarray) -> tuple:
-    """A batch for training: documents' words, and the subwords of each different word."""
-    raw = [t.encode() for t in texts]
-    found = words.split(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), True, True)
-    _, which, back = np.unique(found.value, return_index=True, return_inverse=True)
-    word, bucket = subword_buckets(found, which)
-    return found.first, back.astype(np.int32), word.astype(np.int32), bucket.astype(np.int32), np.bincount(word, minlength=len(which)), labels
+@dataclass
+class _Prepared:
+    """The words of all training texts as numbers, and the subwords of each different word once."""
+
+    words: list[np.ndarray]  # of each text
+    at: np.ndarray  # where each word's buckets begin, and the end
+    bucket: np.ndarray
+
+    def batch(self, rows: np.ndarray):
+        """first, back, word, bucket, parts of a batch: its texts' words numbered anew, and their subwords."""
+        n = np.array([len(self.words[r]) for r in rows])
+        which, back = np.unique(np.concatenate([self.words[r] for r in rows]), return_inverse=True)
+        parts = self.at[which + 1] - self.at[which]
+        end = np.cumsum(parts)
+        source = np.arange(parts.sum()) + np.repeat(self.at[which] - (end - parts), parts)
+        return np.concatenate([[0], np.cumsum(n)]), back, np.repeat(np.arange(len(which)), parts), self.bucket[source], parts
+
+
+def _prepared(texts: list[str]) -> _Prepared:
+    number: dict[int, int] = {}
+    of_texts, parts, buckets = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(texts), BATCH):
+        raw = [t.encode() for t in texts[at : at + BATCH]]
+        found = words.split(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), True, True)
+        value, which, back = np.unique(found.value, return_index=True, return_inverse=True)
+        new = np.array([v not in number for v in value.tolist()], dtype=bool)
+        if new.any():
+            word, bucket = subword_buckets(found, which[new])
+            order = np.argsort(word, kind="stable")
+            buckets.append(bucket[order].astype(np.int32))
+            parts.append(np.bincount(word, minlength=int(new.sum())))
+            for v in value[new].tolist():
+                number[v] = len(number)
+        numbers = np.array([number[v] for v in value.tolist()], dtype=np.int32)[back]
+        of_texts += [numbers[a:b].copy() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+    return _Prepared(of_texts, np.cumsum(np.concatenate(parts)), np.concatenate(buckets))
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
@@ -126,10 +155,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     softmax_seen = np.full((WIDTH, 2), 1e-3, dtype=np.float32)
     bias_seen = np.full(2, 1e-3)
     order = random.permutation(len(texts))
-    batches = [_prepared([texts[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]]) for at in range(0, len(order), BATCH)]
+    prepared = _prepared(texts)
+    batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
     for epoch in range(EPOCHS):
         for number in random.permutation(len(batches)):
-            first, back, word, bucket, parts, target = batches[number]
+            first, back, word, bucket, parts = prepared.batch(batches[number])
+            target = labels[batches[number]]
             if len(back) == 0:
                 continue
             n = np.diff(first)
@@ -178,7 +209,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = fit_rows(docs, labels).limit(4 * FIT_ROWS).collect()  # the limit only guards against an id that repeats
+    # the limit only guards against an id that repeats; the order makes it the same rows in every run
+    rows = fit_rows(docs, labels).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * FIT_ROWS).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
@@ -191,6 +223,8 @@ def score(docs: DataFrame, model: Model, parts: int = 3, held: int = 1, threshol
     and count as not held out. Columns of other names are not looked at.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
@@ -205,6 +239,7 @@ def score(docs: DataFrame, model: Model, parts: int = 3, held: int = 1, threshol
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     columns = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
