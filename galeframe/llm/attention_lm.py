@@ -20,8 +20,8 @@ CONTEXT = 16
 #: A window moves by so many ids; each id is scored once, with CONTEXT - STRIDE ids before it at least.
 STRIDE = 12
 #: Windows that are worked on at once.
-BATCH = 256
-RATE = 0.1
+BATCH = 1024
+RATE = np.float32(0.2)
 SEED = 11
 
 _MOST = np.float32(60)  # exponents beyond are cut, so that sums stay finite
@@ -29,11 +29,11 @@ _MOST = np.float32(60)  # exponents beyond are cut, so that sums stay finite
 
 @dataclass
 class Tree:
-    """Paths of a Huffman code: for each id its inner nodes and the side taken there."""
+    """Paths of a Huffman code, by depth: for each id its inner nodes from the leaf up and the side taken there."""
 
-    first: np.ndarray
-    node: np.ndarray
-    side: np.ndarray  # 1.0 right, 0.0 left
+    length: np.ndarray  # of each id's path
+    node: np.ndarray  # depth x id
+    side: np.ndarray  # depth x id; 1.0 right, 0.0 left
     odds: np.ndarray  # log odds of the right side, by the counts
 
 
@@ -52,19 +52,13 @@ def huffman(counts: np.ndarray) -> Tree:
         heapq.heappush(heap, (wa + wb, n + inner))
     root = 2 * n - 2
     # ids climb to the root together
-    ids, at = np.arange(n), np.arange(n)
-    who, node, side = [], [], []
-    while len(ids):
-        live = at != root
-        ids, at = ids[live], at[live]
-        who.append(ids)
-        node.append(parent[at] - n)
-        side.append(right[at])
-        at = parent[at]
-    who, node, side = np.concatenate(who), np.concatenate(node), np.concatenate(side)
-    order = np.argsort(who, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
-    return Tree(first, node[order].astype(np.int32), side[order].astype(np.float32), odds)
+    at, length, node, side = np.arange(n), np.zeros(n, dtype=np.int64), [], []
+    while (live := at != root).any():
+        length += live
+        node.append(np.where(live, parent[at] - n, 0).astype(np.int32))
+        side.append(np.where(live, right[at], 0).astype(np.float32))
+        at = np.where(live, parent[at], root)
+    return Tree(length, np.stack(node), np.stack(side), odds) if node else Tree(length, np.zeros((0, n), np.int32), np.zeros((0, n), np.float32), odds)
 
 
 @dataclass
@@ -97,8 +91,8 @@ class Model:
     def _forward(self, ids: np.ndarray):
         b, c = ids.shape
         x = self.embed[ids] + self.place[:c]
-        qkv = x.reshape(-1, WIDTH) @ np.hstack([self.query * np.float32(WIDTH**-0.5), self.key, self.value])
-        q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(b, c, WIDTH) for i in range(3))
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = ((flat @ part).reshape(b, c, WIDTH) for part in (self.query * np.float32(WIDTH**-0.5), self.key, self.value))
         weight = q @ k.transpose(0, 2, 1)
         np.minimum(weight, _MOST, out=weight)
         np.exp(weight, out=weight)
@@ -109,55 +103,66 @@ class Model:
 
     def log10(self, ids: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """log10 probability of each target where ``scored``, in order."""
-        h = self._forward(ids)[-1][scored]
-        y = target[scored]
-        node, side, begin, odds = self._odds(h, y)[:4]
-        # log(1 + exp(x)) of the odds of the side not taken
-        against = np.minimum(odds * (1 - 2 * side), _MOST)
-        return np.add.reduceat(np.log1p(np.exp(against)), begin, dtype=np.float64) * -(1 / np.log(10)) if len(y) else np.zeros(0)
-
-    def _odds(self, h: np.ndarray, y: np.ndarray):
-        """(node, side, where each target's path begins, log odds of the right side, node vectors, h) along the paths."""
-        n = self.tree.first[y + 1] - self.tree.first[y]
-        begin = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(self.tree.first[y] - begin, n)
-        node = self.tree.node[at]
-        u, hr = self.head[node], np.repeat(h, n, axis=0)
-        return node, self.tree.side[at], begin, np.einsum("ij,ij->i", u, hr) + self.bias[node], u, hr
+        h, y, order = self._by_path(self._forward(ids)[-1][scored], target[scored])
+        total = np.zeros(len(y))
+        for level, n in enumerate(self._at_depth(y)):
+            node, side = self.tree.node[level][y[:n]], self.tree.side[level][y[:n]]
+            odds = np.einsum("ij,ij->i", self.head[node], h[:n]) + self.bias[node]
+            # log(1 + exp(x)) of the odds of the side not taken
+            odds *= 1 - 2 * side
+            total[:n] += np.log(1 + np.exp(np.minimum(odds, _MOST)))
+        out = np.empty(len(y))
+        out[order] = total * -(1 / np.log(10))
+        return out
+
+    def _by_path(self, h: np.ndarray, y: np.ndarray):
+        """Contexts and targets with the longest paths first, and their former places."""
+        order = np.argsort(-self.tree.length[y].astype(np.int16), kind="stable")
+        return h[order], y[order], order
+
+    def _at_depth(self, y: np.ndarray) -> np.ndarray:
+        """How many of the targets, longest paths first, have a node at each depth."""
+        n = np.bincount(self.tree.length[y]) if len(y) else np.zeros(1, dtype=np.int64)
+        return len(y) - np.cumsum(n)[:-1]
 
     def windows(self, ids: np.ndarray, end: int):
         """(inputs, targets, scored) windows of one text; the end id opens the text and closes it."""
-        inputs, targets = np.concatenate([[end], ids]), np.concatenate([ids, [end]])
-        n = len(targets)
-        starts = np.arange(0, max(1, n - CONTEXT + STRIDE), STRIDE)
-        at = starts[:, None] + np.arange(CONTEXT)
-        inside = at < n
-        at = np.minimum(at, n - 1)
-        scored = inside & ((np.arange(CONTEXT) >= CONTEXT - STRIDE) | (starts == 0)[:, None])
-        return inputs[at], targets[at], scored
-
-    def score_texts(self, texts: list[np.ndarray], end: int) -> np.ndarray:
-        """log10 probability of each text, its end included; batches hold windows of many texts."""
-        total = np.zeros(len(texts))
-        pool, owners, held = [], [], 0
-
-        def run():
-            ids, target, scored = (np.concatenate([p[k] for p in pool]) for k in range(3))
-            owner = np.repeat(np.concatenate(owners), scored.sum(axis=1))
-            np.add(total, np.bincount(owner, self.log10(ids, target, scored), minlength=len(total)), out=total)
+        made = list(self.window_runs(ids, end))
+        return tuple(np.concatenate([m[k] for m in made]) for k in range(3))
 
+    def window_runs(self, ids: np.ndarray, end: int):
+        """The windows of one text in order, at most ``BATCH`` of them at once, however long the text is."""
+        n = len(ids) + 1
+        starts = np.arange(0, max(1, n - CONTEXT + STRIDE), STRIDE)
+        for run in range(0, len(starts), BATCH):
+            some = starts[run : run + BATCH]
+            low, high = int(some[0]), min(n, int(some[-1]) + CONTEXT)
+            part = np.concatenate([[end] if low == 0 else ids[low - 1 : low], ids[low:high], [end] if high == n else []]).astype(np.int32)
+            at = some[:, None] + np.arange(CONTEXT)
+            inside = at < n
+            at = np.minimum(at, n - 1) - low
+            scored = inside & ((np.arange(CONTEXT) >= CONTEXT - STRIDE) | (some == 0)[:, None])
+            yield part[at], part[at + 1], scored
+
+    def batches(self, texts, end: int):
+        """(inputs, targets, scored, number of each window's text): batches of windows of many texts, in order."""
+        pool, held = [], 0
         for number, ids in enumerate(texts):
-            made = self.windows(ids, end)
-            for at in range(0, len(made[0]), BATCH):
-                part = [m[at : at + BATCH] for m in made]
-                pool.append(part)
-                owners.append(np.full(len(part[0]), number))
-                held += len(part[0])
+            for made in self.window_runs(ids, end):
+                pool.append((*made, np.full(len(made[0]), number)))
+                held += len(made[0])
                 if held >= BATCH:
-                    run()
-                    pool, owners, held = [], [], 0
+                    together = [np.concatenate([p[k] for p in pool]) for k in range(4)]
+                    yield tuple(c[:BATCH] for c in together)
+                    pool, held = [[c[BATCH:] for c in together]], held - BATCH
         if held:
-            run()
+            yield tuple(np.concatenate([p[k] for p in pool]) for k in range(4))
+
+    def score_texts(self, texts: list[np.ndarray], end: int) -> np.ndarray:
+        """log10 probability of each text, its end included."""
+        total = np.zeros(len(texts))
+        for ids, target, scored, number in self.batches(texts, end):
+            total += np.bincount(np.repeat(number, scored.sum(axis=1)), self.log10(ids, target, scored), minlength=len(total))
         return total
 
     def fresh(self) -> dict[str, np.ndarray]:
@@ -167,47 +172,62 @@ class Model:
     def train(self, ids: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray], scored: np.ndarray | None = None) -> None:
         """One Adagrad step on the targets of a batch of windows, or on those that are ``scored`` only."""
         x, q, k, v, weight, total, z, h3 = self._forward(ids)
-        weight = weight / total
+        weight /= total
         # each id of a text counts once, and what fills up its last window does not
         here = np.flatnonzero(np.ones(target.size, dtype=bool) if scored is None else scored)
         if not len(here):
             return
-        y = target.reshape(-1)[here]
-        node, side, begin, odds, u, hr = self._odds(h3.reshape(-1, WIDTH)[here], y)
-        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - side).astype(np.float32)
+        h, y, order = self._by_path(h3.reshape(-1, WIDTH)[here], target.reshape(-1)[here])
+        push = np.zeros_like(h)
+        nodes, errors, contexts = [], [], []
+        for level, n in enumerate(self._at_depth(y)):
+            node, side = self.tree.node[level][y[:n]], self.tree.side[level][y[:n]]
+            u = self.head[node]
+            odds = np.einsum("ij,ij->i", u, h[:n]) + self.bias[node]
+            error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - side
+            u *= error[:, None]
+            push[:n] += u
+            nodes.append(node)
+            errors.append(error)
+            contexts.append((h[:n] * error[:, None]).T)
+        node, error, context = np.concatenate(nodes), np.concatenate(errors), np.concatenate(contexts, axis=1)
+        head_rows, head_touches, dhead = _row_sums(node, np.vstack([context, error]), len(self.head))
         dh = np.zeros((target.size, WIDTH), np.float32)
-        dh[here] = np.add.reduceat(u * error[:, None], begin, axis=0)
-        touches = np.bincount(node, minlength=len(self.head))
-        nodes = np.flatnonzero(touches)
-        hr *= error[:, None]
-        dhead = np.stack([np.bincount(node, hr[:, d], len(self.head))[nodes] for d in range(WIDTH)], axis=1)
-        dbias = np.bincount(node, error, len(self.head))[nodes]
+        dh[here[order]] = push
         dh3 = dh.reshape(h3.shape)
-        dz = dh3 @ self.out.T
+        dz = (dh @ self.out.T).reshape(h3.shape)
         da = dz @ v.transpose(0, 2, 1)
         dv = weight.transpose(0, 2, 1) @ dz
-        ds = weight * (da - (da * weight).sum(axis=2, keepdims=True))
-        dq = ds @ k * np.float32(WIDTH**-0.5)
-        dk = ds.transpose(0, 2, 1) @ q  # q holds the scale
-        dx = dh3 + dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
+        da -= (da * weight).sum(axis=2, keepdims=True)
+        da *= weight
+        dq = (da @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)  # q holds the scale
+        dv = dv.reshape(-1, WIDTH)
+        dx = dh + dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
         flat = x.reshape(-1, WIDTH).T
-        used, where = np.unique(ids, return_inverse=True)
-        where = where.reshape(-1)
-        dxf = dx.reshape(-1, WIDTH)
+        used, touches, dembed = _row_sums(ids.reshape(-1), np.ascontiguousarray(dx.T), len(self.embed))
         gradients = {
-            "embed": (used, np.stack([np.bincount(where, dxf[:, d]) for d in range(WIDTH)], axis=1)),
-            "place": (slice(None), dx.sum(axis=0)),
-            "query": (slice(None), flat @ dq.reshape(-1, WIDTH)),
-            "key": (slice(None), flat @ dk.reshape(-1, WIDTH)),
-            "value": (slice(None), flat @ dv.reshape(-1, WIDTH)),
+            "embed": (used, dembed),
+            "place": (slice(None), dx.reshape(h3.shape).sum(axis=0)),
+            "query": (slice(None), flat @ dq),
+            "key": (slice(None), flat @ dk),
+            "value": (slice(None), flat @ dv),
             "out": (slice(None), z.reshape(-1, WIDTH).T @ dh),
-            "head": (nodes, dhead),
-            "bias": (nodes, dbias),
+            "head": (head_rows, dhead[:, :WIDTH]),
+            "bias": (head_rows, dhead[:, WIDTH]),
         }
-        scale = 1 / len(y) ** 0.5
+        scale = np.float32(1 / len(y) ** 0.5)
         for name, (rows, gradient) in gradients.items():
             gradient = gradient * scale
-            seen[name][rows] += gradient**2
-            getattr(self, name)[rows] -= (RATE * gradient / np.sqrt(seen[name][rows] + 1e-6)).astype(np.float32)
-        seen["embed_touches"][used] += np.bincount(where)
-        seen["head_touches"][nodes] += touches[nodes]
+            square = seen[name][rows] + gradient * gradient
+            seen[name][rows] = square
+            getattr(self, name)[rows] -= RATE * gradient / np.sqrt(square + np.float32(1e-6))
+        seen["embed_touches"][used] += touches
+        seen["head_touches"][head_rows] += head_touches
+
+
+def _row_sums(row: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that occur, how often, sums of the columns of ``values`` for each)."""
+    count = np.bincount(row, minlength=n)
+    rows = np.flatnonzero(count)
+    return rows, count[rows], np.stack([np.bincount(row, v, n)[rows] for v in values], axis=1).astype(np.float32)

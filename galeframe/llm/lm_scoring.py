@@ -1,29 +1,31 @@
 """Language-model scores of whole texts: a unigram base and a causal attention model.
 
-Words are counted over every training document. The subword counts that start
-the attention model follow from them, as each different word is encoded once
-for all its occurrences. The model is trained where the texts are: every task
-trains on every id of all its training documents, from the same start, and
-what the tasks learned is averaged. Scoring reads every text once more.
+Every text is encoded once; its subword ids are kept beside it. Words and
+subwords are counted over every training document. The training documents are
+dealt by a hash into shards of about ``SHARD_IDS`` ids, whatever the partitions
+of the table are; each shard trains the model on every id of its documents, in
+the order of their hashes and from the same start, and what the shards learned
+is averaged. So scores depend on the table alone, not on how it is partitioned.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .attention_lm import BATCH, Model
-from .common import fold, settled
-from .subwords import default_path, tokenizer, word_encoder
+from .attention_lm import Model
+from .common import fold, settled, small_batches, stored
+from .subwords import default_path, word_encoder
 
 #: Words with at least this share of all tokens are looked up where the text is; so there are at most 1 / share.
 FREQUENT_SHARE = 1 / 1_000_000
-#: Texts that are scored at once.
-SLICE_ROWS = 1000
+#: Training ids of a shard on average; a shard is trained on by one task.
+SHARD_IDS = 4_000_000
 VOCABULARY = 49_408
 END_ID = 49_407
 
@@ -48,24 +50,36 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
-def _subword_counts(counts: DataFrame, path: str) -> np.ndarray:
+def _encoded(texts: DataFrame, path: str) -> DataFrame:
+    """``texts`` with the ids of each text (16-bit, little-endian) and their number."""
+
+    def run(batches):
+        encoder = word_encoder(path)
+        for batch in batches:
+            ids = [np.frombuffer(b, dtype="<u4").astype("<u2").tobytes() for b in encoder.ids(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(b) // 2 for b in ids], pa.int64())], names=["doc_id", "fold", "text", "ids", "n_ids"])
+
+    return texts.mapInArrow(run, "doc_id long, fold int, text string, ids binary, n_ids long")
+
+
+def _ids(column: pa.Array):
+    return (np.frombuffer(b.as_buffer(), dtype="<u2").astype(np.int32) for b in column)
+
+
+def _subword_counts(training: DataFrame) -> np.ndarray:
     """Occurrences of every subword id in the training texts; a table as long as the vocabulary."""
 
     def run(batches):
         total = np.zeros(VOCABULARY, dtype=np.int64)
-        coder = tokenizer(path)
         for batch in batches:
-            by_count: dict[int, list[str]] = {}
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_count.setdefault(n, []).append(word)
-            for n, some in by_count.items():
-                for at in range(0, len(some), 500):
-                    ids = coder.encode(" ".join(some[at : at + 500]), add_special_tokens=False).ids
-                    np.add.at(total, np.array(ids, dtype=np.int64), n)
+            for ids in _ids(batch.column(0)):
+                total += np.bincount(ids, minlength=VOCABULARY) if len(ids) > 4096 else 0
+                if len(ids) <= 4096:
+                    np.add.at(total, ids, 1)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "n"])
 
-    rows = counts.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = training.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(VOCABULARY, dtype=np.int64)
     for row in rows:
         out[row["id"]] = row["n"]
@@ -87,36 +101,18 @@ def _head(model: Model) -> np.ndarray:
     return np.hstack([model.head, model.bias[:, None]]).astype(float)
 
 
-def _train(texts: DataFrame, start: Model, path: str) -> Model:
-    """The average of what the tasks learn from the same start, weighted by how often each touched a row."""
+def _train(training: DataFrame, start: Model, shard_ids: int = SHARD_IDS) -> Model:
+    """The average of what the shards learn from the same start, weighted by how often each touched a row."""
+    shards = max(1, -(-(training.agg(F.sum("n_ids")).first()[0] or 0) // shard_ids))
 
-    def run(batches):
-        encoder = word_encoder(path)
+    def learn(texts):
         model = start.copy()
-        seen, pool, held, tokens = model.fresh(), [], 0, 0
-
-        def step():
-            ids, target, scored = (np.concatenate([p[k] for p in pool]) for k in range(3))
-            for at in range(0, len(ids), BATCH):
-                part = slice(at, at + BATCH)
-                model.train(ids[part], target[part], seen, scored[part])
-
-        for batch in _slices(batches):
-            for ids in encoder.ids(text.as_py() for text in batch.column(0)):
-                made = model.windows(np.frombuffer(ids, dtype="<u4").astype(np.int32), END_ID)
-                pool.append(made)
-                held += len(made[0])
-                tokens += int(made[2].sum())
-                if held >= 4 * BATCH:
-                    step()
-                    pool, held = [], 0
-        if held:
-            step()
-        if not tokens:
-            return
+        seen, tokens = model.fresh(), 0
+        for ids, target, scored, _ in model.batches(texts, END_ID):
+            model.train(ids, target, seen, scored)
+            tokens += int(scored.sum())
         embed, dense = (np.hstack([c, np.zeros((len(c), 1))]) for c in (model.embed - start.embed, _dense(model) - _dense(start)))
-        learned = ((0, embed, seen["embed_touches"]), (1, dense, np.full(len(dense), float(tokens))), (2, _head(model) - _head(start), seen["head_touches"]))
-        for part, change, weight in learned:
+        for part, change, weight in ((0, embed, seen["embed_touches"]), (1, dense, np.full(len(dense), float(tokens))), (2, _head(model) - _head(start), seen["head_touches"])):
             slot = np.flatnonzero(weight)
             w = np.sqrt(weight[slot])
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +120,15 @@ def _train(texts: DataFrame, start: Model, path: str) -> Model:
                 names=[c.split()[0] for c in _LEARNED.split(", ")],
             )
 
-    total = texts.select("text").mapInArrow(run, _LEARNED).groupBy("part", "slot").agg(F.sum("weight").alias("weight"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(9)))
+    def run(batches):
+        rows = ((shard, ids) for batch in batches for shard, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1)), strict=True))
+        for _, texts in itertools.groupby(rows, key=lambda r: r[0]):
+            yield from learn(ids for _, ids in texts)
+
+    order = F.xxhash64("doc_id", "ids")
+    dealt = training.select(F.pmod(order, F.lit(shards)).cast("int").alias("shard"), "ids", order.alias("place"), "doc_id")
+    dealt = dealt.repartitionByRange(int(shards), "shard").sortWithinPartitions("shard", "place", "doc_id").select("shard", "ids")
+    total = dealt.mapInArrow(run, _LEARNED).groupBy("part", "slot").agg(F.sum("weight").alias("weight"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(9)))
     # as many rows as the model has, whatever the input
     learned = total.toArrow()
     part, slot, weight = (learned[c].to_numpy() for c in ("part", "slot", "weight"))
@@ -148,24 +152,14 @@ def _train(texts: DataFrame, start: Model, path: str) -> Model:
 _SCORED = "row long, key long, is_text boolean, doc_id long, fold int, n_words long, known long, base double, n long, score double"
 
 
-def _slices(batches):
-    """The same rows in smaller batches, which bounds the ids that are held at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
-
-
-def _score(texts: DataFrame, model: Model, frequent: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:
+def _score(encoded: DataFrame, model: Model, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """A row per text with what is known where the text is, and one per rarer word of each text."""
 
     def run(batches):
-        encoder = word_encoder(path)
         keys, logs = frequent
-        number = TaskContext.get().partitionId() << 36
-        for batch in _slices(batches):
+        for batch in batches:
             size = batch.num_rows
-            rows = np.arange(number, number + size)
-            number += size
+            rows = batch.column(4).to_numpy()
             n_words, known, base = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
             rare: list[list[np.ndarray]] = [[], [], []]
             for i, j, found in words.word_blocks(batch.column(2), lower=True):
@@ -186,8 +180,7 @@ def _score(texts: DataFrame, model: Model, frequent: tuple[np.ndarray, np.ndarra
                 rare[0].append(rows[d[new]])
                 rare[1].append(v[new])
                 rare[2].append(np.diff(np.append(new, len(d))))
-            ids = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in encoder.ids(t.as_py() for t in batch.column(2))]
-            score = model.score_texts(ids, END_ID)
+            score = model.score_texts(list(_ids(batch.column(3))), END_ID)
             names = [c.split()[0] for c in _SCORED.split(", ")]
             spread = words.mix(rows.astype(np.uint64)).view(np.int64)  # no word: only deals texts over the tasks
             yield pa.RecordBatch.from_arrays(
@@ -204,7 +197,7 @@ def _score(texts: DataFrame, model: Model, frequent: tuple[np.ndarray, np.ndarra
                     names=names,
                 )
 
-    return texts.mapInArrow(run, _SCORED)
+    return encoded.select("doc_id", "fold", "text", "ids", "row").mapInArrow(run, _SCORED)
 
 
 def score(docs: DataFrame, parts: int = 7, held: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +213,10 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, path: str | None = Non
     """
     path = path or default_path()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(F.col(id_col), parts).alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    training = texts.where(F.col("fold") != held)
+    small_batches(docs.sparkSession)
+    # rows are numbered in the stored table, so that every pass over it sees the same numbers
+    encoded = stored(_encoded(texts, path).withColumn("row", F.monotonically_increasing_id()))
+    training = encoded.where(F.col("fold") != held)
     counts = settled(_word_counts(training))
     ends = training.count()
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -231,11 +227,11 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, path: str | None = Non
     order = np.argsort(key)
     frequent = key[order], np.log10(c[order] + 1.0) - bottom
 
-    subwords = _subword_counts(counts, path)
+    subwords = _subword_counts(training)
     subwords[END_ID] += ends
-    model = _train(training, Model.start(subwords), path)
+    model = _train(training, Model.start(subwords))
 
-    found = _score(texts, model, frequent, path).join(counts.select("key", F.col("n").alias("c")), "key", "left")
+    found = _score(encoded, model, frequent).join(counts.select("key", F.col("n").alias("c")), "key", "left")
     word = ~F.col("is_text")
     rare = F.when(word, F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - bottom)).otherwise(F.col("base"))
     known = F.when(word, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).otherwise(F.col("known"))

@@ -87,14 +87,60 @@ def test_base_scores_equal_brute_force(make, prose):
 
 
 def test_every_id_of_every_training_text_is_trained_on(make, prose):
-    rows = [(k, prose(k, 60)) for k in range(40)]
-    path = lm_scoring.default_path()
-    ids = [np.frombuffer(b, dtype="<u4") for b in lm_scoring.word_encoder(path).ids([t for _, t in rows])]
-    start = attention_lm.Model.start(np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY))
+    docs = make([(k, prose(k, 60)) for k in range(40)]).selectExpr("doc_id", "0 AS fold", "text")
+    encoded = lm_scoring._encoded(docs, lm_scoring.default_path())
+    counts = lm_scoring._subword_counts(encoded)
+    start = attention_lm.Model.start(counts)
     start.head += np.random.default_rng(1).standard_normal(start.head.shape).astype(np.float32)
-    model = lm_scoring._train(make(rows), start, path)
-    used = np.unique(np.concatenate(ids))
-    assert (model.embed[used] != start.embed[used]).any(axis=1).all()
+    used = np.flatnonzero(counts)
+    for shard_ids in (10**9, 500):
+        model = lm_scoring._train(encoded, start, shard_ids)
+        assert (model.embed[used] != start.embed[used]).any(axis=1).all()
+
+
+def test_scores_do_not_depend_on_partitions_and_context_helps(make, prose, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_IDS", 20_000)
+    docs = make([(k, f"{prose(k % 30, 80)} {prose(k, 40)}") for k in range(300)] + [(None, "a b")])
+    found = [{r.doc_id: r for r in lm_scoring.score(docs.repartition(n)).collect()} for n in (4, 16)]
+    assert all(math.isclose(r.score, found[1][i].score, rel_tol=1e-5) for i, r in found[0].items())
+    monkeypatch.setattr(lm_scoring, "_train", lambda training, start: start)
+    untrained = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    held = [i for i, r in found[0].items() if r.held_out]
+    assert sum(found[0][i].score for i in held) > 0.95 * sum(untrained[i] for i in held) and len(held) > 20
+
+
+def naive_score(model, ids, end):
+    """One window, one position and one head row at a time, with an explicit mask."""
+    inputs, targets, total = [end, *ids], [*ids, end], 0.0
+    done = 0
+    for start in range(0, max(1, len(targets) - attention_lm.CONTEXT + attention_lm.STRIDE), attention_lm.STRIDE):
+        part = inputs[start : start + attention_lm.CONTEXT]
+        x = np.array([model.embed[t] + model.place[p] for p, t in enumerate(part)], dtype=float)
+        for p in range(len(part)):
+            if start + p < done:
+                continue
+            q = x[p] @ model.query / math.sqrt(attention_lm.WIDTH)
+            odds = np.exp([q @ (x[o] @ model.key) for o in range(p + 1)])
+            z = sum(w * (x[o] @ model.value) for o, w in enumerate(odds / odds.sum()))
+            h = x[p] + z @ model.out
+            target = targets[start + p]
+            for level in range(model.tree.length[target]):
+                node, side = model.tree.node[level][target], model.tree.side[level][target]
+                right = 1 / (1 + math.exp(-(h @ model.head[node] + model.bias[node])))
+                total += math.log10(right if side else 1 - right)
+        done = start + len(part)
+    assert done >= len(targets)
+    return total
+
+
+def test_batched_scores_equal_naive_masked_attention():
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 60, n) for n in (0, 1, 11, 12, 15, 16, 17, 28, 29, 200)]
+    model = attention_lm.Model.start(np.bincount(np.concatenate(texts), minlength=80))
+    seen = model.fresh()
+    for ids, target, scored, _ in model.batches(texts * 5, 79):
+        model.train(ids, target, seen, scored)
+    assert np.allclose(model.score_texts(texts, 79), [naive_score(model, list(t), 79) for t in texts], rtol=1e-4)
 
 
 def test_context_tells_rare_ids_apart():
