@@ -42,7 +42,7 @@ def settled(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

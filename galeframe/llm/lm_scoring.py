@@ -34,20 +34,16 @@ END_ID = 49_407
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
-    """(key, word, n): every different word of the training texts, summed by task and then over all."""
+    """(key, n): every different word of the training texts by its 64-bit hash, summed by task and then over all."""
 
     def run(batches):
         for batch in batches:
             for _, _, found in words.word_blocks(batch.column(0), lower=True):
-                if not len(found.value):
-                    continue
-                key, at, n = np.unique(found.value, return_index=True, return_counts=True)
-                data = found.data.tobytes()
-                text = [data[a:b].decode() for a, b in zip(found.begin[at].tolist(), found.end[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(text, pa.string()), pa.array(n.astype(np.int64))], names=["key", "word", "n"])
+                if len(found.value):
+                    key, n = np.unique(found.value, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "key long, word string, n long")
-    return counted.groupBy("key", "word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _encoded(texts: DataFrame, path: str) -> DataFrame:
@@ -231,7 +227,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, path: str | None = Non
     subwords[END_ID] += ends
     model = _train(training, Model.start(subwords))
 
-    found = _score(encoded, model, frequent).join(counts.select("key", F.col("n").alias("c")), "key", "left")
+    found = _score(encoded, model, frequent).join(counts.withColumnRenamed("n", "c"), "key", "left")
     word = ~F.col("is_text")
     rare = F.when(word, F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - bottom)).otherwise(F.col("base"))
     known = F.when(word, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).otherwise(F.col("known"))
