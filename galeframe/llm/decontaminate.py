@@ -2,10 +2,11 @@
 
 Numbers, units and names become typed placeholders, so a question whose numbers
 or names were replaced keeps its template. Windows of ``WINDOW`` template words
-of the documents are hash-joined to those of the benchmark. A joined alignment
-of a document and an item counts only if its slots are consistent: each value
-of the item stands for one value of the document, and the other way round.
-Windows with names are joined a second time with the names as words, so a copy
+of the documents are hash-joined to those of the benchmark. A leak is a run of
+``NEEDED`` consecutive windows of an item that a document holds in one alignment
+with consistent slots: within the run each value of the item stands for one
+value of the document, and the other way round. Windows elsewhere, whatever
+their values, take nothing away from a run. Windows with names are joined a second time with the names as words, so a copy
 whose names are not marked (lower-case, or the first word of a line) is met too.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import settled, without_keys
 
@@ -21,8 +23,9 @@ WINDOW = 8
 NEEDED = 6
 #: Literal words that a window must have; placeholders alone say nothing.
 LITERALS = 4
-#: The benchmark's windows are broadcast up to so many, and shuffled beyond.
+#: The benchmark's windows are broadcast up to so many, and so many bytes of slots, and shuffled beyond.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 NUMBER, NAME, UNIT = "", "", ""
 MARKS = f"{NUMBER}-{UNIT}"
@@ -59,17 +62,17 @@ def surface(text):
 
 
 def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
-    """(id, length, place, literal, key, slots) of every template window of the given lengths; ``literal`` ones hold names as words.
+    """(id, row, length, place, literal, key, slots) of every template window of the given lengths; ``literal`` ones hold names as words.
 
     No filter stands above the projections: Spark would push it below them and
     work out the words once more for it.
     """
-    words = rows.select(F.col(id_col).alias("id"), surface(F.col("text")).alias("surface"))
+    words = rows.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), surface(F.col("text")).alias("surface"))
     words = words.withColumn("slotted", F.col("surface").rlike(f"[{MARKS}]"))
     template = F.when(F.col("slotted"), F.regexp_replace("surface", f"([{MARKS}])[^ ]*", "$1")).otherwise(F.col("surface"))
     # the same as the template where no name is
     literal = F.when(F.col("surface").contains(NAME), F.split(F.translate(F.regexp_replace("surface", f"([{NUMBER}{UNIT}])[^ ]*", "$1"), NAME, ""), " "))
-    words = words.select("id", "slotted", literal.alias("literal"), F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
+    words = words.select("id", "row", "slotted", literal.alias("literal"), F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
     parts = []
     for length in lengths:
         windows = F.expr(
@@ -84,7 +87,7 @@ def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
                 'key', xxhash64(slice(literal, at, {length}), {length}),
                 'slots', filter(slice(surface, at, {length}), w -> substr(w, 1, 1) IN ('{NUMBER}', '{UNIT}')))) ELSE array() END) END"""
         )
-        parts.append(words.select("id", F.explode(windows).alias("w")).select("id", F.lit(length).alias("length"), "w.place", "w.literal", "w.key", "w.slots"))
+        parts.append(words.select("id", "row", F.explode(windows).alias("w")).select("id", "row", F.lit(length).alias("length"), "w.place", "w.literal", "w.key", "w.slots"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -92,11 +95,12 @@ def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
-    """(doc_id, item_id, n_windows): documents that hold a benchmark item, and how many of its windows.
+    """(doc_id, item_id, n_windows): documents that hold a benchmark item, and how many of its windows stand in runs.
 
     Texts of documents and items may be null or empty: such a row has no windows
-    and matches nothing. Rows with equal ids count as one document. A row with
-    a null id takes no part. Columns of other names are not read. An empty
+    and matches nothing. Rows with equal ids count as one document, but a run
+    lies within one row. A row with a null id takes no part. A very long text
+    has as many windows as any; columns of other names are not read. An empty
     table on either side gives no rows.
     """
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
@@ -109,19 +113,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need
     of_items = _windows(items, "item_id", sorted(lengths)).join(own_length.distinct(), "id").where("length = own")
     of_items = of_items.where(F.col("length") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.col("length"), F.lit(LITERALS)))
     of_items = settled(of_items.select(F.col("id").alias("item_id"), F.col("literal").alias("item_literal"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
-    templates = F.countDistinct(F.when(~F.col("item_literal"), F.col("item_place")))
-    totals = of_items.groupBy("item_id").agg(F.least(F.when(templates > 0, templates).otherwise(F.countDistinct("item_place")), F.lit(needed)).alias("need"))
-    small = of_items.count() <= BROADCAST_WINDOWS  # checked, else the join shuffles and adaptive execution splits a frequent window
+    # windows of an item that say enough, in order; a run is of neighbours in it
+    of_items = settled(of_items.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id").orderBy("item_place"))))
+    needs = of_items.groupBy("item_id").agg(F.least(F.max("rank"), F.lit(needed)).alias("need"))
+    size = of_items.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("item_slots", "")))).first()
+    small = size[0] <= BROADCAST_WINDOWS and (size[1] or 0) <= BROADCAST_BYTES  # else the join shuffles and adaptive execution splits a frequent window
     of_docs = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", sorted(lengths))
     met = of_docs.join(F.broadcast(of_items) if small else of_items, "key")
-    # one to one between the values of the item and those of the document
     pairs = F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d"))
-    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), (F.col("literal") | F.col("item_literal")).alias("literal"), "item_place", pairs.alias("pairs"))
-    aligned = met.groupBy("doc_id", "item_id", "shift", "literal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-    covered = aligned.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
-    limit = F.broadcast(totals) if small else totals
-    return covered.join(limit, "item_id").where("n >= need").select("doc_id", "item_id", F.col("n").cast("long").alias("n_windows"))
+    # a window that is met with its names as words needs no values for them
+    best = F.min(F.struct((~(F.col("literal") | F.col("item_literal"))).alias("named"), pairs.alias("pairs")))
+    met = met.groupBy("row", F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "rank").agg(best.alias("best"))
+    aligned = met.groupBy("row", "doc_id", "item_id", "shift").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("best.pairs").alias("pairs")))).alias("w"))
+    aligned = aligned.join(F.broadcast(needs) if small else needs, "item_id").where("size(w) >= need")
+    runs = F.expr(
+        """filter(sequence(1, size(w) - need + 1), at -> w[at + need - 2].rank - w[at - 1].rank = need - 1
+            AND size(array_distinct(flatten(transform(slice(w, at, need), x -> x.pairs)))) = size(array_distinct(flatten(transform(slice(w, at, need), x -> transform(x.pairs, p -> p.i)))))
+            AND size(array_distinct(flatten(transform(slice(w, at, need), x -> x.pairs)))) = size(array_distinct(flatten(transform(slice(w, at, need), x -> transform(x.pairs, p -> p.d))))))"""
+    )
+    covered = F.expr("size(array_distinct(flatten(transform(runs, at -> sequence(at, at + need - 1)))))")
+    found = aligned.withColumn("runs", runs).where("size(runs) > 0").groupBy("doc_id", "item_id").agg(F.max(covered).cast("long").alias("n_windows"))
+    return found.select("doc_id", "item_id", "n_windows")
 
 
 def label_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

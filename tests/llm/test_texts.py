@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from galeframe.llm import decontaminate, html_text, pii, token_counts
 
@@ -108,12 +110,15 @@ QUESTION = "A farmer near Riverton sold 12 crates of apples to Maria and later 1
 
 def test_reparameterised_questions_are_found(spark, make, prose):
     same = QUESTION.replace("12", "35").replace("24", "70").replace("Maria", "Otto").replace("kg", "lb")
-    broken = QUESTION.replace("sold 12", "sold 35").replace("Maria", "Otto")  # 12 stands for 35 and for 12
-    rows = [(1, prose(1, 50) + ". " + QUESTION), (2, f"{prose(2, 30)}. {same} {prose(3, 9)}"), (3, broken), (4, prose(4, 200)), (5, None), (6, ""), (None, QUESTION), (7, QUESTION.upper())]
+    # 12 stands for 35 and for 12, but the item's last 19 words are there verbatim
+    broken = QUESTION.replace("sold 12", "sold 35").replace("Maria", "Otto")
+    # no run of 13 words has one value for each
+    clean = QUESTION.replace("Riverton", "Otto").replace("Maria", "Otto").replace("pears", "plums").replace("24", "12").replace("weighing 90", "weighing 12")
+    rows = [(1, prose(1, 50) + ". " + QUESTION), (2, f"{prose(2, 30)}. {same} {prose(3, 9)}"), (3, broken), (4, prose(4, 200)), (5, None), (6, ""), (None, QUESTION), (7, QUESTION.upper()), (8, clean)]
     items = spark.createDataFrame([(10, QUESTION), (11, None), (12, ""), (13, prose(9, 40)), (14, "tiny item here")], "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate.label_leaks(make(rows), items).collect() if r.doc_id}
-    assert {i for i, r in found.items() if r.contaminated} >= {1, 2}
-    assert not any(found[i].contaminated for i in (3, 4, 5, 6))
+    assert {i for i, r in found.items() if r.contaminated} >= {1, 2, 3}
+    assert not any(found[i].contaminated for i in (4, 5, 6, 8))
     assert found[2].item_ids == "10"
     kept = decontaminate.drop_leaks(make(rows), items)
     assert kept.columns == make(rows).columns
@@ -133,3 +138,60 @@ def test_copies_whose_names_are_not_marked_are_found(spark, make, prose):
     rows = [(1, f"{prose(1, 20)} {text.lower()} {prose(2, 20)}"), (2, text.replace(" Carl", "\nCarl").replace(" Fred", "\nFred").replace(" Halle", "  Halle")), (3, prose(3, 60))]
     assert [r.doc_id for r in decontaminate.label_leaks(make(rows), items).where("contaminated").orderBy("doc_id").collect()] == [1, 2]
     assert decontaminate.label_leaks(make([(1, text)]), spark.createDataFrame([(1, text.lower())], "item_id long, text string")).first().contaminated
+
+
+def runs_by_hand(doc, item, window=decontaminate.WINDOW, needed=decontaminate.NEEDED):
+    """Whether a document's words (with marks) hold a run of the item's: every alignment, every run, one after another."""
+    def word(w):
+        return w[0] if w[0] in decontaminate.NUMBER + decontaminate.NAME + decontaminate.UNIT else w
+
+    def plain(w):
+        return w[1:] if w[0] == decontaminate.NAME else word(w)
+
+    def pairs(d, i):
+        both = [(b, a) for a, b in zip(d, i, strict=True) if a != word(a) and b != word(b)]
+        if [plain(w) for w in d] == [plain(w) for w in i]:
+            return [(b, a) for b, a in both if b[0] != decontaminate.NAME and a[0] != decontaminate.NAME]
+        return both if [word(w) for w in d] == [word(w) for w in i] else None
+
+    length = min(len(item), window)
+    say = [p for p in range(len(item) - length + 1) if sum(plain(w) == w or w[0] == decontaminate.NAME for w in item[p : p + length]) >= min(length, decontaminate.LITERALS)]
+    say = [p for p in say if sum(word(w) == w for w in item[p : p + length]) >= min(length, decontaminate.LITERALS) or any(w[0] == decontaminate.NAME for w in item[p : p + length])]
+    need = min(len(say), needed)
+    for shift in range(-len(item), len(doc)):
+        for first in range(len(say) - need + 1):
+            found = set()
+            for p in say[first : first + need]:
+                here = pairs(doc[p + shift : p + shift + length], item[p : p + length]) if p + shift >= 0 and p + shift + length <= len(doc) else None
+                if here is None:
+                    break
+                found.update(here)
+            else:
+                if need and len(found) == len({a for a, _ in found}) == len({b for _, b in found}):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_leaks_equal_brute_force(spark, make, prose, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    r = random.Random(4)
+    texts = [QUESTION, prose(40, 30), "seven small words make this item here", "a train leaves Milan at 9 and reaches Turin at 11 after 140 km of track and 2 stops"]
+    rows = [(0, prose(1, 60)), (1, None), (2, ""), (3, QUESTION), (3, prose(2, 30))]
+    for k in range(60):
+        words = r.choice(texts).split()
+        for _ in range(r.choice([0, 1, 2, 3])):
+            at = r.randrange(len(words))
+            words[at] = r.choice(["12", "24", "35", "Otto", "Maria", "maria", "word", "kg"])
+        a = r.randrange(len(words))
+        rows.append((10 + k, f"{prose(k, 9)} {' '.join(words[a // 2 :])} {prose(k + 1, 9)}"))
+    pieces = QUESTION.split()
+    rows.append((100, " ".join(f"{' '.join(pieces[2 * k : 2 * k + 8])} {prose(k, 1 + k)}" for k in range(8))))  # scattered fragments
+    items = spark.createDataFrame([*enumerate(texts), (9, None), (8, "")], "item_id long, text string")
+    words = {i: [] for i, _ in rows}
+    for i, s in make(rows).select("doc_id", decontaminate.surface(F.col("text"))).collect():
+        words[i].append(s.split())
+    of_items = {i: s.split() for i, s in items.select("item_id", decontaminate.surface(F.col("text"))).collect()}
+    expected = {(d, i) for d, several in words.items() for i, item in of_items.items() if item and any(runs_by_hand(doc, item) for doc in several)}
+    found = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(make(rows), items).collect()}
+    assert found == expected and len(found) > 20 and not any(d == 100 for d, _ in found)
