@@ -10,13 +10,16 @@ must agree on all of some slab that is not empty (their sets differ in fewer
 shingles than there are slabs). Documents that agree on a slab stand together,
 are put into an R-tree of their count vectors, and those whose bound reaches the
 threshold are connected; what is connected that way is a family, and no link
-ever leaves its family. The lower level is an R-tree over each family: boxes,
-then points, are compared by the bound, and the pairs that survive it are
-verified on the sets themselves. A family of many documents is split into
-blocks, and pairs of blocks are separate tasks.
-
-Within a task a pair whose documents are connected already is not verified
-again, so a group of copies costs as many links as it has documents.
+ever leaves its family. The lower level is an R-tree over a block of a family:
+boxes, then points, are compared by the bound, and the pairs that survive it are
+verified on the sets themselves.
+
+Equal sets are linked first and go on as one. A family of many documents is
+split into blocks; each is linked within itself, then a few documents of every
+block and group meet in new blocks until they fit into one. A family that is one
+group by then is done, and its cost is a few sets a document. Where groups are
+left, every document outside the family's largest group is compared with all
+documents of other groups, block by block, which no link escapes.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .common import settled, small_batches, without_keys
+from .common import MOST_IDS, settled, small_batches, stored, without_keys
 from .components import components
 
 #: Coordinates of a point, at least, and the mean count in a coordinate, at most.
@@ -48,8 +51,10 @@ BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1000
 #: Sizes from one to this many times as large share the same slabs.
 BAND = 1.5
-#: Frequent sets that are linked before slabs are dealt out.
-FREQUENT = 1000
+#: Documents of a block and group that meet those of other blocks.
+SPOKESMEN = 8
+#: Families' documents that are broadcast to fetch their texts, at most; more are shuffled.
+MOST_PLACED = 200_000
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -64,10 +69,10 @@ def shingle_sets(column: pa.Array, n: int):
             if b - a >= n:
                 yield row, np.unique(run[a : b - n + 1])
             elif b > a:
-                short = np.uint64(b - a)
-                for v in value[a:b]:
-                    short = words.mix(np.array([short * np.uint64(0x9E3779B97F4A7C15) + v]))[0]
-                yield row, np.array([short])
+                short = np.array([b - a], dtype=np.uint64)
+                for k in range(a, b):
+                    short = words.mix(short * np.uint64(0x9E3779B97F4A7C15) + value[k : k + 1])
+                yield row, short
             else:
                 yield row, np.zeros(0, dtype=np.uint64)
 
@@ -96,11 +101,10 @@ def slab_plan(band: int, threshold: Fraction) -> tuple[int, int]:
 
 
 def slab_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Keys of a set's slabs, in its own band and, where a larger set may be similar, in the next."""
+    """Keys of a set's slabs, in its own band and in every higher one that a similar set may be in."""
     n = len(shingles)
-    band = int(_band(np.array([n]))[0])
-    largest = int(n / threshold)
-    bands = [band] if largest <= band_top(band) else [band, band + 1]
+    lowest, highest = _band(np.array([n, int(n / threshold)])).tolist()
+    bands = range(lowest, highest + 1)
     mixed = words.mix(shingles ^ np.uint64(0x5AB5))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
     high = shingles >> np.uint64(32)
@@ -145,48 +149,26 @@ def _whole(shingles: np.ndarray) -> np.uint64:
     return words.mix(np.array([words.mix(shingles).sum() ^ np.uint64(len(shingles))]))[0]
 
 
-def _facts(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, point): the size of each set, a hash of it, and its point with counts of 255 for more."""
+def _facts(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, set_key, point, keys): the size of each set, a hash of it, its point with counts of 255 for more, and its slabs."""
 
     def run(batches):
         for batch in batches:
             size = np.zeros(batch.num_rows, dtype=np.int64)
             key = np.zeros(batch.num_rows, dtype=np.uint64)
             points = [b""] * batch.num_rows
+            keys = [np.zeros(0, np.int64)] * batch.num_rows
             for row, s in shingle_sets(batch.column(1), n):
                 size[row], key[row] = len(s), _whole(s)
-                groups = coordinates(int(_band(np.array([len(s)]))[0]) + 1)
+                groups = coordinates(int(_band(np.array([len(s) / threshold]).astype(float))[0]))
                 points[row] = np.minimum(count_vector(s, groups), 255).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64)), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_key", "point"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, point binary")
-
-
-def _keys(docs: DataFrame, n: int, threshold: Fraction, frequent: dict[int, int]) -> DataFrame:
-    """(doc_id, key) of every slab of every set. Of a frequent set, only its smallest id has slabs."""
+                if len(s):
+                    keys[row] = slab_keys(s, threshold).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64)), pa.array(points, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "point", "keys"])
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            out_ids, out_keys, held = [], [], 0
-            for row, s in shingle_sets(batch.column(1), n):
-                if len(s) == 0:
-                    continue
-                if frequent:
-                    whole = int(_whole(s).view(np.int64))
-                    if frequent.get(whole, ids[row]) != ids[row]:
-                        continue
-                keys = slab_keys(s, threshold)
-                out_ids.append(np.full(len(keys), ids[row], dtype=np.int64))
-                out_keys.append(keys)
-                held += len(keys)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_keys).view(np.int64))], names=["doc_id", "key"])
-                    out_ids, out_keys, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_keys).view(np.int64))], names=["doc_id", "key"])
-
-    return docs.mapInArrow(run, "doc_id long, key long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, point binary, keys array<long>")
 
 
 # --- the R-tree of one block or pair of blocks
@@ -220,9 +202,9 @@ class RTree:
 class Groups:
     """Which points are connected so far: a label each."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.left = n
+    def __init__(self, label: np.ndarray):
+        different, self.label = np.unique(label, return_inverse=True)
+        self.left = len(different)
 
     def apart(self, x: int) -> np.ndarray:
         return self.label != self.label[x]
@@ -232,10 +214,11 @@ class Groups:
         self.left -= 1
 
 
-def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction) -> list[tuple[int, int]]:
+def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects: at most one fewer than there are documents.
 
-    With ``side``, only pairs of different sides are looked at.
+    With ``side``, only pairs of different sides are looked at; with ``label``,
+    only documents that it does not connect already.
     """
     rate = threshold / (1 + threshold)  # overlap >= rate * (a + b) is similarity >= threshold
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -246,7 +229,7 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     if not len(stored) or not len(asking):
         return []
     tree = RTree(points[stored], sizes[stored])
-    known = Groups(len(ids))
+    known = Groups(np.arange(len(ids)) if label is None else label)
     out = []
     for q in asking.tolist():
         if known.left == 1:
@@ -264,7 +247,7 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
 def near_pairs(points: np.ndarray, sizes: np.ndarray, rate: Fraction) -> list[tuple[int, int]]:
     """Pairs that connect all points whose overlap, by the bound, may reach the threshold."""
     tree = RTree(points, sizes)
-    known = Groups(len(points))
+    known = Groups(np.arange(len(points)))
     out = []
     for q in range(len(points)):
         if known.left == 1:
@@ -336,32 +319,90 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _verified(blocks: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): links of each pair of blocks; rows of a pair stand together, sorted."""
+PLACED = ["family", "i", "j", "side", "doc_id", "label", "shingles"]
+
+
+def _verified(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): links within each (family, i, j); where j is not -1, only those of side 1 with side 0."""
 
     def run(batches):
-        key, ids, sides, sets, out = None, [], [], [], []
+        key, ids, sides, labels, sets, out = None, [], [], [], [], []
 
         def finish():
             if len(ids) > 1:
-                side = np.array(sides)
-                out.extend(linked_pairs(np.array(ids), sets, None if key[1] == key[2] else side, threshold))
+                whole = key[2] == -1
+                out.extend(linked_pairs(np.array(ids), sets, None if whole else np.array(sides), threshold, np.array(labels)))
+
+        def batch_out():
+            done = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+            return done
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for family, i, j, block, doc_id, raw in zip(*columns, batch.column(5), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for family, i, j, side, doc_id, label, raw in zip(*columns, batch.column(6), strict=True):
                 if (family, i, j) != key:
                     finish()
-                    key, ids, sides, sets = (family, i, j), [], [], []
+                    key, ids, sides, labels, sets = (family, i, j), [], [], [], []
                 ids.append(doc_id)
-                sides.append(int(block == j))
+                sides.append(side)
+                labels.append(label)
                 sets.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            out.clear()
+            yield batch_out()
         finish()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        yield batch_out()
+
+    together = rows.select(PLACED).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "doc_id")
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _sets_of(texts: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """``placed`` with the sets of its documents; texts move only where their documents are too many to be broadcast."""
+    if placed.count() <= MOST_PLACED:
+        return _sets(texts.join(F.broadcast(placed), "doc_id").select(*placed.columns, F.col("text").alias("body")), n)
+    return _sets(words.squeeze(texts).join(placed, "doc_id").select(*placed.columns, "body"), n)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the label of each document: the smallest id that links reach."""
+    found = components(links).select(F.col("id").alias("doc_id"), "component")
+    return rows.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
 
-    return blocks.mapInArrow(run, "a long, b long")
+def _block(n, salt: int = 0):
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+
+
+def _links_of_large(large: DataFrame, threshold: Fraction, block_docs: int) -> DataFrame:
+    """Links of families of several blocks: (doc_id, family, blocks, shingles) rows of whole families."""
+    # each block within itself
+    rows = large.withColumn("i", _block(F.col("blocks"))).withColumns({"j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
+    links = settled(_verified(rows, threshold))
+
+    # a few documents of every block and group meet in new blocks, fewer each time
+    level, met, size = 0, rows, None
+    while True:
+        first = Window.partitionBy("family", "i", "label").orderBy(F.xxhash64("doc_id", F.lit(-1)), "doc_id")
+        some = _labelled(met, links).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SPOKESMEN).drop("nth")
+        several = some.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.max("i").alias("last")).where("x < y AND last > 0")
+        blocks = several.select("family", F.ceil(F.col("n") / block_docs).cast("int").alias("fewer"))
+        level += 1
+        met = settled(some.join(blocks, "family").withColumn("i", _block(F.col("fewer"), level)).drop("fewer"))
+        now = met.count()
+        if now == 0 or size is not None and 2 * now > size:
+            break
+        size = now
+        links = settled(links.unionByName(_verified(met, threshold)))
+
+    # what is not in its family's largest group is compared with all other groups
+    label = settled(_labelled(rows.select("doc_id", "family", "blocks", "i"), links))
+    groups = label.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = groups.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    left = most.where("most.n < all").select("family", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block_docs).cast("int").alias("strays"))
+    open_rows = label.join(left, "family").join(large.select("doc_id", "shingles"), "doc_id")
+    home = open_rows.withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("strays") - 1)), "side": F.lit(0)})
+    stray = open_rows.where("label <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"j": _block(F.col("strays"), -2), "side": F.lit(1)})
+    return links.unionByName(_verified(home.select(PLACED).unionByName(stray.select(PLACED)), threshold))
 
 
 def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -373,33 +414,35 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     threshold or more, exactly; component_id is the smallest id that links
     reach. A null or empty text has an empty set and links with nothing; a row
     with a null id has its size and no component of its own. Rows with equal
-    ids are one document with several sets. Other columns are not read.
+    ids are one document with several sets. A very long text is a set like any
+    other; an empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    facts = settled(_facts(texts, n))
+    facts = stored(_facts(texts, n, threshold))
     known = facts.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    # equal sets: each to the smallest id that has it; the most frequent ones, at most FREQUENT, get slabs once
-    of_set = known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    share = F.greatest(F.lit(16.0), F.lit(known.count() / FREQUENT))
-    frequent = {r["set_key"]: r["least"] for r in of_set.where(F.col("n") > share).select("set_key", "least").collect()}
-    equal = known.join(of_set, "set_key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    # equal sets: each to the smallest id that has it, which alone goes on
+    of_set = settled(known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_key", "least"))
+    of_set = F.broadcast(of_set) if of_set.count() <= MOST_IDS else of_set
+    equal = known.select("doc_id", "set_key").join(of_set, "set_key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    alone = known.join(of_set, "set_key", "left").where("least IS NULL OR doc_id = least")
 
-    named = texts.where("doc_id IS NOT NULL")
-    slab = _keys(named, n, threshold, frequent).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
-    members = slab.select("doc_id", "key").join(known.select("doc_id", "n_shingles", "point"), "doc_id")
+    slab = alone.select("doc_id", F.explode("keys").alias("key")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+    members = slab.select("doc_id", "key").join(alone.select("doc_id", "n_shingles", "point"), "doc_id")
     agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold).distinct()
     families = settled(components(agreed).select(F.col("id").alias("doc_id"), F.col("component").alias("family")))
 
-    # blocks of a family by hash, so that no task ever holds a family; pairs of blocks are dealt out
-    sized = families.join(known.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    # families of one block are compared as they are, larger ones by blocks
+    sized = families.join(alone.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
     crowd = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / (1000 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    placed = families.join(crowd, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = _sets(words.squeeze(named).join(placed, "doc_id").select("doc_id", "family", "blocks", "block", "body"), n)
-    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("doc_id", "family", "block", "shingles", pairs).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "shingles")
-    together = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
-    links = settled(equal.unionByName(_verified(together, threshold)))
+    placed = settled(families.join(crowd, "family").select("doc_id", "family", "blocks"))
+    named = texts.where("doc_id IS NOT NULL")
+    small = _sets_of(named, placed.where("blocks = 1"), n).withColumns({"i": F.lit(0), "j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
+    links = equal.unionByName(_verified(small, threshold))
+    large = placed.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_links_of_large(stored(_sets_of(named, large, n)), threshold, block_docs))
     found = components(links)
     facts = facts.select("doc_id", "n_shingles")
     return facts.join(found, facts["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -40,6 +40,36 @@ def test_groups_equal_brute_force(make, prose, n, threshold):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in found} == {(i, len(sets[i]), label[i]) for i in sets}
 
 
+@pytest.mark.parametrize("threshold", [Fraction(1, 2), Fraction(3, 5), Fraction(2, 3), Fraction(4, 5), Fraction(9, 10)])
+def test_subsets_at_the_threshold_share_a_slab(threshold):
+    r = np.random.default_rng(3)
+    for n in range(1, 200):
+        whole = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        part = np.sort(r.permutation(whole)[: -(-threshold.numerator * len(whole) // threshold.denominator)])
+        assert np.intersect1d(similar.slab_keys(whole, threshold), similar.slab_keys(part, threshold)).size
+
+
+def test_large_families_equal_brute_force(make, prose, monkeypatch, near=20, held=30):
+    """Near copies that link through others, next to documents that only the bound cannot tell apart."""
+    monkeypatch.setattr(similar, "MOST_HELD", held)
+    r = random.Random(near)
+    words = prose("base", 120).split()
+    rows = []
+    for k in range(50):
+        changed = list(words)
+        for _ in range(r.choice([1, 2, 3])):
+            changed[r.randrange(len(changed))] = f"new{r.random()}"
+        rows.append((k, " ".join(changed)))
+    for k in range(near):  # the same frame, too far from the others to link
+        changed = list(words)
+        for _ in range(4):
+            changed[r.randrange(len(changed))] = f"far{r.random()}"
+        rows.append((200 + k, " ".join(changed)))
+    _, label = groups(rows, 3, Fraction(9, 10))
+    found = similar.similar_groups(make(rows), 3, Fraction(9, 10), block_docs=15).collect()
+    assert {x.doc_id: x.component_id for x in found} == label
+
+
 def test_null_ids_repeats_and_empty_tables(make):
     rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "A B C"), (3, None)]
     found = similar.similar_groups(make(rows), 3, Fraction(9, 10)).collect()
