@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags. A block is described by its word
 count and link density, those of the blocks before and after it, and by where
-it stands (inside an article, inside page furniture, in a heading). A decision
-tree, grown in numpy on the labelled table below, keeps or drops each block.
+it stands: in an article or beside one, in an element made for something else
+(menus, forms), in a heading, in a container whose class names page furniture.
+A decision tree, grown in numpy on the labelled pages below, keeps or drops
+each block. Names of containers around an article say nothing about it unless
+the page has another article without them.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Element names of HTML by what they do to the text.
-RAW = frozenset("script style title noscript template svg math iframe object textarea select canvas audio video noframes xmp".split())
+CODE = frozenset(["script", "style"])
+RAW = frozenset("script style title textarea iframe noframes noscript xmp".split())
+SKIPPED = frozenset("template svg math object select canvas audio video".split())
 BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button".split()
@@ -49,38 +56,75 @@ class Block:
     n_words: int
     link_words: int
     in_article: bool
-    in_furniture: bool
+    tagged: bool  # in an element made for something else than text, or hidden
+    named: bool  # in a container whose name says furniture, within the article or without one
+    around: bool  # in an article within such a container
     heading: bool
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE or name == "header" and not in_article:
-        return True
-    if not attributes.strip():
-        return False
-    for key, value in _ATTRIBUTES.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role") and not NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+@dataclass
+class Place:
+    """An open element and what it says about the text inside."""
+
+    name: str = ""
+    in_article: bool = False
+    tagged: bool = False
+    named: bool = False
+    around: bool = False
+
+    def inner(self, name: str, attributes: str) -> Place:
+        tagged = self.tagged or name in FURNITURE or name == "header" and not self.in_article
+        article = name in PLACES
+        named = False
+        for key, value in _ATTRIBUTES.findall(attributes) if attributes.strip() else ():
+            key, value = key.lower(), value.strip("\"'").lower()
+            if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
+                tagged = True
+            elif key in ("class", "id", "role"):  # of an article only whole names count
+                named = named or not NAMES.isdisjoint(value.split() if article else _NAME.findall(value))
+        if article:
+            return Place(name, True, tagged, False, self.around or self.named or named)
+        return Place(name, self.in_article, tagged, self.named or named, self.around)
+
+    def same(self, other: Place) -> bool:
+        return (self.in_article, self.tagged, self.named, self.around) == (other.in_article, other.tagged, other.named, other.around)
+
+
+_BREAKOUT = re.compile(r"<(?:p|div|h[1-6]|ul|ol|li|table|section|article|main|nav|footer|header|aside|blockquote|pre|body|br|span)(?=[\s/>])", re.I)
+
+
+def _after_skipped(page: str, name: str, at: int) -> int | None:
+    """Where the element that is open at ``at`` ends, inner ones of its name counted; None if it never does.
+
+    Text elements break out of an open svg or math, as in browsers.
+    """
+    depth = 1
+    for found in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if found[1]:
+            depth -= 1
+        elif not found[0].endswith("/>"):
+            depth += 1
+        if depth == 0:
+            return found.end()
+    out = _BREAKOUT.search(page, at) if name in ("svg", "math") else None
+    return out.start() if out else None
 
 
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order; blocks without words are left out."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside an article, inside furniture
+    stack: list[Place] = []
+    never: set[str] = set()  # names that are not closed any more
     parts: list[str] = []
     linked: list[str] = []
-    in_article = in_furniture = False
+    here = Place()
     heading = in_link = 0
 
     def close() -> None:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                blocks.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), in_article, in_furniture, heading > 0))
+                blocks.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), here.in_article, here.tagged, here.named, here.around, heading > 0))
         parts.clear()
         linked.clear()
 
@@ -110,10 +154,15 @@ def page_blocks(page: str) -> list[Block]:
             continue
         at = found.end()
         closing, name, attributes = found[1] == "/", found[2].lower(), found[3]
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = n if end is None else end.end()
+        if name in RAW or name in SKIPPED:
+            if not closing and not attributes.endswith("/") and name not in never:
+                end = _after_skipped(page, name, at) if name in SKIPPED else next((m.end() for m in re.compile(rf"</{name}\s*>", re.I).finditer(page, at)), None)
+                if end is not None:
+                    at = end
+                elif name in CODE:
+                    at = n
+                else:  # never closed: the page goes on
+                    never.add(name)
             continue
         if name in SPACES:
             parts.append(" ")
@@ -129,89 +178,94 @@ def page_blocks(page: str) -> list[Block]:
         if name not in CONTAINERS or name in VOID:
             continue
         if closing:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
+            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d].name == name), None)
             if depth is not None:
                 close()
                 del stack[depth:]
         elif not attributes.endswith("/"):
             if name == "p":  # an open paragraph ends where the next one begins
-                if stack and stack[-1][0] == "p":
+                if stack and stack[-1].name == "p":
                     stack.pop()
-            over = stack[-1] if stack else ("", False, False)
-            furniture = over[2] or _is_furniture(name, attributes, over[1])
+            over = stack[-1] if stack else Place()
+            inner = over.inner(name, attributes)
             if name == "span":
-                if furniture == over[2]:
-                    stack.append(("span", over[1], over[2]))
+                if inner.same(over):
+                    stack.append(inner)
                     continue
                 close()
-            stack.append((name, over[1] or name in PLACES, furniture))
-        _, in_article, in_furniture = stack[-1] if stack else ("", False, False)
+            stack.append(inner)
+        here = stack[-1] if stack else Place()
     close()
     return blocks
 
 
-FEATURES = ("in_article", "in_furniture", "heading", "words_before", "links_before", "words", "links", "words_after", "links_after")
+FEATURES = ("in_article", "tagged", "named", "heading", "words_before", "links_before", "words", "links", "words_after", "links_after")
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
     """One row of ``FEATURES`` for each block; beyond the ends of the page there are no words.
 
-    in_article is 1 in an article, 0 on a page without any, -1 beside one.
+    in_article is 1 in an article, 0 on a page without any, -1 beside one. An
+    article in a container named as furniture counts if the page has no other.
     """
-    has_article = any(b.in_article for b in blocks)
-    own = np.array([(b.in_article - (has_article and not b.in_article), b.in_furniture, b.heading, b.n_words, b.link_words / b.n_words) for b in blocks], dtype=float).reshape(-1, 5)
-    around = np.vstack([np.zeros((1, 2)), own[:, 3:], np.zeros((1, 2))])
-    return np.hstack([own[:, :3], around[:-2], own[:, 3:], around[2:]])
-
-
-# The labelled table: pages as rows of blocks, written for this purpose.
-# place a: in an article, f: in furniture, b: in furniture inside an article, n: neither;
-# then 1 for a heading; words; link density; 1 is main text.
-_LABELLED = """
-n0 1 1.0 0|n0 1 1.0 0|n0 2 1.0 0|n1 7 0.0 1|n0 42 0.0 1|n0 65 0.05 1|n0 18 0.1 1|n0 33 0.0 1|n0 6 0.9 0|n0 4 1.0 0|n0 9 0.4 0
-f0 1 1.0 0|f0 1 1.0 0|f0 9 0.0 0|a1 8 0.0 1|a0 30 0.0 1|b0 20 0.0 0|a0 1 0.0 1|a0 80 0.02 1|b0 6 0.5 0|a0 2 0.0 1|a0 120 0.0 1|f0 12 0.0 0|f0 5 0.2 0
-f0 3 1.0 0|f0 40 0.0 0|a1 3 0.0 1|a0 4 0.0 1|a0 12 0.3 1|b0 25 0.0 0|a0 50 0.0 1|b0 60 0.0 0|b0 35 0.1 0|n0 28 0.0 0|f0 8 0.0 0
-n0 1 1.0 0|n0 1 1.0 0|n0 1 1.0 0|n0 3 1.0 0|n1 5 0.0 1|n0 90 0.03 1|n0 25 0.0 1|n0 110 0.0 1|n0 3 0.0 0|n0 2 1.0 0|n0 2 1.0 0
-a1 6 0.0 1|a0 1 0.0 1|a0 3 0.0 1|a0 200 0.01 1|a0 15 0.5 1|a0 7 0.0 1|b0 90 0.0 0|b0 2 0.0 0|b1 2 0.0 0|b0 44 0.0 0|n0 33 0.0 0|n1 3 0.0 0
-n0 2 1.0 0|n0 2 1.0 0|n0 30 0.8 0|n1 9 0.0 1|n0 28 0.0 1|n0 55 0.1 1|n0 22 0.0 1|n0 12 0.75 0|n0 10 0.8 0|n0 5 0.0 0
-f1 2 0.0 0|f0 6 1.0 0|f0 18 0.0 0|n0 35 0.0 1|n0 48 0.0 1|n0 60 0.05 1|f0 70 0.0 0|f0 21 0.3 0|f0 150 0.0 0
-f0 4 1.0 0|n0 14 0.0 0|a1 10 0.0 1|a0 5 1.0 1|a0 26 0.0 1|a0 14 0.0 1|a0 9 0.9 1|a0 75 0.0 1|b0 3 1.0 0|b0 11 0.0 0|n0 70 0.0 0|n0 25 0.0 0
-f0 30 0.0 0|f0 80 0.0 0|n1 4 0.0 1|n0 31 0.0 1|n0 8 0.0 1|n0 44 0.0 1|f0 90 0.02 0|f0 16 0.0 0|f0 55 0.0 0
-f0 1 1.0 0|a1 9 0.0 1|a0 60 0.0 1|a0 1 0.0 1|a0 35 0.0 1|a0 2 0.0 1|a0 90 0.0 1|a0 1 0.0 1|a0 22 0.0 1|f0 2 0.0 0
-a1 4 0.0 1|a0 12 0.0 1|a0 2 0.0 1|a0 70 0.0 1|a0 1 1.0 1|a0 3 0.8 1|a0 41 0.0 1|a0 1 0.0 1|a0 140 0.0 1|f0 1 1.0 0
-n0 3 1.0 0|a1 12 0.0 1|a0 85 0.0 1|a0 2 0.0 1|a0 8 0.0 1|a0 2 1.0 1|a0 30 0.7 1|a0 2 0.0 1|a0 95 0.0 1|n0 1 0.0 0
-n0 1 1.0 0|n0 1 1.0 0|n0 60 0.0 1|n0 52 0.0 1|n0 64 0.0 1|n0 1 1.0 0|n0 2 0.0 0
-n0 2 1.0 0|n0 3 1.0 0|n0 1 1.0 0|n0 35 0.1 1|n0 80 0.0 1|n0 27 0.0 1|n0 2 1.0 0|n0 3 1.0 0|n0 4 0.0 0
-a0 200 0.0 1
-a0 7 0.0 1
-a1 5 0.0 1|a0 60 0.0 1|a0 3 0.0 1
-a0 40 0.0 1|a0 1 1.0 1
-f0 3 1.0 0|a0 2 0.0 1|a0 90 0.0 1|a0 2 1.0 1
-a1 2 0.0 1|a0 300 0.0 1
-n0 80 0.0 1
-n0 30 0.0 1|n0 45 0.0 1
-f0 2 1.0 0|a0 5 1.0 1|a0 1 0.0 1|a0 20 0.0 1
-a0 12 0.0 1|a0 4 1.0 1|a0 9 0.0 1
-a0 3 1.0 1|a0 15 0.0 1
-f0 1 1.0 0|a1 6 0.0 1|a0 2 1.0 1|a0 2 0.0 1
-n0 3 1.0 0|n0 12 0.9 0|n0 2 0.0 0
-f0 5 0.0 0|n0 2 1.0 0|n0 3 0.0 0
-"""
+    plain = any(b.in_article and not b.around for b in blocks)
+    articles = [b.in_article and not (plain and b.around) for b in blocks]
+    some = any(articles)
+    own = np.array([(a - (some and not a), b.tagged, b.named, b.heading, b.n_words, b.link_words / b.n_words) for a, b in zip(articles, blocks, strict=True)], dtype=float).reshape(-1, 6)
+    around = np.vstack([np.zeros((1, 2)), own[:, 4:], np.zeros((1, 2))])
+    return np.hstack([own[:, :4], around[:-2], own[:, 4:], around[2:]])
+
+
+SCALES = (0.7, 1.0, 1.6, 4.0)
+
+# The labelled pages, written for this purpose. "X40" stands for forty words of
+# main text, "x40" for forty words of anything else.
+LABELLED = (
+    "<nav><ul><li><a>x1</a><li><a>x1</a><li><a>x2</a></ul></nav><div class=ad>x7</div><article><h1>X8</h1><p>X1</p><p>X60 <a>X4</a></p><p>X2</p><p>X35</p></article><footer>x6</footer>",
+    "<nav><a>x3</a></nav><article><p><b>X9</b><br></p><p>X120</p><p>X3</p><p>X1</p></article><footer>x12 <a>x2</a></footer>",
+    "<div class=ad>x25</div><article><h1>X12</h1><p>X80</p></article><div class=ad>x40</div><footer>x30</footer>",
+    "<article><p>X200</p></article>",
+    "<article><p>X5</p></article><footer>x3</footer>",
+    "<article><h2>X3</h2><ul><li>X1<li><a>X2</a><li><a>X3</a> X1<li>X4</ul><p>X40 <a>X20</a></p></article>",
+    "<header><a>x2</a><p>x9</p></header><main><h1>X6</h1><p>X45</p><p>X14 <a>X6</a></p><aside><p>x25</p></aside><p>X50</p><form><label>x2</label><button>x1</button></form></main><div>x28</div><footer>x8</footer>",
+    "<article><h1>X7</h1><p>X30</p><div class=newsletter><p>x20</p></div><p>X26</p><div class='share bar'><a>x1</a><a>x1</a></div><p>X70</p><div class=related><h3>x2</h3><ul><li><a>x6</a><li><a>x7</a></ul></div></article>",
+    "<article><h1>X5</h1><p>X90</p><p>X75</p><section id=comments><h3>x2</h3><p>x90</p><p>x44</p><p>x60</p></section></article>",
+    "<article><h1>X6</h1><p>X64</p></article><section class=comments><article><p>x50</p></article><article class=comment><p>x33</p></article></section><footer>x4</footer>",
+    "<div class='content related'><article><h1>X5</h1><p>X70</p><p>X2</p><p>X41</p></article></div>",
+    "<article class=post-tags-wide><p>X40</p><p>X18 <a>X3</a></p></article><div class=tags><a>x1</a> <a>x2</a></div>",
+    "<div class=cookie-notice>x22</div><article><p>X3</p><p>X55</p></article><div class=popup><p>x35</p></div>",
+    "<div><a>x1</a></div><div><a>x1</a></div><div><a>x2</a></div><h1>X7</h1><div>X42</div><div>X62 <a>X3</a></div><div>X16 <a>X2</a></div><div>X33</div><div>x1 <a>x9</a></div><div><a>x4</a></div><div>x5 <a>x4</a></div>",
+    "<table><tr><td><a>x1</a><td><a>x1</a></tr></table><h2>X5</h2><div>X90 <a>X3</a></div><div>X25</div><div>X110</div><div>x3</div><div><a>x2</a></div><div><a>x2</a></div>",
+    "<div><a>x2</a></div><div><a>x2</a></div><div>x6 <a>x24</a></div><h1>X9</h1><p>X28</p><p>X55 <a>X6</a></p><p>X22</p><div>x3 <a>x9</a></div><div>x2 <a>x8</a></div><div>x5</div>",
+    "<div>X80</div>",
+    "<p>X30</p><p>X45</p>",
+    "<div><a>x3</a></div><p>X35</p><p>X48</p><p>X60 <a>X3</a></p><div class=sidebar><p>x70</p></div><div class=legal>x21 <a>x9</a></div><div id=comments><p>x150</p></div>",
+    "<div class=banner>x30</div><h1>X4</h1><p>X31</p><p>X8</p><p>X44</p><div class=comments><p>x90</p></div><div class=footer>x16</div>",
+    "<div><a>x3</a></div><div>x1 <a>x11</a></div><div>x2</div>",
+    "<div>x5</div><div><a>x2</a></div><div>x3</div>",
+    "<h1>X6</h1><p>X38</p><p>X7</p><p>X52</p><p>X9</p><p>X47</p><div><a>x5</a></div><div><a>x6</a></div><div>x4</div>",
+    "<div><a>x2</a> <a>x2</a></div><p>X24</p><p>X12</p><p>X39</p><div>x8 <a>x30</a></div><div><a>x6</a></div>",
+    "<div><a>x3</a></div><div><a>x5</a></div><div>x9</div><div><a>x4</a></div><div>x12</div><div><a>x6</a></div><div><a>x2</a></div>",
+    "<div><a>x2</a></div><div>x14</div><div><a>x7</a></div><h1>X5</h1><p>X50</p><p>X10</p><p>X36</p><div><a>x3</a></div><div>x7</div><div><a>x3</a></div>",
+    "<article><p>X12</p><p><a>X4</a></p><p>X9</p></article><nav><a>x4</a></nav>",
+    "<nav><a>x2</a></nav><article><h1>X9</h1><p>X150</p><p>X1</p><p>X130</p><p>X12</p><p>X2</p><p>X210</p><p>X190</p></article><footer>x9</footer>",
+    "<nav><a>x2</a></nav><div class=ad>x11</div><article><h1>X9</h1><p>X9</p><p>X1</p><p>X240</p><p>X3</p></article><footer>x9</footer>",
+    "<article><h1>X2</h1><p>X300</p><p>X1 <a>X9</a></p><p>X60</p></article><div>x60</div><div><a>x8</a></div>",
+)
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(pages: tuple[str, ...] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the blocks of the labelled pages, each at several lengths of its texts, and 1 for main text."""
     rows, labels = [], []
-    for page in _LABELLED.strip().splitlines():
-        blocks = []
-        for cell in page.split("|"):
-            place, n_words, links, label = cell.split()
-            blocks.append(Block("", int(n_words), round(int(n_words) * float(links)), place[0] in "ab", place[0] in "fb", place[1] == "1"))
-            labels.append(int(label))
-        rows.append(block_features(blocks))
+    for page in pages:
+        for scale in SCALES:
+            blocks = page_blocks(re.sub(r"\b([xX])([0-9]+)", lambda m, s=scale: " ".join([m[1]] * max(1, round(int(m[2]) * s))), page))
+            rows.append(block_features(blocks))
+            labels += [int(b.text.startswith("X")) for b in blocks]
     return np.vstack(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 6):
     """A decision tree by Gini impurity: a share of label 1, or (feature, threshold, left, right)."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -257,10 +311,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
     Null or empty html gives an empty text; broken markup is read as far as it
-    goes and never fails; equal pages have equal texts; repeated rows and null
+    goes and never fails; a very long page is cut and classified whole; equal pages have equal texts; repeated rows and null
     ids stay as they are; other columns are not read.
     """
     tree = trained_tree()
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
