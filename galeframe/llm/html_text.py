@@ -265,7 +265,7 @@ def labelled_table(pages: tuple[str, ...] = LABELLED) -> tuple[np.ndarray, np.nd
     return np.vstack(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 6):
     """A decision tree by Gini impurity: a share of label 1, or (feature, threshold, left, right)."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
