@@ -1,7 +1,10 @@
 """Token counts by section: whole documents are encoded once, offsets attribute tokens.
 
-A document is encoded whole, so that no section changes how its neighbours are
-cut into tokens. Tokens come back as character spans; sections are spans too.
+A document has the tokens of its whole text, so that no section changes how its
+neighbours are cut. For the byte-level pre-tokenizer these are the tokens of its
+words one after another (:class:`OffsetEncoder`), which are remembered; where
+that does not hold the text is encoded in one call. A property test holds both
+against each other. Tokens come back as character spans; sections are spans too.
 Both lists are in order, so joining them by interval is a merge. A token that
 crosses a border belongs wholly to the section that holds its first character
 that is not white space (of white space alone: its first character).
@@ -18,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Texts encoded at once, in characters; bounds the working memory of a task.
 GROUP_CHARS = 4_000_000
 #: Different words that a task remembers; the table is emptied when it is full.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 def default_path() -> str:
@@ -53,12 +58,14 @@ class OffsetEncoder:
     The byte-level pattern never joins characters across a single space between
     two words, except that the space goes with the word after it. A text is
     therefore the sequence of its words, each with the space before it; a text
-    with any other white space beside a space is encoded in one call.
+    with any other white space beside a space is encoded in one call, and so is
+    every text where the tokenizer has another pre-tokenizer or a normalizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.by_words = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and self.tokenizer.normalizer is None
 
     def _learn(self, words: set[str]) -> None:
         joined = [w for w in words if w[:1] == " "]
@@ -77,7 +84,7 @@ class OffsetEncoder:
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str] | None] = []
         for text in texts:
-            if _UNEVEN.search(text):
+            if not self.by_words or _UNEVEN.search(text):
                 split.append(None)
             else:
                 words = text.split(" ")
@@ -147,9 +154,11 @@ def count(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     doc_id; section (from 0); start and end in code points; n_tokens given to
     it; n_crossing of these that end beyond it; doc_tokens of the whole text.
     Sections' n_tokens sum to doc_tokens. A null or empty text is one empty
-    section without tokens. Repeated rows give repeated results; other columns
-    are not read.
+    section without tokens; an empty table gives no rows. Repeated rows give
+    repeated results; a very long text is a group of its own; other columns are
+    not read.
     """
+    small_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches):

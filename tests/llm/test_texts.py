@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from galeframe.llm import decontaminate, html_text, pii, token_counts
+from galeframe.llm import decontaminate, html_text, lm_scoring, pii, token_counts
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><header><h1>Site name</h1></header><div class="cookie-notice">We use cookies on this site.</div>
@@ -159,6 +159,24 @@ def test_remembered_spans_equal_those_of_the_tokenizer(text):
     assert np.array_equal(coder.spans([text])[0], expected)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \t\n\u3000\xa0a'sé1日🙂.,-<|>"), max_size=60) | st.text(max_size=40))
+def test_spans_by_words_equal_those_of_the_whole_text(text):
+    coder = token_counts.encoder(token_counts.default_path())
+    assert coder.by_words
+    expected = np.array(coder.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+    assert np.array_equal(coder.spans([text])[0], expected)
+
+
+def test_other_tokenizers_encode_whole_texts(make):
+    path = lm_scoring.default_path()
+    assert not token_counts.OffsetEncoder(path).by_words
+    found = token_counts.count(make([(1, "It's  one\ntwo"), (1, "It's  one\ntwo")]), path).collect()
+    n = len(token_counts.tokenizer(path).encode("It's  one\ntwo", add_special_tokens=False).ids)
+    assert len(found) == 4 and all(r.doc_tokens == n for r in found)
+    assert token_counts.count(make([(1, "a")]).limit(0)).count() == 0
+
+
 QUESTION = "A farmer near Riverton sold 12 crates of apples to Maria and later 12 crates of pears, so that the whole load was 24 crates weighing 90 kg in all."
 
 
