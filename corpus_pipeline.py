@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, one operator of ``galeframe.llm`` a stage."""
+"""From raw documents to packed training sequences, one operator of ``galeframe.llm`` a stage.
+
+Every stage takes null and empty texts as empty, keeps further columns whatever
+their names, repeats its decision for repeated rows (exact dedup leaves one of
+them), and makes an empty table of an empty one. Rows with a null id are judged
+by their text in the first two stages, take no part in the next two, and are
+packed like all others. Very long texts are read whole.
+"""
 
 from __future__ import annotations
 
