@@ -57,7 +57,7 @@ def moments(df: DataFrame, vector: str, target: str, is_target: str) -> Moments:
     def run(batches):
         n, sums, gram, cross, ys = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width)), np.zeros((2, width)), np.zeros(2)
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), dtype=float).reshape(-1, width)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
             y, t = batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for d, rows in enumerate((~t, t)):
                 n[d] += rows.sum()
@@ -115,7 +115,7 @@ def nystroem_features(df: DataFrame, vector: str, centres: np.ndarray, gamma: fl
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(batch.schema.get_field_index(vector)).to_pylist(), dtype=float).reshape(-1, centres.shape[1])
+            x = batch.column(batch.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, centres.shape[1])
             z = rbf(x, centres, gamma) @ root
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(z), pa.list_(pa.float64()))], schema=pa.schema([*batch.schema, pa.field(name, pa.list_(pa.float64()))]))
 
@@ -183,8 +183,18 @@ def pinball_fit(z: np.ndarray, y: np.ndarray, cost: np.ndarray, tau: float, pena
     return PinballFit(best[1], best[2], best[0], dual, done, False)
 
 
+def domain_terms(found: Moments, variance: float, discrepancy: float) -> tuple[np.ndarray, np.ndarray]:
+    """(R, c) of w'Rw / 2 - c'w: the norm of w, the centred residual variance of the source, and the difference of the domains' means.
+
+    Up to a constant, |w|^2 / 2 + variance / 2 * var_S(y - Zw) + discrepancy / 2 * (w'(mean_S - mean_T))^2.
+    """
+    apart = found.discrepancy() if found.n.min() > 0 else np.zeros(found.sums.shape[1])
+    cov, cross = (found.covariance(), found.cross_covariance()) if found.n[0] > 0 else (np.zeros_like(found.gram[0]), np.zeros(len(apart)))
+    return np.eye(len(apart)) + variance * cov + discrepancy * np.outer(apart, apart), variance * cross
+
+
 def _total(rows: DataFrame, measure, size: int) -> np.ndarray:
-    """The sum over all rows of ``measure(x, y)``: each task sends one table of the model's size; x ends with a one for the intercept."""
+    """The sum over all rows of ``measure(x, y, cost)``: each task sends one table of the model's size; x ends with a one for the intercept."""
 
     def run(batches):
         total = np.zeros(size)
@@ -192,90 +202,102 @@ def _total(rows: DataFrame, measure, size: int) -> np.ndarray:
             if not batch.num_rows:
                 continue
             z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            total += measure(np.hstack([z, np.ones((len(z), 1))]), batch.column(1).to_numpy(zero_copy_only=False))
+            total += measure(np.hstack([z, np.ones((len(z), 1))]), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["pos", "value"])
 
     found = rows.mapInArrow(run, "pos long, value double").groupBy("pos").agg(F.sum("value")).collect()
     return np.array([r[1] for r in sorted(found)])
 
 
-def fit_jobs(df: DataFrame, jobs: DataFrame, vector: str, target: str, penalty: float = 1.0, most: int = 200, relative: float = 1e-4, absolute: float = 1e-7) -> DataFrame:
+def fit_jobs(
+    df: DataFrame, jobs: DataFrame, vector: str, target: str, penalty: float = 1.0, most: int = 200, relative: float = 1e-4, absolute: float = 1e-7,
+    cost: str | None = None, terms: dict[str, tuple[np.ndarray, np.ndarray]] | None = None,
+) -> DataFrame:
     """A pinball fit for every row of ``jobs`` (job, tau, seed), each on all rows whose vector and target are known.
 
-    The problem and the certificate of :func:`pinball_fit` with equal costs. The
+    Minimised is w'Rw / 2 - c'w + the sum over rows of cost * pinball(y - Zw - b).
+    ``cost`` is a column (one over the number of rows if not given); ``terms``
+    holds R and c of a job, which else are ``penalty`` times one and zero. The
     pinball is smoothed within ``delta`` of its kink and minimised by damped
     Newton steps, ``delta`` falling until the gap of the unsmoothed primal and
     dual closes. Tasks send sums of the model's size only, and the driver solves
     systems of that size. All rows train, so fits do not depend on the seed.
     """
-    rows = df.select(F.col(vector).cast("array<double>").alias("z"), F.col(target).cast("double").alias("y")).where("z IS NOT NULL AND y IS NOT NULL").persist(StorageLevel.DISK_ONLY)
+    rows = df.select(F.col(vector).cast("array<double>").alias("z"), F.col(target).cast("double").alias("y"), (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost")).where("z IS NOT NULL AND y IS NOT NULL AND cost > 0").persist(StorageLevel.DISK_ONLY)
     try:
-        found = _fit_all(rows, jobs.select("job", "tau", "seed").collect(), penalty, most, relative, absolute)  # one row a fit
+        found = _fit_all(rows, jobs.select("job", "tau", "seed").collect(), penalty, most, relative, absolute, cost is None, terms or {})  # one row a fit
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(found, "job string, tau double, seed int, n long, primal double, dual double, iterations long, converged boolean, intercept double, weights array<double>")
 
 
-def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: float, absolute: float) -> list[tuple]:
-    n, least, width, spread = rows.agg(F.count(F.lit(1)), F.min(F.size("z")), F.max(F.size("z")), F.stddev_pop("y")).first()
+def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: float, absolute: float, mean: bool, terms: dict) -> list[tuple]:
+    n, least, width, spread, mass = rows.agg(F.count(F.lit(1)), F.min(F.size("z")), F.max(F.size("z")), F.stddev_pop("y"), F.sum("cost")).first()
     if not n or not jobs:
         return []
     if least != width or width > MOST_FEATURES:
         raise ValueError(f"vectors of different lengths or of more than {MOST_FEATURES} features")
     d, tau = width + 1, np.array([float(j["tau"]) for j in jobs])
-    base = np.diag(np.append(np.full(width, float(penalty)), 0.0))
+    share_of_row = 1 / n if mean else 1.0
+    mass *= share_of_row
+    own = [terms.get(j["job"], (penalty * np.eye(width), np.zeros(width))) for j in jobs]
+    base, linear = np.zeros((len(jobs), d, d)), np.zeros((len(jobs), d))
+    for k, (r, c) in enumerate(own):
+        base[k, :width, :width], linear[k, :width] = r, c
     starts = rows.agg(F.percentile_approx("y", F.array(*(F.lit(t) for t in tau.tolist())))).first()[0]
     at = [np.append(np.zeros(width), b) for b in starts]
     delta = np.full(len(jobs), max(float(spread), 1e-6))
     best, dual, done = [(np.inf, p) for p in at], np.full(len(jobs), -np.inf), np.zeros(len(jobs), dtype=np.int64)
-    sums = _total(rows, lambda x, y: np.append(x.sum(axis=0), [y.sum(), (x * x).sum()]), d + 2) / n
+    sums = _total(rows, lambda x, y, cost: np.append(cost @ x, [cost @ y, cost @ (x * x).sum(axis=1)]), d + 2) * share_of_row
     live = list(range(len(jobs)))
     for step in range(1, most + 1):
         # slopes, curvature and the dual at each point
         points = [(k, at[k], delta[k], tau[k]) for k in live]
 
-        def slopes(x, y, points=points):
+        def slopes(x, y, cost, points=points):
             out = []
             for _, p, width_of_kink, t in points:
                 e = (y - x @ p) / width_of_kink
-                a = np.clip(e, t - 1, t)
-                bent = x[(e > t - 1) & (e < t)]
-                out.append(np.concatenate([a @ x, [a @ y], (bent.T @ bent).ravel() / width_of_kink]))
+                a = np.clip(e, t - 1, t) * cost
+                inside = (e > t - 1) & (e < t)
+                bent = x[inside]
+                out.append(np.concatenate([a @ x, [a @ y], ((bent * cost[inside, None]).T @ bent).ravel() / width_of_kink]))
             return np.concatenate(out)
 
         trials = {}
-        for k, found in zip(live, np.split(_total(rows, slopes, len(live) * (d + 1 + d * d)) / n, len(live)), strict=True):
-            ax, ay, curve = found[:d], found[d], found[d + 1 :].reshape(d, d) + base
+        for k, found in zip(live, np.split(_total(rows, slopes, len(live) * (d + 1 + d * d)) * share_of_row, len(live)), strict=True):
+            ax, ay, curve = found[:d], found[d], found[d + 1 :].reshape(d, d) + base[k]
             over = ax[-1]  # the free intercept wants multipliers that sum to zero
             limit = tau[k] - 1 if over > 0 else tau[k]
-            share = abs(over) / max(abs(over - limit), 1e-300)
+            share = abs(over) / max(abs(over - limit * mass), 1e-300)
             # each multiplier moves by its share of the room to its limit
             bx, by = ax - share * (ax - limit * sums[:d]), ay - share * (ay - limit * sums[d])
-            dual[k] = max(dual[k], by - 0.5 * bx[:width] @ bx[:width] / penalty)
-            slope = base @ at[k] - ax
-            steepest = penalty + sums[d + 1] / delta[k]  # no curvature is above this
+            pull = bx[:width] + linear[k, :width]
+            dual[k] = max(dual[k], by - 0.5 * pull @ np.linalg.solve(base[k, :width, :width], pull))
+            slope = base[k] @ at[k] - linear[k] - ax
+            steepest = np.linalg.norm(base[k], 2) + sums[d + 1] / delta[k]  # no curvature is above this
             trials[k] = np.array([at[k], *(at[k] - np.linalg.solve(curve + m * np.eye(d), slope) for m in np.geomspace(1e-9, steepest, TRIALS))])
 
         # the smooth and the true objective at each trial
         tried = [(trials[k], delta[k], tau[k]) for k in live]
 
-        def values(x, y, tried=tried):
+        def values(x, y, cost, tried=tried):
             out = []
             for p, width_of_kink, t in tried:
                 e = y[:, None] - x @ p.T
                 a = np.clip(e / width_of_kink, t - 1, t)
-                out += [(a * e - width_of_kink * a * a / 2).sum(axis=0), np.maximum(t * e, (t - 1) * e).sum(axis=0)]
+                out += [cost @ (a * e - width_of_kink * a * a / 2), cost @ np.maximum(t * e, (t - 1) * e)]
             return np.concatenate(out)
 
         m = TRIALS + 1
-        for k, found in zip(live, np.split(_total(rows, values, len(live) * 2 * m) / n, len(live)), strict=True):
-            norm = 0.5 * penalty * (trials[k][:, :width] ** 2).sum(axis=1)
+        for k, found in zip(live, np.split(_total(rows, values, len(live) * 2 * m) * share_of_row, len(live)), strict=True):
+            norm = 0.5 * np.einsum("ij,jk,ik->i", trials[k], base[k], trials[k]) - trials[k] @ linear[k]
             smooth, true = found[:m] + norm, found[m:] + norm
             if true.min() < best[k][0]:
                 best[k] = (float(true.min()), trials[k][true.argmin()])
             at[k] = trials[k][smooth.argmin()]
-            if smooth[0] - smooth.min() <= 0.01 * delta[k]:  # smoothing costs at most half of delta
-                delta[k] = max(delta[k] / 4, 0.25 * (absolute + relative * max(1.0, abs(best[k][0]))))
+            if smooth[0] - smooth.min() <= 0.01 * delta[k] * mass:  # smoothing costs at most half of delta
+                delta[k] = max(delta[k] / 4, 0.25 * (absolute + relative * max(1.0, abs(best[k][0]))) / mass)
             done[k] = step
         live = [k for k in live if not _closed(best[k][0], dual[k], relative, absolute)]
         if not live:

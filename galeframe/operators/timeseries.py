@@ -193,7 +193,7 @@ def positional_split(df: DataFrame, keys: list[str], order: list[str | Column],
 
 def hashed_order(id_column: str, seed: int) -> list[Column]:
     """A shuffled order that depends on ids and the seed only."""
-    return [F.xxhash64(F.col(id_column), F.lit(seed)), F.col(id_column)]
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_column).cast("string"))), F.col(id_column)]
 
 
 def label_budgets(df: DataFrame, keys: list[str], id_column: str, seed: int, budgets: list[int]) -> DataFrame:

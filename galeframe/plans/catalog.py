@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeframe.plans import aggregates, inference, joins, learning, metrics, scalars, series, storage  # noqa: F401  they register their queries
+from galeframe.plans import aggregates, inference, joins, learning, metrics, scalars, series, storage, studies  # noqa: F401  they register their queries
 from galeframe.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "W8_episodes"

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from galeframe.functions import scalar as fx
 from galeframe.operators import inference as inf
 from galeframe.operators import stats as st
+from galeframe.operators import timeseries as ts
 from galeframe.plans.registry import query, r
-from galeframe.sources.schema import capacities, forecasts, site_series, table
+from galeframe.sources.schema import SERIES_SQL, capacities, forecasts, site_series, table
 
 DRAWS = 999
 
@@ -64,17 +65,25 @@ def reference_comparisons(spark, sf_dir):
     return inf.reference_comparisons(forecasts(spark, sf_dir), "A", _block(), DRAWS, 7)
 
 
-@query("I9_ratio_subsample")
+@query(
+    "I9_ratio_subsample",
+    f"""WITH {SERIES_SQL}, x AS (SELECT raw_row, coalesce(wind > 90, false) AS is_target, wind IS NULL AS unknown FROM series),
+        k AS (SELECT *, row_number() OVER (PARTITION BY is_target ORDER BY md5('9|' || raw_row), raw_row) AS k FROM x WHERE NOT unknown),
+        n AS (SELECT count(*) FILTER (is_target) AS t, (SELECT count(*) FROM x) AS total FROM x),
+        c AS (SELECT t, total - t AS s, 150 AS want_t, 350 AS want_s FROM n),
+        d AS (SELECT least(want_t, t) + least(greatest(350 - s, 0), greatest(t - 150, 0)) AS nt, least(want_s, s) + least(greatest(150 - t, 0), greatest(s - 350, 0)) AS ns FROM c)
+        SELECT raw_row, is_target FROM k, d WHERE k <= CASE WHEN is_target THEN nt ELSE ns END""",
+)
 def ratio_subsample(spark, sf_dir):
     """A fixed number of rows with a share of target rows, by hash order."""
     rows = site_series(spark, sf_dir).withColumn("is_target", F.col("wind") > 90)
     n_target, n = rows.agg(F.count_if("is_target"), F.count(F.lit(1))).first()
     source, target = inf.subsample_counts(n - n_target, n_target, 500, 0.3)
-    order = [F.xxhash64("raw_row", F.lit(9)), F.col("raw_row")]
+    order = ts.hashed_order("raw_row", 9)
     a = rows.where(~F.col("is_target")).orderBy(*order).limit(source)
     return a.unionByName(rows.where("is_target").orderBy(*order).limit(target)).select("raw_row", "is_target")
 
 
-@query("I10_random_subsample")
+@query("I10_random_subsample", f"WITH {SERIES_SQL} SELECT raw_row FROM series ORDER BY md5('10|' || raw_row), raw_row LIMIT 800")
 def random_subsample(spark, sf_dir):
-    return site_series(spark, sf_dir).orderBy(F.xxhash64("raw_row", F.lit(10)), "raw_row").limit(800).select("raw_row")
+    return site_series(spark, sf_dir).orderBy(*ts.hashed_order("raw_row", 10)).limit(800).select("raw_row")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from galeframe.operators import learning as ln
+from galeframe.operators import studies
 from galeframe.plans.registry import query, r
 from galeframe.sources.schema import forecasts, table
 
@@ -55,6 +56,30 @@ def pinball_fits(spark, sf_dir):
     return ln.fit_jobs(features, jobs, "z", "y", penalty=0.1).select("job", "tau", "n", "primal", "dual", "iterations", "converged")
 
 
+def _domain_fits(spark, sf_dir, jobs):
+    """Fits of the domain-adapted objective for (job, tau, variance, discrepancy): source and target rows weigh as much as one another in sum."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
+    found = ln.moments(features, "z", "y", "is_target")
+    cost = F.when(F.col("is_target"), 50.0 / max(found.n[1], 1)).otherwise(50.0 / max(found.n[0], 1))
+    terms = {job: ln.domain_terms(found, variance, discrepancy) for job, _, variance, discrepancy in jobs}
+    table_of_jobs = spark.createDataFrame([(job, tau, 0) for job, tau, _, _ in jobs], "job string, tau double, seed int")
+    return ln.fit_jobs(features.withColumn("cost", cost), table_of_jobs, "z", "y", cost="cost", terms=terms)
+
+
+@query("T4_domain_fits")
+def domain_fits(spark, sf_dir):
+    """Certified fits with centred residual variance and discrepancy, one row a quantile."""
+    return _domain_fits(spark, sf_dir, [(f"tau{t}", t, 2.0, 20.0) for t in (0.1, 0.5, 0.9)]).select("job", "tau", "n", "primal", "dual", "iterations", "converged")
+
+
+@query("T27_fitted_variants")
+def fitted_variants(spark, sf_dir):
+    """The full objective and those without one or both of its terms, fitted; nothing else differs."""
+    found = _domain_fits(spark, sf_dir, [(name, 0.5, v, d) for name, v, d in studies.variants(2.0, 20.0)])
+    return found.select(F.col("job").alias("variant"), "primal", "dual", "converged", "intercept", "weights")
+
+
 @query("T11_batch_prediction")
 def batch_prediction(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
@@ -106,7 +131,7 @@ def kernel_ridge(spark, sf_dir):
     return ln.predict_linear(features, "z", w, b).select("vec_id", r("prediction", 5).alias("prediction"))
 
 
-@query("T17_kernel_quantiles")
+@query("T18_kernel_quantiles")
 def kernel_quantiles(spark, sf_dir):
     """Lower and upper quantile by certified pinball fits, endpoints in order."""
     rows = _vectors(spark, sf_dir)

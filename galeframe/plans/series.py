@@ -179,12 +179,18 @@ def positional_split(spark, sf_dir):
     return ts.positional_split(site_series(spark, sf_dir), ["site"], ["ts", "raw_row"], 0.6, 10).groupBy("site", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("W18_shuffled_split")
+@query(
+    "W18_shuffled_split",
+    f"WITH {SERIES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5('42|' || raw_row), raw_row) AS k, count(*) OVER (PARTITION BY site) AS n FROM series), c AS (SELECT *, greatest(floor(n * 0.6), 10) AS cut FROM w) SELECT site, raw_row, CASE WHEN k <= CASE WHEN cut >= n THEN greatest(1, floor(n / 2)) ELSE cut END THEN 'train' ELSE 'test' END AS part FROM c",
+)
 def shuffled_split(spark, sf_dir):
     return ts.positional_split(site_series(spark, sf_dir), ["site"], ts.hashed_order("raw_row", 42), 0.6, 10).select("site", "raw_row", "part")
 
 
-@query("W19_label_budgets")
+@query(
+    "W19_label_budgets",
+    f"WITH {SERIES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5('3|' || raw_row), raw_row) AS k FROM series) SELECT site, budget, raw_row FROM w, (VALUES (8), (16), (32)) b(budget) WHERE k <= budget",
+)
 def label_budgets(spark, sf_dir):
     return ts.label_budgets(site_series(spark, sf_dir), ["site"], "raw_row", 3, [8, 16, 32]).select("site", "budget", "raw_row")
 

@@ -183,3 +183,23 @@ def test_moments_give_ridge(spark):
     rows = spark.createDataFrame([(a.tolist(), float(b), bool(k % 3 == 0)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "x array<double>, y double, t boolean")
     w, b = learning.ridge(learning.moments(rows, "x", "y", "t"), 1e-9)
     assert np.allclose(w, [1, -2, 0.5]) and b == pytest.approx(3)
+
+
+def test_domain_objective_is_certified_and_equals_its_definition(spark):
+    r = np.random.default_rng(8)
+    z = r.standard_normal((600, 4)) + np.where(np.arange(600)[:, None] < 400, 0.0, 0.5)
+    y, target = z @ [1.0, -1.0, 0.5, 0.0] + r.standard_normal(600), np.arange(600) >= 400
+    rows = spark.createDataFrame(pd.DataFrame({"z": z.tolist(), "y": y, "t": target, "cost": np.where(target, 0.4, 0.1)}), "z array<double>, y double, t boolean, cost double")
+    found = learning.moments(rows, "z", "y", "t")
+    variance, discrepancy = 3.0, 40.0
+    quadratic, linear = learning.domain_terms(found, variance, discrepancy)
+    w = r.standard_normal(4)
+    source, ys = z[~target], y[~target]
+    direct = w @ w / 2 + variance / 2 * np.var(ys - source @ w) + discrepancy / 2 * (w @ (source.mean(axis=0) - z[target].mean(axis=0))) ** 2
+    assert w @ quadratic @ w / 2 - linear @ w + variance / 2 * np.var(ys) == pytest.approx(direct, rel=1e-9)
+    jobs = spark.createDataFrame([("a", 0.2, 0), ("b", 0.7, 0)], "job string, tau double, seed int")
+    for fit in learning.fit_jobs(rows, jobs, "z", "y", cost="cost", terms={j: (quadratic, linear) for j in "ab"}).collect():
+        whole = learning.pinball_fit(z, y, np.where(target, 0.4, 0.1), fit.tau, quadratic, -linear)
+        assert fit.converged and whole.converged and fit.dual <= fit.primal and whole.dual - 1e-6 <= fit.primal
+        assert fit.primal == pytest.approx(whole.primal, rel=2e-4)
+        assert np.allclose(fit.weights, whole.weights, atol=0.02)
