@@ -95,21 +95,19 @@ def longest_episode(found: DataFrame, keys: list[str]) -> DataFrame:
 def separate_segments(df: DataFrame, keys: list[str], position: str, total: str, n: int, before: int, after: int) -> DataFrame:
     """Greedy choice of event rows whose segments do not overlap: event_at, start_at, end_at.
 
-    Every choice depends on the one before it, so the events of a key are folded
-    in order; ``total`` is the number of rows of the key.
+    Every choice depends on the one before it: ``n`` rounds, each a partial
+    minimum over the events that fit after the last chosen segment. ``total`` is
+    the number of rows of the key. No task holds more than ``n`` choices of a key.
     """
-    events = df.groupBy(*keys).agg(F.array_sort(F.collect_list(position)).alias("at"), F.max(total).alias("total"))
-    first = F.expr("named_struct('end_at', CAST(-1000000000 AS BIGINT), 'picked', CAST(array() AS array<struct<event_at:bigint,start_at:bigint,end_at:bigint>>))")
-
-    def step(state, at):
-        start = F.greatest(F.lit(0), at - before).cast("long")
-        end = F.least(F.col("total"), at + after + 1).cast("long")
-        fits = (start >= state["end_at"]) & (end - start >= (before + after) // 2) & (F.size(state["picked"]) < n)
-        picked = F.concat(state["picked"], F.array(F.struct(at.cast("long").alias("event_at"), start.alias("start_at"), end.alias("end_at"))))
-        return F.when(fits, F.struct(end.alias("end_at"), picked.alias("picked"))).otherwise(state)
-
-    chosen = events.select(*keys, F.explode(F.aggregate("at", first, step)["picked"]).alias("s"))
-    return chosen.select(*keys, "s.*")
+    start, end = F.greatest(F.lit(0), F.col(position) - before), F.least(F.col(total), F.col(position) + after + 1)
+    events = df.select(*keys, F.struct(F.col(position).cast("long").alias("event_at"), start.cast("long").alias("start_at"), end.cast("long").alias("end_at")).alias("__event"))
+    events = events.where((F.col("__event.end_at") - F.col("__event.start_at")) >= (before + after) // 2)
+    state = events.groupBy(*keys).agg(F.array(F.min("__event")).alias("__picked"))
+    for _ in range(n - 1):
+        fits = F.col("__event.start_at") >= F.element_at("__picked", -1)["end_at"]
+        state = events.join(state, keys).groupBy(*keys).agg(F.min(F.when(fits, F.col("__event"))).alias("__next"), F.any_value("__picked").alias("__picked"))
+        state = state.select(*keys, F.when(F.col("__next").isNull(), F.col("__picked")).otherwise(F.concat("__picked", F.array("__next"))).alias("__picked"))
+    return state.select(*keys, F.explode("__picked").alias("s")).select(*keys, "s.*")
 
 
 def widest_segment(df: DataFrame, keys: list[str], order: list[str], value: str, length: int) -> DataFrame:
@@ -154,28 +152,39 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], cap: int) ->
 def evenly_timed(df: DataFrame, keys: list[str], ts: str, quota: str) -> DataFrame:
     """The ``quota`` rows of each key nearest to evenly spaced times; the earlier of equally near ones.
 
-    A row is chosen once, so each choice depends on the one before it: the key
-    (one cell of a stratified design) is one small group.
+    A row is chosen once, so each choice depends on the one before it. As the
+    distance to a time falls and then rises along a key, the choice is the row
+    nearest to it, moved behind the last choice and before the rows that later
+    times need: only those numbers, at most ``quota`` of a key, are folded.
     """
-    schema = df.schema
-
-    def choose(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(ts, kind="stable").reset_index(drop=True)
-        ticks = [t.value for t in pd.to_datetime(cell[ts])]
-        wanted = min(int(cell[quota].iloc[0]), len(ticks))
-        if wanted == len(ticks):
-            return cell
-        span = ticks[-1] - ticks[0]
-        aims = [ticks[0] + span // 2] if wanted == 1 else [ticks[0] + span * j // (wanted - 1) for j in range(wanted)]
-        picked, floor = [], 0
-        for j, aim in enumerate(aims):
-            ceiling = len(ticks) - (wanted - j)
-            near = min(range(floor, ceiling + 1), key=lambda k: (abs(ticks[k] - aim), k))
-            picked.append(near)
-            floor = near + 1
-        return cell.iloc[picked]
-
-    return df.groupBy(*keys).applyInPandas(choose, schema)
+    tick = F.unix_micros(F.col(ts).cast("timestamp")) * 1000
+    of_key = Window.partitionBy(*keys)
+    in_time = of_key.orderBy("__tick")
+    rows = df.withColumn("__tick", tick).withColumns(
+        {"__at": F.row_number().over(of_key.orderBy("__tick", *(c for c in df.columns if c not in (*keys, ts)))) - 1, "__first": F.rank().over(in_time) - 1, "__n": F.count(F.lit(1)).over(of_key)}
+    )
+    cells = rows.groupBy(*keys).agg(F.min("__tick").alias("__low"), F.max("__tick").alias("__high"), F.max("__n").alias("__n"), F.min(quota).cast("int").alias("__w")).where("__n > __w AND __w > 0")
+    number = F.posexplode(F.sequence(F.lit(0), F.col("__w") - 1)).alias("__j", "__k")
+    aims = cells.select(*keys, "__n", "__w", "__low", "__high", number).withColumn(
+        "__tick", F.col("__low") + F.expr("CASE WHEN __w = 1 THEN (__high - __low) DIV 2 ELSE ((__high - __low) * __j) DIV (__w - 1) END")
+    )
+    # an aim between the rows before and after it
+    marks = rows.select(*keys, "__tick", F.col("__first").alias("__row"), F.lit(None).cast("int").alias("__j")).unionByName(aims.select(*keys, "__tick", F.lit(None).cast("int").alias("__row"), "__j"))
+    before, after = in_time.rangeBetween(Window.unboundedPreceding, 0), in_time.rangeBetween(1, Window.unboundedFollowing)
+    row = F.when(F.col("__row").isNotNull(), F.struct("__tick", "__row"))
+    near = marks.withColumns({"__b": F.last(row, ignorenulls=True).over(before), "__a": F.first(row, ignorenulls=True).over(after)}).where("__j IS NOT NULL")
+    near = near.select(*keys, "__j", F.when(F.col("__a").isNull() | (F.col("__tick") - F.col("__b.__tick") <= F.col("__a.__tick") - F.col("__tick")), F.col("__b.__row")).otherwise(F.col("__a.__row")).alias("__near"))
+    last = rows.join(cells.select(*keys, "__w"), keys).where("__at >= __n - __w").select(*keys, (F.col("__at") - (F.col("__n") - F.col("__w"))).cast("int").alias("__j"), "__at", "__first")
+    wanted = near.join(last, [*keys, "__j"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__j", "__near", "__at", "__first"))).alias("__aims"))
+    picked = F.expr(
+        """aggregate(__aims, CAST(array() AS array<bigint>), (done, x) -> concat(done, array(CAST(CASE
+            WHEN x.__near <= coalesce(try_element_at(done, -1), -1) THEN try_element_at(done, -1) + 1
+            WHEN x.__near > x.__at THEN greatest(coalesce(try_element_at(done, -1), -1) + 1, x.__first)
+            ELSE x.__near END AS bigint))))"""
+    )
+    chosen = wanted.select(*keys, F.explode(picked).alias("__at"))
+    some = rows.join(chosen, [*keys, "__at"], "left_semi")
+    return some.unionByName(rows.where(F.col("__n") <= F.col(quota))).select(df.columns)
 
 
 def head(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

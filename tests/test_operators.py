@@ -203,3 +203,36 @@ def test_domain_objective_is_certified_and_equals_its_definition(spark):
         assert fit.converged and whole.converged and fit.dual <= fit.primal and whole.dual - 1e-6 <= fit.primal
         assert fit.primal == pytest.approx(whole.primal, rel=2e-4)
         assert np.allclose(fit.weights, whole.weights, atol=0.02)
+
+
+def test_evenly_timed_equals_the_choices_one_by_one(spark):
+    r = np.random.default_rng(9)
+    cells = {k: np.sort(r.choice([1, 2, 3, 50, 51, 52, 53, *range(200, 400, 7)], size)) for k, size in enumerate([1, 2, 3, 5, 9, 20, 40, 40, 60])}
+    quota = {k: [1, 1, 2, 4, 1, 7, 5, 39, 12][k] for k in cells}
+    rows = [(k, 1000 * k + i, START + dt.timedelta(minutes=int(m)), quota[k]) for k, ticks in cells.items() for i, m in enumerate(ticks)]
+    found = timeseries.evenly_timed(spark.createDataFrame(rows, "site int, raw_row long, ts timestamp_ntz, quota long"), ["site"], "ts", "quota").collect()
+    for k, ticks in cells.items():
+        wanted = min(quota[k], len(ticks))
+        span, expected, floor = int(ticks[-1] - ticks[0]) * 60 * 10**9, [], 0
+        aims = [span // 2] if wanted == 1 else [span * j // (wanted - 1) for j in range(wanted)]
+        for j, aim in enumerate(aims):
+            near = min(range(floor, len(ticks) - (wanted - j) + 1), key=lambda p: (abs(int(ticks[p] - ticks[0]) * 60 * 10**9 - aim), p))
+            expected.append(int(near))
+            floor = near + 1
+        expected = list(range(len(ticks))) if wanted == len(ticks) else expected
+        assert sorted(x.raw_row - 1000 * k for x in found if x.site == k) == expected
+
+
+def test_separate_segments_equal_a_scan(spark):
+    r = np.random.default_rng(10)
+    events = {k: sorted(r.choice(300, 60, replace=False).tolist()) for k in range(4)}
+    rows = spark.createDataFrame([(k, p, 300) for k, at in events.items() for p in at], "site int, at long, n long")
+    found = timeseries.separate_segments(rows, ["site"], "at", "n", 5, 12, 24).collect()
+    for k, at in events.items():
+        expected, last = [], -1
+        for p in at:
+            start, end = max(0, p - 12), min(300, p + 25)
+            if start >= last and end - start >= 18 and len(expected) < 5:
+                expected.append((p, start, end))
+                last = end
+        assert sorted((x.event_at, x.start_at, x.end_at) for x in found if x.site == k) == expected
