@@ -42,6 +42,13 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", ["T4_domain_fits", "T27_fitted_variants", "T26_extended_fits"])
+def test_fits_end_certified(spark, name):
+    rows = catalog.QUERIES[name](spark, SMALL)
+    rows = (rows.where("attempt = 1 OR converged") if "attempt" in rows.columns else rows).collect()
+    assert rows and all(r.converged and r.dual <= r.primal for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
