@@ -46,7 +46,7 @@ def test_query_without_sql_has_rows(spark, name):
 def test_fits_end_certified(spark, name):
     rows = catalog.QUERIES[name](spark, SMALL)
     rows = (rows.where("attempt = 1 OR converged") if "attempt" in rows.columns else rows).collect()
-    assert rows and all(r.converged and r.dual <= r.primal for r in rows)
+    assert rows and all(r.converged and r.dual <= r.primal + 1e-9 for r in rows)  # equal but for rounding
 
 
 def test_entry(spark):
