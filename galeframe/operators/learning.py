@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galeframe.operators.quantiles import exact_percentiles
+
 MOST_FEATURES = 512
 #: Newton steps that are tried at once, from undamped to one that cannot overshoot.
 TRIALS = 14
@@ -367,15 +369,24 @@ def cluster_boosted(df: DataFrame, vector: str, target: str, k: int = 3, least:
     return out
 
 
+def _binned(df: DataFrame, prediction: str, residual: str, bins: int, shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its equal-count bin of the prediction and ``all_<name>``, and (bin, bin_n, bin_<name>): exact percentiles of the residuals of all rows and of a bin."""
+    wanted = {f"edge_{k}": (prediction, k / bins) for k in range(1, bins)} | {f"all_{n}": (residual, p) for n, p in shares.items()}
+    edges = exact_percentiles(df, [], wanted)  # one row
+    placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", sum(((F.col(f"edge_{k}") < F.col(prediction)).cast("int") for k in range(1, bins)), F.lit(0)))
+    placed = placed.drop(*(f"edge_{k}" for k in range(1, bins)))
+    per = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("bin_n"))
+    if shares:
+        per = per.join(exact_percentiles(placed, ["bin"], {f"bin_{n}": (residual, p) for n, p in shares.items()}), "bin")
+    return placed, per
+
+
 def residual_intervals(df: DataFrame, prediction: str, residual: str, bins: int = 5, least: int = 20, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Bounds from the residuals of equal-count bins of the prediction; bins of fewer than ``least`` rows use all residuals.
 
     The bin edges are one row, and the residual quantiles one row a bin.
     """
-    shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    edges = df.agg(F.percentile(prediction, shares).alias("edges"), F.percentile(residual, low).alias("all_low"), F.percentile(residual, high).alias("all_high"))
-    placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(prediction))))
-    per = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("bin_n"), F.percentile(residual, low).alias("bin_low"), F.percentile(residual, high).alias("bin_high"))
+    placed, per = _binned(df, prediction, residual, bins, {"low": low, "high": high})
     rows = placed.join(F.broadcast(per), "bin")
     return rows.select(*df.columns, "bin", (F.col(prediction) + F.when(F.col("bin_n") < least, F.col("all_low")).otherwise(F.col("bin_low"))).alias("lower"), (F.col(prediction) + F.when(F.col("bin_n") < least, F.col("all_high")).otherwise(F.col("bin_high"))).alias("upper"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galeframe.operators.quantiles import exact_percentiles
 from galeframe.operators.timeseries import evenly_timed, ramp
 
 
@@ -48,16 +49,19 @@ def screen(df: DataFrame, rules: Rules, key: str = "site", ts: str = "ts", capac
     """
     rows = ramp(df, "power", [key], [ts])
     has = set(df.columns)
-    percent = lambda c, q: F.percentile(c, q / 100)
-    wanted = [percent("power", rules.stat_q).alias("__q_power")]
+    wanted = {"__q_power": ("power", rules.stat_q / 100)}
+    fixed_limits = {}
     if "wind" in has:
-        wanted.append(percent("wind", rules.stat_q).alias("__q_wind"))
+        wanted["__q_wind"] = ("wind", rules.stat_q / 100)
     if rules.ramp_q is not None:
-        wanted.append(percent("ramp", rules.ramp_q).alias("__q_ramp"))
+        wanted["__q_ramp"] = ("ramp", rules.ramp_q / 100)
     if "temperature" in has:
         for name, q, fixed in (("__t_low", rules.temp_q_low, rules.temp_low), ("__t_high", rules.temp_q_high, rules.temp_high)):
-            wanted.append((percent("temperature", q) if q is not None else F.lit(fixed)).alias(name))
-    rows = rows.join(rows.groupBy(key).agg(*wanted), key)
+            if q is None:
+                fixed_limits[name] = F.lit(fixed)
+            else:
+                wanted[name] = ("temperature", q / 100)
+    rows = rows.join(exact_percentiles(rows, [key], wanted).withColumns(fixed_limits), key)
     none = F.lit(False)
     wind_high = _above(F.col("wind"), F.col("__q_wind")) if "wind" in has else none
     stat = (wind_high if rules.stat_on_wind else none) | (_above(F.col("power"), F.col("__q_power")) if rules.stat_on_power else none)
@@ -81,10 +85,10 @@ def train_thresholds(df: DataFrame, key: str, split: str, wind_q: float = 0.98,
     """Thresholds of each site from training rows alone."""
     train = F.col(split) == "train"
     pick = lambda c: F.when(train, F.col(c))
-    aggregates = [F.percentile(pick("wind"), wind_q).alias("wind_high")]
+    wanted = {"wind_high": ("wind", wind_q)}
     if "temperature" in df.columns:
-        aggregates += [F.percentile(pick("temperature"), temp_q[0]).alias("temp_low"), F.percentile(pick("temperature"), temp_q[1]).alias("temp_high")]
-    return df.groupBy(key).agg(*aggregates)
+        wanted |= {"temp_low": ("temperature", temp_q[0]), "temp_high": ("temperature", temp_q[1])}
+    return exact_percentiles(df.select(key, *(pick(c).alias(c) for c in dict.fromkeys(c for c, _ in wanted.values()))), [key], wanted)
 
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, key: str, cut_out: float = 25.0) -> DataFrame:

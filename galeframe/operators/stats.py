@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galeframe.operators.quantiles import exact_percentiles, joined
+
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, least, most and the sample deviation (NULL for one row)."""
@@ -25,7 +27,7 @@ def loglog_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation."""
-    return df.groupBy(*keys).agg(*(F.percentile(value, p).alias(name) for name, p in shares.items()))
+    return exact_percentiles(df, keys, {name: (value, p) for name, p in shares.items()})
 
 
 def rank_statistic(df: DataFrame, keys: list[str], score: str, alpha: float, finite_sample: bool = True) -> DataFrame:
@@ -96,9 +98,10 @@ def distribution_distance(df: DataFrame, keys: list[str], value: str, is_target:
 
 def residual_moments(df: DataFrame, keys: list[str], residual: str, tail: float) -> DataFrame:
     e = F.col(residual)
-    return df.groupBy(*keys).agg(
-        F.avg(e).alias("mean_e"), F.stddev_pop(e).alias("sd_e"), F.skewness(e).alias("skew_e"), F.kurtosis(e).alias("kurt_e"), F.percentile(F.abs(e), 0.95).alias("abs_p95"), F.avg((F.abs(e) > tail).cast("double")).alias("tail_share")
+    found = df.groupBy(*keys).agg(
+        F.avg(e).alias("mean_e"), F.stddev_pop(e).alias("sd_e"), F.skewness(e).alias("skew_e"), F.kurtosis(e).alias("kurt_e"), F.avg((F.abs(e) > tail).cast("double")).alias("tail_share")
     )
+    return joined(found, exact_percentiles(df.select(*keys, F.abs(e).alias("__abs")), keys, {"abs_p95": ("__abs", 0.95)}), keys)
 
 
 def average_rank(df: DataFrame, keys: list[str], value: Column, name: str = "rank") -> DataFrame:
@@ -127,7 +130,8 @@ def select_features(correlations: DataFrame, least: float, k: int) -> DataFrame:
 
 
 def mad_scale(df: DataFrame, keys: list[str], residual: str) -> DataFrame:
-    return df.groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col(residual)))).alias("scale"))
+    found = exact_percentiles(df.select(*keys, F.abs(F.col(residual)).alias("__abs")), keys, {"scale": ("__abs", 0.5)})
+    return found.withColumn("scale", 1.4826 * F.col("scale"))
 
 
 def mean_impute(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

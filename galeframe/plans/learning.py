@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from galeframe.functions import scalar as fx
 from galeframe.operators import learning as ln
+from galeframe.operators import regressors as rg
+from galeframe.operators import stats as st
 from galeframe.operators import studies
 from galeframe.plans.registry import query, r
-from galeframe.sources.schema import forecasts, table
+from galeframe.sources.schema import FORECASTS_SQL, forecasts, table
 
 
 def _vectors(spark, sf_dir):
@@ -156,3 +159,89 @@ def stacking(spark, sf_dir):
     out = ln.predict_ml(out, ln.boosted(base, "x", "y", rounds=4), "x", "p2").withColumn("p", F.array("p0", "p1", "p2"))
     v, c = ln.ridge(ln.moments(out.where(~part), "p", "y", "is_target"), 1.0)
     return ln.predict_linear(out, "p", v, c).select("vec_id", r("prediction", 5).alias("prediction"))
+
+
+@query("T5_adam")
+def adam(spark, sf_dir):
+    """The domain-adapted objective by mini-batch Adam, to stand beside its certified fits."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
+    found = ln.moments(features, "z", "y", "is_target")
+    cost = F.when(F.col("is_target"), 50.0 / max(found.n[1], 1)).otherwise(50.0 / max(found.n[0], 1))
+    taus = [0.1, 0.5, 0.9]
+    at = rg.adam_fit(features.withColumn("cost", cost), "z", "y", "cost", taus, ln.domain_terms(found, 2.0, 20.0), batches=4, epochs=10, rate=0.1, key="vec_id")
+    return spark.createDataFrame([(t, float(p[-1]), p[:-1].tolist()) for t, p in zip(taus, at, strict=True)], "tau double, intercept double, weights array<double>")
+
+
+@query("T13_boosted_quantiles")
+def boosted_quantiles(spark, sf_dir):
+    """A lower and an upper quantile by trees grown on the pinball loss, endpoints in order."""
+    rows = _vectors(spark, sf_dir)
+    out = rows
+    for name, tau in (("low", 0.05), ("high", 0.95)):
+        out = rg.boosted_quantile(rows, "x", "y", tau, rounds=3).predict(out, "x", name)
+    return out.select("vec_id", F.least("low", "high").alias("lower"), F.greatest("low", "high").alias("upper"))
+
+
+@query("T16_random_nodes")
+def random_nodes(spark, sf_dir):
+    """Ridge on random hidden nodes."""
+    rows = _vectors(spark, sf_dir)
+    return rg.fitted("elm", rows, "x", "y")(rows).select("vec_id", r("prediction", 5).alias("prediction"))
+
+
+@query("T16_bounded_ridge")
+def bounded_ridge(spark, sf_dir):
+    """Ridge on Nystroem features, reweighted so that no row's influence is unbounded."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
+    return rg.fitted("bounded", features, "z", "y", penalty=0.1)(features).select("vec_id", r("prediction", 5).alias("prediction"))
+
+
+@query("T16_broad_forest")
+def broad_forest(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return rg.fitted("broad_forest", rows, "x", "y")(rows).select("vec_id", "prediction")
+
+
+@query("T19_density_intervals")
+def density_intervals(spark, sf_dir):
+    rows = forecasts(spark, sf_dir).select("window_index", "seed", "prediction", (F.col("y") - F.col("prediction")).alias("residual"))
+    return rg.density_intervals(rows, ["window_index", "seed"], "prediction", "residual", draws=5).select("window_index", "seed", "bin", r("lower").alias("lower"), r("upper").alias("upper"))
+
+
+@query(
+    "T20_zero_width_intervals",
+    f"""WITH {FORECASTS_SQL}, c AS (SELECT *, abs(y - prediction) AS plain, abs(y - prediction) / 1e-6 AS scaled FROM forecasts WHERE seed <= 3),
+        n AS (SELECT task, plain, scaled, row_number() OVER (PARTITION BY task ORDER BY plain) AS k, count(*) OVER (PARTITION BY task) AS n FROM c),
+        q AS (SELECT task, max(plain) AS q_plain, max(scaled) AS q_scaled FROM n WHERE k = ceil((n + 1) * (1 - 0.1)) GROUP BY task)
+        SELECT task, window_index, seed, round(prediction - q_plain, 6) + 0.0 AS lower, round(prediction + q_plain, 6) + 0.0 AS upper, round(q_scaled * 1e-6, 4) + 0.0 AS scaled_half FROM forecasts JOIN q USING (task) WHERE seed > 3""",
+)
+def zero_width_intervals(spark, sf_dir):
+    """Point forecasts as intervals of no width, conformalised: the width is the quantile alone, and a score scaled by the width is one over the least width."""
+    rows = forecasts(spark, sf_dir).withColumns({"low": F.col("prediction"), "high": F.col("prediction")})
+    scored = rows.where("seed <= 3").withColumns({"plain": fx.conformal_score(F.col("y"), F.col("low"), F.col("high")), "scaled": fx.conformal_score(F.col("y"), F.col("low"), F.col("high"), scaled=True)})
+    q = [st.rank_statistic(scored, ["task"], c, 0.1).select("task", F.col("q_hat").alias(f"q_{c}")) for c in ("plain", "scaled")]
+    wide = rows.where("seed > 3").join(q[0].join(q[1], "task"), "task")
+    low, high = fx.expand(F.col("low"), F.col("high"), F.col("q_plain"))
+    return wide.select("task", "window_index", "seed", r(low).alias("lower"), r(high).alias("upper"), r(F.col("q_scaled") * 1e-6, 4).alias("scaled_half"))
+
+
+@query(
+    "T21_nearest_mean",
+    """WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos, label FROM embeddings), d AS (SELECT q.vec_id, t.vec_id AS other, max(t.label) AS y, sum((CAST(q.x AS DOUBLE) - t.x) * (CAST(q.x AS DOUBLE) - t.x)) AS far FROM e q JOIN e t USING (pos) WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, t.vec_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, other) AS place FROM d) SELECT vec_id, round(avg(y), 6) AS prediction FROM k WHERE place <= 5 GROUP BY vec_id""",
+)
+def nearest_mean(spark, sf_dir):
+    """The rows whose id is divisible by 100 against all rows; the five nearest, the row itself among them."""
+    rows = _vectors(spark, sf_dir)
+    return rg.nearest_mean(rows.where("vec_id % 100 = 0"), rows, "vec_id", "x", "y", 5).select("vec_id", r("prediction").alias("prediction"))
+
+
+@query("T35_model_factory")
+def model_factory(spark, sf_dir):
+    """Every model of the factory fitted on half of the rows and scored on the other."""
+    rows = _vectors(spark, sf_dir)
+    part = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(2)) == 0
+    names = ("ridge", "elm", "bounded", "forest", "broad_forest", "boosted", "quantile_boosted")
+    return rg.factory_scores(spark, rows.where(part), rows.where(~part), "x", "y", [(n, {}) for n in names])

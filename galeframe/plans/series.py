@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from galeframe.functions import scalar as fx
 from galeframe.operators import screening as sc
 from galeframe.operators import timeseries as ts
+from galeframe.operators.quantiles import exact_percentiles
 from galeframe.plans.registry import query, r
 from galeframe.plans.scalars import _SPLIT_SQL
 from galeframe.sources.schema import SERIES_SQL, Protocol, site_series
@@ -96,7 +97,7 @@ _EPISODE_SQL = f"""WITH {SERIES_SQL}, t AS (SELECT site, quantile_cont(power, 0.
 
 def _episodes(spark, sf_dir):
     rows = site_series(spark, sf_dir)
-    high = rows.groupBy("site").agg(F.percentile("power", 0.9).alias("high"))
+    high = exact_percentiles(rows, ["site"], {"high": ("power", 0.9)})
     extreme = rows.join(F.broadcast(high), "site").where("power > high")
     return ts.episodes(extreme, ["site"], "ts", 3600, {"n_windy": F.col("wind") > 50}, at_most=True, stretch_days=1)
 
@@ -235,7 +236,7 @@ def train_thresholds(spark, sf_dir):
 )
 def nested_thresholds(spark, sf_dir):
     rows = site_series(spark, sf_dir)
-    t = rows.groupBy("site").agg(F.percentile("wind", 0.9).alias("q90"), F.percentile("wind", 0.99).alias("q99"))
+    t = exact_percentiles(rows, ["site"], {"q90": ("wind", 0.9), "q99": ("wind", 0.99)})
     outer, core = F.col("wind") > F.col("q90"), F.col("wind") > F.col("q99")
     return rows.join(F.broadcast(t), "site").groupBy("site").agg(F.count_if(outer).alias("n_outer"), F.count_if(core).alias("n_core"), F.count_if(core & ~outer).alias("n_not_nested"))
 
@@ -286,6 +287,6 @@ def census(spark, sf_dir):
 def preparation(spark, sf_dir):
     """The chronological preparation as one plan: grid, contiguous windows, train-free screen, split, domains."""
     base = grid(spark, sf_dir)
-    high = base.groupBy("site").agg(F.percentile("power", 0.9).alias("high"))
+    high = exact_percentiles(base, ["site"], {"high": ("power", 0.9)})
     rows = ts.contiguous_lag_windows(base, ["power"], 3, 900, ["site"]).join(F.broadcast(high), "site")
     return rows.groupBy("site", fx.split_label(F.col("ts"), Protocol()).alias("split"), (F.col("power") > F.col("high")).alias("is_extreme")).agg(F.count(F.lit(1)).alias("n"), r(F.avg(_flat(F.col("lags"), 3)), 4).alias("mean_mark"))
