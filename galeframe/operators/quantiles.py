@@ -25,46 +25,37 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     names, of = list(wanted), [columns.index(c) for c, _ in wanted.values()]
-    shares = [share for _, share in wanted.values()]
+    shares = [float(share) for _, share in wanted.values()]
     margin = 3 / ACCURACY
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)))
     by = [f"__k{i}" for i in range(len(keys))]
-    sketches = []
+    sketches, placed = [], []
     for i in range(len(columns)):
-        ends = [F.lit(min(1.0, max(0.0, shares[k] + side * margin))) for k in range(len(names)) if of[k] == i for side in (-1, 1)]
-        sketches += [F.percentile_approx(f"__v{i}", F.array(*ends), F.lit(ACCURACY)).alias(f"__e{i}"), F.count(f"__v{i}").alias(f"__n{i}")]
-    brackets = rows.groupBy(*by).agg(*sketches).persist(StorageLevel.MEMORY_AND_DISK)  # a row a group, and the same row in both uses
+        mine = [k for k in range(len(names)) if of[k] == i]
+        ends = ", ".join(f"{min(1.0, max(0.0, shares[k] + side * margin))!r}D" for k in mine for side in (-1, 1))
+        sketches += [F.expr(f"percentile_approx(__v{i}, array({ends}), {ACCURACY})").alias(f"__e{i}"), F.expr(f"count(__v{i})").alias(f"__n{i}")]
+        for at, k in enumerate(mine):
+            # missing values stay as a count in their own zone, so that every group has a row
+            zone = f"CASE WHEN __v{i} IS NULL THEN 2 WHEN __v{i} < get(__e{i}, {2 * at}) THEN -1 WHEN __v{i} > get(__e{i}, {2 * at + 1}) THEN 1 ELSE 0 END"
+            placed.append(f"named_struct('which', {k}, 'zone', {zone}, 'value', __v{i}, 'total', __n{i}, 'place', {shares[k]!r}D * (__n{i} - 1))")
+    brackets = rows.groupBy(*by).agg(*sketches).persist(StorageLevel.MEMORY_AND_DISK)  # a row a group, the same for all uses
     few = brackets.count() <= MOST_GROUPS
-    lookup = brackets.select(*(F.col(k).alias(f"{k}b") for k in by), *(f"__{p}{i}" for i in range(len(columns)) for p in "en"))
-    met = F.lit(True)
-    for k in by:
-        met = met & F.col(k).eqNullSafe(F.col(f"{k}b"))
-    placed = []
-    for k in range(len(names)):
-        value, first = F.col(f"__v{of[k]}"), 2 * of[:k].count(of[k])
-        low, high = F.get(f"__e{of[k]}", F.lit(first)), F.get(f"__e{of[k]}", F.lit(first + 1))
-        zone = F.when(value < low, -1).when(value > high, 1).otherwise(0)
-        placed.append(F.struct(F.lit(k).alias("which"), zone.alias("zone"), value.alias("value"), F.col(f"__n{of[k]}").alias("total")))
-    each = rows.join(F.broadcast(lookup) if few else lookup, met).select(*by, F.explode(F.array(*placed)).alias("p")).select(*by, "p.*").where("value IS NOT NULL")
-    counted = each.groupBy(*by, "which", "zone", F.when(F.col("zone") == 0, F.col("value")).alias("at")).agg(
+    lookup = brackets.withColumnsRenamed({k: f"{k}b" for k in by})
+    met = F.expr(" AND ".join(f"{k} <=> {k}b" for k in by) or "true")
+    each = rows.join(F.broadcast(lookup) if few else lookup, met).select(*by, F.expr(f"explode(array({', '.join(placed)}))").alias("p")).select(*by, "p.*")
+    counted = each.groupBy(*by, "which", "zone", "place", F.expr("CASE WHEN zone = 0 THEN value END").alias("at")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.max("total").alias("total")
     )
     up = F.sum("n").over(Window.partitionBy(*by, "which").orderBy("zone", "at").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"up": up, "place": F.get(F.array(*map(F.lit, shares)), F.col("which")) * (F.col("total") - 1)})
-
-    def at(rank):
-        here = (F.col("up") - F.col("n") <= rank) & (rank < F.col("up"))
-        below, above = (F.col("zone") == -1) & (rank == F.col("up") - 1), (F.col("zone") == 1) & (rank == F.col("up") - F.col("n"))
-        return F.max(F.when(here & ((F.col("zone") == 0) | below), F.col("most")).when(here & above, F.col("least")))
-
-    found = ranked.groupBy(*by, "which").agg(F.max("place").alias("place"), at(F.floor("place")).alias("a"), at(F.ceil("place")).alias("b"))
-    between = F.when(F.floor("place") == F.ceil("place"), F.col("a")).otherwise((F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b"))
-    checked = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a bracket misses its rank"))).otherwise(between)
-    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("which") == k, checked)).alias(name) for k, name in enumerate(names)))
-    if not keys:
-        return wide
-    wide = wide.select(*(F.col(k).alias(f"{k}b") for k in by), *names)
-    return brackets.select(*by).join(wide, met, "left").select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), *names)
+    # of a zone outside the bracket only the value next to it has a known rank
+    value = "CASE WHEN zone = 0 OR zone = -1 AND {r} = up - 1 THEN most WHEN zone = 1 AND {r} = up - n THEN least END"
+    hit = "CASE WHEN up - n <= {r} AND {r} < up THEN " + value + " END"
+    ranked = counted.withColumn("up", up).select(*by, "which", "place", "total", *(F.expr(hit.format(r=f"{side}(place)")).alias(side) for side in ("floor", "ceil")))
+    ends = [F.expr(f"max(CASE WHEN which = {k} THEN struct(total, place) END)").alias(f"of{k}") for k in range(len(names))]
+    ends += [F.expr(f"max(CASE WHEN which = {k} THEN `{side}` END)").alias(f"{side}{k}") for k in range(len(names)) for side in ("floor", "ceil")]
+    found = ranked.groupBy(*by).agg(*ends)
+    between = "CASE WHEN of{k}.total > 0 AND (floor{k} IS NULL OR ceil{k} IS NULL) THEN raise_error('a bracket misses its rank') WHEN floor(of{k}.place) = ceil(of{k}.place) THEN floor{k} ELSE (ceil(of{k}.place) - of{k}.place) * floor{k} + (of{k}.place - floor(of{k}.place)) * ceil{k} END"
+    return found.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), *(F.expr(between.format(k=k)).alias(name) for k, name in enumerate(names)))
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
