@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and SQL where SQL can express them."""
+"""The queries of the operators and of the pipeline, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_text, lm_scoring, packing, pii, similar, substrings, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, lm_scoring, packing, phrases, pii, similar, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_lm_scoring": op8_lm_scoring,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLES = {
@@ -90,6 +95,24 @@ ORACLES = {
         word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
         kept AS (SELECT word.doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY word.j) FILTER (gone.j IS NULL) AS text FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY word.doc_id)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_phrase_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+        places AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(words) >= k),
+        f AS (SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM places GROUP BY lang, phrase, k HAVING count(*) >= 100),
+        c AS (SELECT lang, phrase, string_split(phrase, ' ') AS words, k, f AS a FROM f WHERE k > 1),
+        cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+                 FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+                 JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
+                 JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:], ' ')
+                 JOIN total ON total.lang = c.lang),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_phrases AS (SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase FROM c, range(2, 5) t(m) WHERE m < k),
+        around AS (SELECT lang, phrase, max(a) AS around FROM inner_phrases GROUP BY lang, phrase),
+        ranked AS (SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+                   FROM best LEFT JOIN around USING (lang, phrase) WHERE around IS NULL OR around < a)
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
 
 
