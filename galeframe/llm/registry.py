@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_text, lm_scoring, packing, phrases, pii, similar, substrings, token_counts, toxicity
+from . import conversations, decontaminate, exact_dedup, html_text, language, lm_scoring, packing, phrases, pii, similar, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -51,10 +51,19 @@ def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -66,7 +75,9 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_lm_scoring": op8_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
@@ -95,6 +106,55 @@ ORACLES = {
         word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
         kept AS (SELECT word.doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY word.j) FILTER (gone.j IS NULL) AS text FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY word.doc_id)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS signs FROM conversations),
+        hashed AS (  -- crc32: each byte is xored in and followed by eight shifts
+            SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(signs, lambda s: list_concat([CAST(ascii(s) AS BIGINT)], list_transform(range(8), lambda b: CAST(-1 AS BIGINT)))))),
+                   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 20 AS kind FROM coded),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+        judged AS (
+            SELECT *, substr(role, 1, 1) AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
+                   lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+        ids AS (SELECT DISTINCT conv_id FROM conversations),
+        -- the cheapest edits so far that lead to nothing yet, to a system, a user and an assistant turn; inserts after the turn are included
+        states AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': CAST(0 AS BIGINT), 'a': ''} AS s0, {'c': CAST(1000000000 AS BIGINT), 'a': ''} AS s1, {'c': CAST(5 AS BIGINT), 'a': 'I'} AS s2, {'c': CAST(10 AS BIGINT), 'a': 'II'} AS s3 FROM ids
+            UNION ALL
+            SELECT conv_id, i, s0, s1, t2, list_min([s3, {'c': t2.c + 5, 'a': t2.a || 'I'}]) AS s3
+            FROM (SELECT conv_id, i, s0, s1, s3, list_min([s2, {'c': s0.c + 5, 'a': s0.a || 'I'}, {'c': s1.c + 5, 'a': s1.a || 'I'}, {'c': s3.c + 5, 'a': s3.a || 'I'}]) AS t2
+            FROM (SELECT s.conv_id, r.i, {'c': s0.c + 2, 'a': s0.a || 'D'} AS s0,
+                         list_min([{'c': s1.c + 2, 'a': s1.a || 'D'}, {'c': s0.c + extra + CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K'}]) AS s1,
+                         list_min([{'c': s2.c + 2, 'a': s2.a || 'D'},
+                                   {'c': least(s0.c, s1.c, s3.c) + extra + CASE WHEN initial = 'u' THEN 0 ELSE 1000000000 END, 'a': list_min([s0, s1, s3]).a || 'K'},
+                                   {'c': least(s0.c, s1.c, s3.c) + extra + 1, 'a': list_min([s0, s1, s3]).a || 'R'}]) AS s2,
+                         list_min([{'c': s3.c + 2, 'a': s3.a || 'D'}, {'c': s2.c + extra + CASE WHEN initial = 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K'}, {'c': s2.c + extra + 1, 'a': s2.a || 'R'}]) AS s3
+                  FROM states s JOIN (SELECT *, CAST(CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END AS BIGINT) AS extra FROM judged) r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1) d) u),
+        ended AS (SELECT conv_id, list_min([s0, s3]) AS best FROM states QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        letters AS (SELECT conv_id, best.c AS cost, best.a AS audit, unnest(string_split(best.a, '')) AS edit, generate_subscripts(string_split(best.a, ''), 1) AS spot FROM ended WHERE best.a <> ''),
+        edits AS (
+            SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w - 1 AS place, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd
+            FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY spot)),
+        repaired AS (
+            SELECT e.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot)) AS sha
+            FROM edits e LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.i = e.i WHERE edit <> 'D' GROUP BY e.conv_id)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(best.c AS BIGINT) AS cost, best.a AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM ids LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM ids.conv_id
+        LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id""",
     "op12_phrase_collocations": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
         w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),

@@ -35,4 +35,4 @@ def test_stages_on_nulls_repeats_and_clashing_names(make, prose):
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
