@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galeframe.operators.quantiles import exact_percentiles, joined
+from galeframe.operators.ranges import RANGE, in_ranges, joined_cells, own_rows, running, with_neighbours
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -36,18 +37,18 @@ def rank_statistic(df: DataFrame, keys: list[str], score: str, alpha: float, fin
     finite_sample: the ceil((n + 1)(1 - alpha))-th smallest, NULL where there is
     none; otherwise the one at ceil((n - 1)(1 - alpha)) from 0 ("higher").
     """
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(score).isNotNull()).withColumns({"__at": F.row_number().over(w.orderBy(score)), "__n": F.count(F.lit(1)).over(w)})
-    rank = F.ceil((F.col("__n") + 1) * F.lit(1 - alpha)) if finite_sample else F.ceil((F.col("__n") - 1) * F.lit(1 - alpha)) + 1
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("__at") == rank, F.col(score))).alias("q_hat"))
+    ties = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = running(in_ranges(ties, keys, [score]), {"__up": F.col("__rows")}).frame
+    rank = F.ceil((F.col("__up_all") + 1) * F.lit(1 - alpha)) if finite_sample else F.ceil((F.col("__up_all") - 1) * F.lit(1 - alpha)) + 1
+    here = (F.col("__up") >= rank) & (F.col("__up") - F.col("__rows") < rank)
+    return rows.groupBy(*keys).agg(F.max("__up_all").alias("n"), F.max(F.when(here, F.col(score))).alias("q_hat"))
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, tau: float) -> DataFrame:
     """The first value at which the weight up to it reaches tau of all; rows without weight are left out."""
     rows = df.where(F.col(weight) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumns({"__up": F.sum("__w").over(w.orderBy(value)), "__all": F.sum("__w").over(w)})
-    return rows.where(F.col("__up") >= tau * F.col("__all")).groupBy(*keys).agg(F.min(value).alias("quantile"))
+    rows = running(in_ranges(rows, keys, [value]), {"__up": F.col("__w")}).frame
+    return rows.where(F.col("__up") >= tau * F.col("__up_all")).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
@@ -65,12 +66,13 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, taps: int = 7
     """A Gaussian kernel of ``taps`` taps and deviation taps / 3, padded with zeros."""
     half = taps // 2
     raw = [math.exp(-0.5 * (k / (taps / 3)) ** 2) for k in range(-half, half + 1)]
-    w = Window.partitionBy(*keys).orderBy(order)
+    ranged = with_neighbours(in_ranges(df, keys, [order]), half, half)
+    w = ranged.window()
     out = F.lit(0.0)
     for k, tap in zip(range(-half, half + 1), raw, strict=True):
         here = F.col(value) if k == 0 else F.lag(value, -k, 0.0).over(w) if k < 0 else F.lead(value, k, 0.0).over(w)
         out = out + here * (tap / sum(raw))
-    return df.withColumn(name, out)
+    return own_rows(ranged, ranged.frame.withColumn(name, out))
 
 
 def density_estimate(df: DataFrame, keys: list[str], value: str, grid: list[float]) -> DataFrame:
@@ -89,10 +91,9 @@ def density_estimate(df: DataFrame, keys: list[str], value: str, grid: list[floa
 def distribution_distance(df: DataFrame, keys: list[str], value: str, is_target: str) -> DataFrame:
     """Wasserstein-1 and Kolmogorov-Smirnov distance of two samples, ties collapsed first."""
     steps = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(~F.col(is_target)).alias("a"), F.count_if(F.col(is_target)).alias("b"))
-    whole = Window.partitionBy(*keys)
-    up = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole))
-    rows = steps.withColumns({"__gap": gap, "__step": F.lead(value).over(whole.orderBy(value)) - F.col(value)})
+    ranged = with_neighbours(running(in_ranges(steps, keys, [value]), {"__a": F.col("a"), "__b": F.col("b")}), after=1)
+    gap = F.abs(F.col("__a") / F.col("__a_all") - F.col("__b") / F.col("__b_all"))
+    rows = own_rows(ranged, ranged.frame.withColumns({"__gap": gap, "__step": F.lead(value).over(ranged.window()) - F.col(value)}))
     return rows.groupBy(*keys).agg(F.sum(F.col("__gap") * F.coalesce("__step", F.lit(0.0))).alias("wasserstein"), F.max("__gap").alias("ks"))
 
 
@@ -106,9 +107,11 @@ def residual_moments(df: DataFrame, keys: list[str], residual: str, tail: float)
 
 def average_rank(df: DataFrame, keys: list[str], value: Column, name: str = "rank") -> DataFrame:
     """Rank of a value within its key; ties share the mean of their ranks."""
-    w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
+    rows = df.withColumn("__value", value)
+    ties = rows.groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__rows"))
+    ties = running(in_ranges(ties, keys, ["__value"]), {"__up": F.col("__rows")}).frame
+    ties = ties.select(*keys, "__value", (F.col("__up") - (F.col("__rows") - 1) / 2).alias(name))
+    return joined_cells(rows, ties, [*keys, "__value"]).drop("__value")
 
 
 def signal_power(df: DataFrame, vector: str) -> DataFrame:

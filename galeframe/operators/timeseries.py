@@ -1,8 +1,9 @@
 """Ordered analytics over (site, ts): lag windows, episodes, segments, splits and samples.
 
 Where an operator looks back a bounded time, or can be merged from parts, it is
-partitioned by (site, stretch of time), so a site with a third of all rows is
-many tasks.
+partitioned by (site, stretch of time); where it looks back a number of rows, or
+needs their positions, by (site, range of the order) with what came before the
+range carried in. So a site with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galeframe.operators.ranges import RANGE, in_ranges, own_rows, positions, with_neighbours
+
 STRETCH_DAYS = 7
 
 
@@ -24,8 +27,8 @@ def lag_windows(df: DataFrame, features: list[str], width: int, keys: list[str],
 
     A missing feature stays as a NULL in its place, since structs are collected.
     """
-    before = _by(keys, order).rowsBetween(-width, -1)
-    rows = df.withColumn("lags", F.collect_list(F.array(*features)).over(before)).where(F.size("lags") == width)
+    ranged = with_neighbours(in_ranges(df, keys, order), before=width)
+    rows = own_rows(ranged, ranged.frame.withColumn("lags", F.collect_list(F.array(*features)).over(ranged.window().rowsBetween(-width, -1)))).where(F.size("lags") == width)
     return rows.withColumn("lags", F.flatten("lags")) if flat else rows
 
 
@@ -57,7 +60,8 @@ def append_lag(df: DataFrame, extra: DataFrame, column: str, width: int, step_se
 
 def ramp(df: DataFrame, column: str, keys: list[str], order: list[str], name: str = "ramp") -> DataFrame:
     """Absolute change since the row before; 0 in the first row."""
-    return df.withColumn(name, F.abs(F.col(column) - F.coalesce(F.lag(column).over(_by(keys, order)), F.col(column))))
+    ranged = with_neighbours(in_ranges(df, keys, order), before=1)
+    return own_rows(ranged, ranged.frame.withColumn(name, F.abs(F.col(column) - F.coalesce(F.lag(column).over(ranged.window()), F.col(column)))))
 
 
 def episodes(df: DataFrame, keys: list[str], ts: str, step_seconds: int, counts: dict[str, Column] | None = None, at_most: bool = False, stretch_days: int = STRETCH_DAYS) -> DataFrame:
@@ -113,8 +117,9 @@ def separate_segments(df: DataFrame, keys: list[str], position: str, total: str,
 def widest_segment(df: DataFrame, keys: list[str], order: list[str], value: str, length: int) -> DataFrame:
     """start_at and end_at of the stretch of ``length`` rows with the largest population deviation, tried every length // 5 rows; the earliest of equals."""
     step = max(1, length // 5)
-    w = _by(keys, order)
-    rows = df.select(*keys, (F.row_number().over(w) - 1).alias("start_at"), F.stddev_pop(value).over(w.rowsBetween(0, length - 1)).alias("deviation"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+    ranged = with_neighbours(positions(in_ranges(df.select(*dict.fromkeys([*keys, *order, value])), keys, order), "start_at", "n"), after=length - 1)
+    rows = own_rows(ranged, ranged.frame.withColumn("deviation", F.stddev_pop(value).over(ranged.window().rowsBetween(0, length - 1))))
+    rows = rows.select(*keys, (F.col("start_at") - 1).alias("start_at"), "deviation", "n")
     tried = rows.where(((F.col("n") > length) & (F.col("start_at") % step == 0) & (F.col("start_at") <= F.col("n") - length)) | ((F.col("n") <= length) & (F.col("start_at") == 0)))
     best = Window.partitionBy(*keys).orderBy(F.desc(F.round("deviation", 9)), "start_at")
     chosen = tried.withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
@@ -123,8 +128,8 @@ def widest_segment(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 def neighbourhood(df: DataFrame, keys: list[str], order: list[str], centre: int, radius: int) -> DataFrame:
     """Rows at the positions [centre - radius, centre + radius)."""
-    rows = df.withColumn("position", F.row_number().over(_by(keys, order)) - 1)
-    return rows.where((F.col("position") >= max(0, centre - radius)) & (F.col("position") < centre + radius))
+    rows = df.withColumn("position", F.row_number().over(_by(keys, order))).where(F.col("position") <= centre + radius)  # a limit that tasks apply before they shuffle
+    return rows.withColumn("position", F.col("position") - 1).where(F.col("position") >= max(0, centre - radius))
 
 
 def rolling_expansion(df: DataFrame, keys: list[str], order: list[str], score: str, is_test: str, window: int = 256, alpha: float = 0.05) -> DataFrame:
@@ -133,15 +138,16 @@ def rolling_expansion(df: DataFrame, keys: list[str], order: list[str], score: s
     Calibration rows stand before test rows in ``order``. With too short a
     history for the rank, the expansion is NULL.
     """
-    past = F.array_sort(F.collect_list(score).over(_by(keys, order).rowsBetween(-window, -1)))
+    ranged = with_neighbours(in_ranges(df, keys, order), before=window)
+    past = F.array_sort(F.collect_list(score).over(ranged.window().rowsBetween(-window, -1)))
     rank = F.ceil((F.size("__past") + 1) * F.lit(1 - alpha)).cast("int")
-    rows = df.withColumn("__past", past).where(F.col(is_test))
+    rows = own_rows(ranged, ranged.frame.withColumn("__past", past)).where(F.col(is_test))
     return rows.withColumn("expansion", F.when((rank <= F.size("__past")) & (F.size("__past") > 0), F.get("__past", rank - 1))).drop("__past")
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """At most ``cap`` rows at evenly spaced positions, the first and the last included."""
-    rows = df.withColumns({"__at": F.row_number().over(_by(keys, order)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    rows = positions(in_ranges(df, keys, order)).frame.drop(RANGE).withColumn("__at", F.col("__at") - 1)
     # position p is chosen if some i in [0, cap) has floor(i * (n - 1) / (cap - 1)) = p
     step = (F.col("__n") - 1) / F.lit(max(1, cap - 1))
     i = F.ceil(F.col("__at") / step)
@@ -191,10 +197,12 @@ def head(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("__at", F.row_number().over(_by(keys, order))).where(F.col("__at") <= n).drop("__at")
 
 
-def positional_split(df: DataFrame, keys: list[str], order: list[str | Column], ratio: float, least: int = 1, name: str = "part") -> DataFrame:
-    """First int(n * ratio) rows are train, at least ``least``; half of the rows where even that leaves no test row."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumns({"__at": F.row_number().over(w.orderBy(*order)), "__n": F.count(F.lit(1)).over(w)})
+def positional_split(df: DataFrame, keys: list[str], order: list[str | Column], ratio: float, least: int = 1, name: str = "part", by: Column | None = None) -> DataFrame:
+    """First int(n * ratio) rows are train, at least ``least``; half of the rows where even that leaves no test row.
+
+    ``by`` is a number that orders rows as ``order`` does, where its first is none.
+    """
+    rows = positions(in_ranges(df, keys, order, by)).frame.drop(RANGE)
     cut = F.greatest(F.floor(F.col("__n") * ratio), F.lit(least))
     cut = F.when(cut >= F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__n") / 2))).otherwise(cut)
     return rows.withColumn(name, F.when(F.col("__at") <= cut, "train").otherwise("test")).drop("__at", "__n")
@@ -205,13 +213,20 @@ def hashed_order(id_column: str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_column).cast("string"))), F.col(id_column)]
 
 
+def hashed_number(id_column: str, seed: int) -> Column:
+    """A number that orders rows as :func:`hashed_order` does, but for ties."""
+    return F.conv(F.substring(hashed_order(id_column, seed)[0], 1, 12), 16, 10).cast("double")
+
+
 def label_budgets(df: DataFrame, keys: list[str], id_column: str, seed: int, budgets: list[int]) -> DataFrame:
     """Nested label sets: a row is in every budget that is at least its shuffled rank."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*hashed_order(id_column, seed))))
+    ranked = ranked.where(F.col("__rank") <= max(budgets))  # a limit that tasks apply before they shuffle
     return ranked.select("*", F.explode(F.array([F.lit(b) for b in budgets])).alias("budget")).where("__rank <= budget").drop("__rank")
 
 
 def rows_of_windows(df: DataFrame, keys: list[str], order: list[str], is_target: str, width: int) -> DataFrame:
     """The rows that stand in the lag window of a wanted target: only these may feed fitted statistics."""
-    ahead = _by(keys, order).rowsBetween(1, width)
-    return df.withColumn("__used", F.max(F.col(is_target).cast("int")).over(ahead)).where("__used = 1").drop("__used")
+    ranged = with_neighbours(in_ranges(df, keys, order), after=width)
+    used = F.max(F.col(is_target).cast("int")).over(ranged.window().rowsBetween(1, width))
+    return own_rows(ranged, ranged.frame.withColumn("__used", used)).where("__used = 1").drop("__used")

@@ -185,7 +185,7 @@ def positional_split(spark, sf_dir):
     f"WITH {SERIES_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5('42|' || raw_row), raw_row) AS k, count(*) OVER (PARTITION BY site) AS n FROM series), c AS (SELECT *, greatest(floor(n * 0.6), 10) AS cut FROM w) SELECT site, raw_row, CASE WHEN k <= CASE WHEN cut >= n THEN greatest(1, floor(n / 2)) ELSE cut END THEN 'train' ELSE 'test' END AS part FROM c",
 )
 def shuffled_split(spark, sf_dir):
-    return ts.positional_split(site_series(spark, sf_dir), ["site"], ts.hashed_order("raw_row", 42), 0.6, 10).select("site", "raw_row", "part")
+    return ts.positional_split(site_series(spark, sf_dir), ["site"], ts.hashed_order("raw_row", 42), 0.6, 10, by=ts.hashed_number("raw_row", 42)).select("site", "raw_row", "part")
 
 
 @query(
