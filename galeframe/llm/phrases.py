@@ -1,11 +1,12 @@
 """Phrase collocations by growing contiguous patterns to the right.
 
-Three passes over the texts, none of which moves a text:
+Four passes over the texts, none of which moves a text:
 
 1. words are counted;
 2. pairs of neighbouring frequent words are counted by their hash;
-3. every place where a frequent pair begins is a pointer: the words from there on,
-   as far as each pair is frequent, ``most_words`` at most. Equal pointers are
+3. so are triples of two frequent pairs;
+4. every place where a frequent pair begins is a pointer: the words from there on,
+   as far as each triple is frequent, ``most_words`` at most. Equal pointers are
    counted together before they are shuffled.
 
 Then patterns grow: the pointers of one prefix meet in one task, which projects
@@ -146,36 +147,53 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found.value.view(np.int64))], names=["value"])
 
 
-def _pair_counts(frequent):
-    """(pair, n): pairs of neighbours that may both be frequent words, by their hash."""
+def _links(found: Pieces, known: Bitmap, pairs: Bitmap | None, room: int) -> np.ndarray:
+    """Whether each word follows one with which it may be a frequent pair (without ``pairs``: two frequent words); ``room`` more places follow the last."""
+    some = known.has(found.value)
+    link = np.zeros(len(found.value) + room, dtype=bool)
+    at = np.flatnonzero(found.follows[1:] & some[1:] & some[:-1]) + 1
+    link[at] = True if pairs is None else pairs.has(_then(found.value[at - 1], found.value[at]))
+    return link
+
+
+def _hashed_at(value: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the ``length`` words from each of the places ``start``."""
+    out = value[start]
+    for k in range(1, length):
+        out = _then(out, value[start + k])
+    return out
+
+
+def _pattern_counts(frequent, pairs):
+    """(pattern, n): pairs of words that may be frequent or, with ``pairs``, triples of pairs that may be, by their hash."""
 
     def run(batches):
-        known = frequent.value
+        known, linked, length = frequent.value, pairs and pairs.value, 3 if pairs else 2
         for batch in batches:
             for found, _, _ in _pieces(batch):
-                some = known.has(found.value)
-                at = np.flatnonzero(found.follows[1:] & some[1:] & some[:-1])
-                pair, n = np.unique(_then(found.value[at], found.value[at + 1]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
+                link = _links(found, known, linked, 1)
+                at = np.flatnonzero(link[1:-1] & link[2:] if pairs else link[1:-1])
+                pattern, n = np.unique(_hashed_at(found.value, at, length), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pattern.view(np.int64)), pa.array(n)], names=["pattern", "n"])
 
     return run
 
 
-def _pointers(frequent, pairs, most_words: int):
-    """(lang, phrase, n): from each place where a pair that may be frequent begins, the words up to the first other pair."""
+def _pointers(frequent, pairs, triples, most_words: int):
+    """(lang, phrase, n): from each place where a pair that may be frequent begins, the words up to the first triple that is not."""
 
     def run(batches):
-        known, linked = frequent.value, pairs.value
+        known, linked, going_on = frequent.value, pairs.value, triples.value
         for batch in batches:
             for found, code, names in _pieces(batch):
-                some = known.has(found.value)
-                link = np.zeros(len(found.value) + most_words, dtype=bool)  # whether a word goes on from the one before
-                at = np.flatnonzero(found.follows[1:] & some[1:] & some[:-1])
-                link[at + 1] = linked.has(_then(found.value[at], found.value[at + 1]))
+                link = _links(found, known, linked, most_words)
+                third = np.zeros(len(link), dtype=bool)  # whether a word ends a triple
+                at = np.flatnonzero(link[1:-1] & link[2:])
+                third[at + 2] = going_on.has(_hashed_at(found.value, at, 3))
                 start = np.flatnonzero(link[1:])
-                length, on, value = np.full(len(start), 1), np.ones(len(start), dtype=bool), found.value[start]
-                for k in range(1, most_words):
-                    on &= link[start + k]
+                length, on, value = np.full(len(start), 2), np.ones(len(start), dtype=bool), _hashed_at(found.value, start, 2)
+                for k in range(2, most_words):
+                    on &= third[start + k]
                     value[on] = _then(value[on], found.value[(start + k)[on]])
                     length += on
                 # the length is mixed in, so that a pointer is no shorter one's equal
@@ -248,20 +266,26 @@ def _dealt(pointers: DataFrame, least: int, most_words: int) -> tuple[DataFrame,
     out = pointers.withColumn("depth", F.lit(2))
     counted = pointers.sparkSession.createDataFrame([], "lang string, words array<string>, a long")
     for depth in range(2, most_words):
-        prefix = F.slice("words", 1, depth)
+        prefix = F.substring_index("phrase", " ", depth)
         sizes = out.where(F.col("depth") == depth).groupBy("lang", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("pointers"), F.sum("n").alias("a"))
         hot = settled(sizes.where(F.col("pointers") > SPLIT).select("lang", "prefix", "a"))
         many = hot.count()
         if many == 0:
             break
-        counted = counted.unionByName(hot.where(F.col("a") >= least).select("lang", F.col("prefix").alias("words"), "a"))
+        counted = counted.unionByName(hot.where(F.col("a") >= least).select("lang", F.split("prefix", " ").alias("words"), "a"))
         keys = hot.select(F.col("lang").alias("hot_lang"), F.col("prefix").alias("hot_prefix"))
         keys = F.broadcast(keys) if many <= MOST_IDS else keys
         met = out.join(keys, (F.col("depth") == depth) & (F.col("lang") == F.col("hot_lang")) & (prefix == F.col("hot_prefix")), "left")
-        out = met.where(F.col("hot_lang").isNull() | (F.size("words") > depth)).withColumn("depth", F.when(F.col("hot_lang").isNull(), F.col("depth")).otherwise(depth + 1)).drop("hot_lang", "hot_prefix")
+        out = met.where(F.col("hot_lang").isNull() | (F.col("phrase") != prefix)).withColumn("depth", F.when(F.col("hot_lang").isNull(), F.col("depth")).otherwise(depth + 1)).drop("hot_lang", "hot_prefix")
     return out, counted
 
 
+def _bitmap_of_patterns(texts: DataFrame, least: int, frequent, pairs):
+    patterns = texts.mapInArrow(_pattern_counts(frequent, pairs), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    patterns = settled(patterns.where(F.col("n") >= least).select("pattern"))
+    return texts.sparkSession.sparkContext.broadcast(bitmap(patterns, "pattern", patterns.count()))
+
+
 def frequent_patterns(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, words, a) of the frequent phrases of 2 words or more, (lang, word, n) of the frequent words, and (lang, n) of all words."""
     spark = docs.sparkSession
@@ -273,14 +297,12 @@ def frequent_patterns(docs: DataFrame, least: int = LEAST, most_words: int = MOS
 
     hashed = known.select("lang", "word").mapInArrow(_hashed, "value long")
     frequent = spark.sparkContext.broadcast(bitmap(hashed, "value", known.count()))
-    pairs = texts.mapInArrow(_pair_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = settled(pairs.where(F.col("n") >= least).select("pair"))
-    linked = spark.sparkContext.broadcast(bitmap(pairs, "pair", pairs.count()))
-
-    pointers = texts.mapInArrow(_pointers(frequent, linked, most_words), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    pointers = settled(pointers.withColumn("words", F.split("phrase", " ")))
-    dealt, counted = _dealt(pointers, least, most_words)
-    prefix = F.slice("words", 1, F.col("depth"))
+    pairs = _bitmap_of_patterns(texts, least, frequent, None)
+    triples = _bitmap_of_patterns(texts, least, frequent, pairs)
+
+    pointers = texts.mapInArrow(_pointers(frequent, pairs, triples, most_words), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    dealt, counted = _dealt(settled(pointers), least, most_words)
+    prefix = F.expr("substring_index(phrase, ' ', depth)")
     tasks = dealt.repartition("lang", prefix).sortWithinPartitions("lang", "depth", prefix).select("lang", "depth", "phrase", "n")
     found = tasks.mapInArrow(_grow(least), "lang string, words array<string>, a long").unionByName(counted)
     return settled(found), known, totals
@@ -312,7 +334,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     )
     cuts = cuts.join(counts.select("lang", F.col("words").alias("left_words"), F.col("a").alias("l")), ["lang", "left_words"])
     cuts = cuts.join(counts.select("lang", F.col("words").alias("right_words"), F.col("a").alias("r")), ["lang", "right_words"])
-    cuts = cuts.join(totals, "lang")
+    cuts = cuts.join(F.broadcast(totals) if totals.count() <= MOST_IDS else totals, "lang")
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     cuts = cuts.withColumn("thousand", F.lit(1000) * F.col("a")).withColumns({"top": wide("thousand") * wide("n"), "below": wide("l") * wide("r")})
     best = cuts.groupBy("lang", "words").agg(F.min(F.struct(F.expr("`top` DIV below").alias("score"), "k", "a", "l", "r", "n")).alias("b"))
