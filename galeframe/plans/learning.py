@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from galeframe.functions import scalar as fx
+from galeframe.operators import exact_dual
 from galeframe.operators import learning as ln
 from galeframe.operators import regressors as rg
 from galeframe.operators import stats as st
@@ -147,6 +148,25 @@ def kernel_quantiles(spark, sf_dir):
     return out.select("vec_id", F.least("low", "high").alias("lower"), F.greatest("low", "high").alias("upper"))
 
 
+@query("T6_exact_dual")
+def exact_dual_fits(spark, sf_dir):
+    """Fits on the whole kernel, each domain with half of the cost; one row a quantile."""
+    rows = _vectors(spark, sf_dir)
+    sizes = rows.groupBy("is_target").agg((F.lit(0.5) / F.count(F.lit(1))).alias("cost"))
+    fits, state = exact_dual.fit_exact(rows.join(F.broadcast(sizes), "is_target"), [0.1, 0.5, 0.9], "vec_id", "x", "y", gamma=0.05, penalty=0.1, cost="cost")
+    n, *support = state.agg(F.count_if(F.col("cost") > 0), *(F.count_if(F.col("beta")[k] != 0) for k in range(3))).first()
+    told = [(f.tau, n, s, f.primal, f.dual, f.steps, f.converged) for f, s in zip(fits, support, strict=True)]
+    return spark.createDataFrame(told, "tau double, n long, support long, primal double, dual double, steps int, converged boolean")
+
+
+@query("T18_exact_kernel_quantiles")
+def exact_kernel_quantiles(spark, sf_dir):
+    """Lower and upper quantile of every row by fits on the whole kernel, endpoints in order."""
+    fits, state = exact_dual.fit_exact(_vectors(spark, sf_dir), [0.05, 0.95], "vec_id", "x", "y", gamma=0.05, penalty=0.1)
+    rows = exact_dual.predictions(state, fits, ["low", "high"])
+    return rows.select(F.col("key").alias("vec_id"), F.least("low", "high").alias("lower"), F.greatest("low", "high").alias("upper"))
+
+
 @query("T21_stacking")
 def stacking(spark, sf_dir):
     """A ridge over the predictions of a forest, boosted trees and a ridge, fitted on rows that those did not see."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,13 +15,8 @@ from galeframe.sources.schema import FORECASTS_SQL, SERIES_SQL, forecasts, site_
 
 
 def shared(spark) -> str:
-    """A new folder in the one that the cluster shares; a temporary one on a local master."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-    return f"{named}/{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster shares."""
+    return f"{so.shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("S6_cached_site", f"WITH {SERIES_SQL} SELECT site, count(*) AS n, round(sum(power), 4) AS total FROM series GROUP BY site")
