@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from galeframe.operators.quantiles import exact_percentiles
 
@@ -213,7 +214,7 @@ def _total(rows: DataFrame, measure, size: int) -> np.ndarray:
 
 def fit_jobs(
     df: DataFrame, jobs: DataFrame, vector: str, target: str, penalty: float = 1.0, most: int = 200, relative: float = 1e-4, absolute: float = 1e-7,
-    cost: str | None = None, terms: dict[str, tuple[np.ndarray, np.ndarray]] | None = None,
+    cost: str | None = None, terms: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, resume: DataFrame | None = None,
 ) -> DataFrame:
     """A pinball fit for every row of ``jobs`` (job, tau, seed), each on all rows whose vector and target are known.
 
@@ -224,16 +225,33 @@ def fit_jobs(
     Newton steps, ``delta`` falling until the gap of the unsmoothed primal and
     dual closes. Tasks send sums of the model's size only, and the driver solves
     systems of that size. All rows train, so fits do not depend on the seed.
+
+    A fit's row is also the state of its solver. Jobs that stand in ``resume``, a
+    table of such rows, go on from there: ``most`` caps the steps of all runs
+    together, and best primal, dual and steps are carried on. A job whose
+    certificate is closed is told as it was.
     """
     rows = df.select(F.col(vector).cast("array<double>").alias("z"), F.col(target).cast("double").alias("y"), (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost")).where("z IS NOT NULL AND y IS NOT NULL AND cost > 0").persist(StorageLevel.DISK_ONLY)
     try:
-        found = _fit_all(rows, jobs.select("job", "tau", "seed").collect(), penalty, most, relative, absolute, cost is None, terms or {})  # one row a fit
+        found = _fit_all(rows, jobs.select("job", "tau", "seed").collect(), penalty, most, relative, absolute, cost is None, terms or {}, _states(resume))  # one row a fit
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame(found, "job string, tau double, seed int, n long, primal double, dual double, iterations long, converged boolean, intercept double, weights array<double>")
+    return df.sparkSession.createDataFrame(found, FIT)
+
+
+#: A certified fit, and where its solver stands: the smoothing and the point of the last step.
+FIT = "job string, tau double, seed int, n long, primal double, dual double, iterations long, converged boolean, intercept double, weights array<double>, delta double, point array<double>"
+
+
+def _states(resume: DataFrame | None) -> dict:
+    """The state of each job, of several the one with most steps."""
+    if resume is None:
+        return {}
+    last = Window.partitionBy("job").orderBy(F.desc("iterations"), "primal")
+    return {r["job"]: r for r in resume.withColumn("__k", F.row_number().over(last)).where("__k = 1").collect()}
 
 
-def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: float, absolute: float, mean: bool, terms: dict) -> list[tuple]:
+def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: float, absolute: float, mean: bool, terms: dict, states: dict) -> list[tuple]:
     n, least, width, spread, mass = rows.agg(F.count(F.lit(1)), F.min(F.size("z")), F.max(F.size("z")), F.stddev_pop("y"), F.sum("cost")).first()
     if not n or not jobs:
         return []
@@ -251,8 +269,15 @@ def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: f
     delta = np.full(len(jobs), max(float(spread), 1e-6))
     best, dual, done = [(np.inf, p) for p in at], np.full(len(jobs), -np.inf), np.zeros(len(jobs), dtype=np.int64)
     sums = _total(rows, lambda x, y, cost: np.append(cost @ x, [cost @ y, cost @ (x * x).sum(axis=1)]), d + 2) * share_of_row
-    live = list(range(len(jobs)))
-    for step in range(1, most + 1):
+    for k, j in enumerate(jobs):
+        state = states.get(j["job"])
+        if state is not None:
+            if len(state["point"]) != d or state["tau"] != tau[k]:
+                raise ValueError(f"the state of {j['job']} is of another fit")
+            at[k], delta[k], dual[k], done[k] = np.array(state["point"]), state["delta"], state["dual"], state["iterations"]
+            best[k] = (state["primal"], np.append(state["weights"], state["intercept"]))
+    live = [k for k in range(len(jobs)) if done[k] < most and not _closed(best[k][0], dual[k], relative, absolute)]
+    while live:
         # slopes, curvature and the dual at each point
         points = [(k, at[k], delta[k], tau[k]) for k in live]
 
@@ -300,18 +325,16 @@ def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: f
             at[k] = trials[k][smooth.argmin()]
             if smooth[0] - smooth.min() <= 0.01 * delta[k] * mass:  # smoothing costs at most half of delta
                 delta[k] = max(delta[k] / 4, 0.25 * (absolute + relative * max(1.0, abs(best[k][0]))) / mass)
-            done[k] = step
-        live = [k for k in live if not _closed(best[k][0], dual[k], relative, absolute)]
-        if not live:
-            break
+            done[k] += 1
+        live = [k for k in live if done[k] < most and not _closed(best[k][0], dual[k], relative, absolute)]
     return [
-        (j["job"], float(j["tau"]), j["seed"], n, best[k][0], float(dual[k]), int(done[k]), bool(_closed(best[k][0], dual[k], relative, absolute)), float(best[k][1][-1]), best[k][1][:width].tolist())
+        (j["job"], float(j["tau"]), j["seed"], n, best[k][0], float(dual[k]), int(done[k]), _closed(best[k][0], dual[k], relative, absolute), float(best[k][1][-1]), best[k][1][:width].tolist(), float(delta[k]), at[k].tolist())
         for k, j in enumerate(jobs)
     ]
 
 
 def _closed(primal: float, dual: float, relative: float, absolute: float) -> bool:
-    return primal - dual <= absolute + relative * max(1.0, abs(primal), abs(dual))
+    return bool(np.isfinite(primal) and np.isfinite(dual) and primal - dual <= absolute + relative * max(1.0, abs(primal), abs(dual)))
 
 
 def predict_linear(df: DataFrame, vector: str, weights: np.ndarray, intercept: float, name: str = "prediction") -> DataFrame:

@@ -230,7 +230,14 @@ def fitted(name: str, df: DataFrame, vector: str, target: str, **params):
         model = boosted_quantile(df, vector, target, tau, rounds, depth)
         return lambda rows: model.predict(rows, vector)
 
-    makers = {f.__name__: f for f in (ridge, elm, bounded, forest, broad_forest, boosted, quantile_boosted)}
+    def pinball(tau=0.5, penalty=1.0, steps=200):
+        jobs = df.sparkSession.createDataFrame([("fit", tau, 0)], "job string, tau double, seed int")
+        fit = ln.fit_jobs(df, jobs, vector, target, penalty=penalty, most=steps).first()
+        predict = lambda rows: ln.predict_linear(rows, vector, np.array(fit["weights"]), fit["intercept"])
+        predict.certified = fit["converged"]
+        return predict
+
+    makers = {f.__name__: f for f in (pinball, ridge, elm, bounded, forest, broad_forest, boosted, quantile_boosted)}
     if name not in makers:
         raise ValueError(f"no model {name}; there are {', '.join(makers)}")
     return makers[name](**params)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from galeframe.operators import learning as ln
-from galeframe.operators import studies
+from galeframe.operators import selection, studies
 from galeframe.plans.learning import _vectors
 from galeframe.plans.registry import query, r
+from galeframe.sources import storage as so
 from galeframe.sources.schema import FORECASTS_SQL, forecasts
 
 POINTS = 18
@@ -109,10 +112,74 @@ def sensitivity_jobs(spark, sf_dir):
 
 @query("T26_extended_fits")
 def extended_fits(spark, sf_dir):
-    """Fits whose certificate is open after few steps are run again with more, at the same tolerance; both records stay."""
-    features = ln.nystroem_features(_vectors(spark, sf_dir), "x", ln.landmarks(_vectors(spark, sf_dir), "x", 8, seed=1, runs=1), 0.05)
+    """Fits whose certificate is open after few steps go on from their stored state, at the same tolerance; the first records stay as they were."""
+    rows = _vectors(spark, sf_dir)
+    features = ln.nystroem_features(rows, "x", ln.landmarks(rows, "x", 8, seed=1, runs=1), 0.05)
     jobs = spark.createDataFrame([(f"tau{t}", t, 0) for t in (0.1, 0.5, 0.9)], "job string, tau double, seed int")
-    first = ln.fit_jobs(features, jobs, "z", "y", penalty=0.1, most=3)
-    again = ln.fit_jobs(features, jobs.join(first.where("NOT converged").select("job"), "job", "left_semi"), "z", "y", penalty=0.1)
-    columns = ["job", "primal", "dual", "iterations", "converged"]
-    return first.select(F.lit(0).alias("attempt"), *columns).unionByName(again.select(F.lit(1).alias("attempt"), *columns))
+    archive = so.shared_dir(spark) + f"/certificates-{uuid.uuid4().hex}"
+    columns = ["attempt", "job", "primal", "dual", "iterations", "converged"]
+    ln.fit_jobs(features, jobs, "z", "y", penalty=0.1, most=3).withColumn("attempt", F.lit(0)).write.parquet(archive)
+    open_ones = spark.read.parquet(archive).where("NOT converged").drop("attempt")
+    again = ln.fit_jobs(features, open_ones.select("job", "tau", "seed"), "z", "y", penalty=0.1, resume=open_ones)
+    return spark.read.parquet(archive).select(columns).unionByName(again.withColumn("attempt", F.lit(1)).select(columns))
+
+
+_SPLIT_SQL = "CASE WHEN seed <= 3 THEN 'validation' WHEN seed <= 5 THEN 'calibration' ELSE 'test' END"
+
+
+@query(
+    "T25_held_out_scores",
+    f"""WITH {FORECASTS_SQL}, v AS (SELECT task, method, round(sqrt(avg((y - prediction) * (y - prediction))), 9) AS score FROM forecasts WHERE seed <= 3 GROUP BY task, method),
+        chosen AS (SELECT task, method FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score, method) AS k FROM v) WHERE k = 1)
+        SELECT task, method, true AS refused_before, count(*) AS n, round(sqrt(avg((y - prediction) * (y - prediction))), 6) AS rmse FROM forecasts JOIN chosen USING (task, method) WHERE seed > 5 GROUP BY task, method""",
+)
+def held_out_scores(spark, sf_dir):
+    """The reader refuses test rows until every task's selection is locked; then the selected methods are scored on them."""
+    rows = forecasts(spark, sf_dir).withColumn("split", F.expr(_SPLIT_SQL))
+    path = f"{so.shared_dir(spark)}/lock-{uuid.uuid4().hex}"
+    reader = selection.HeldOutReader(rows, rows.select("task").distinct(), ["task"], path)
+    try:
+        reader.read("test")
+        refused = False
+    except PermissionError:
+        refused = True
+    error = lambda: F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))
+    scores = reader.read("validation").groupBy("task", "method").agg(F.round(error(), 9).alias("score"))
+    chosen = selection.metrics.arg_best(scores, ["task"], [F.col("score"), F.col("method")], ["method", "score"]).select("task", "method", "score")
+    locked = selection.write_lock(chosen, reader.expected, ["task"], path)
+    tested = reader.read("test", chosen).join(locked.select("task", "method"), ["task", "method"])
+    return tested.groupBy("task", "method").agg(F.lit(refused).alias("refused_before"), F.count(F.lit(1)).alias("n"), F.round(error(), 6).alias("rmse"))
+
+
+NINE = [k / 10 for k in range(1, 10)]
+#: Settings of a quantile model: name, penalty, weights of the source's variance and of the distance of the domains' means.
+CANDIDATES = [("plain", 0.1, 0.0, 0.0), ("strict", 10.0, 0.0, 0.0), ("adapted", 0.1, 0.05, 0.5)]
+
+
+def _studied(spark, sf_dir):
+    """Vectors with their split by a hash: half train, a quarter each validation and test."""
+    part = F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(4))
+    return _vectors(spark, sf_dir).withColumn("split", F.when(part < 2, "train").when(part == 2, "validation").otherwise("test"))
+
+
+@query("T33_nine_quantiles")
+def nine_quantiles(spark, sf_dir):
+    """Nine quantiles of three settings fitted together, selected by mean pinball on the validation quarter, locked, then tested."""
+    rows = _studied(spark, sf_dir)
+    centres = ln.landmarks(rows.where("split = 'train'"), "x", 8, seed=1, runs=1)
+    features = ln.nystroem_features(rows, "x", centres, 0.05)
+    expected = spark.createDataFrame([("nine_quantiles",)], "study string")
+    folder = f"{so.shared_dir(spark)}/quantiles-{uuid.uuid4().hex}"
+    reader = selection.HeldOutReader(features, expected, ["study"], f"{folder}/lock")
+    return selection.tune_quantiles(reader, "nine_quantiles", "vec_id", "z", "y", "is_target", CANDIDATES, NINE, folder)
+
+
+SPACE = {"ridge": {"penalty": [0.1, 1.0, 10.0]}, "elm": {"hidden": [16, 32], "penalty": [1.0, 10.0]}, "forest": {"depth": [3, 4], "trees": [4, 8]}, "pinball": {"penalty": [0.01, 0.1], "steps": [1, 60]}}
+
+
+@query("T24_model_search")
+def model_search(spark, sf_dir):
+    """Random trials over several models in waves on growing shares of the training rows; fits without a certificate are out."""
+    rows = _studied(spark, sf_dir)
+    told, _ = selection.search_models(rows.where("split = 'train'"), rows.where("split = 'validation'"), "vec_id", "x", "y", selection.random_trials(SPACE, 6, seed=3), [0, 1])
+    return told
