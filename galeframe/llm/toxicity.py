@@ -28,10 +28,15 @@ FIT_BYTES = 20_000
 
 BUCKETS = 1 << 17
 WIDTH = 8
-WINDOW = 6
+WINDOW = 2
 NGRAMS = (2, 3, 4, 5)
-EPOCHS = 30
+#: Training ends when the mean loss of ``PATIENCE`` steps is no longer ``FALLING`` of what it was that many steps before, or is below ``LEAST_LOSS``, and after ``MOST_STEPS`` at the latest.
+PATIENCE, FALLING, LEAST_LOSS, MOST_STEPS = 400, 0.9, 0.01, 6000
 BATCH = 64
+#: Models of different seeds that are averaged: scores are linear, so the average is one model.
+MODELS = 3
+#: Bytes of prepared batches that training keeps; others are put together again in every pass.
+KEPT_BYTES = 96 << 20
 RATE = 0.4
 SEED = 7
 THRESHOLD = 0.7
@@ -136,17 +141,57 @@ def _prepared(texts: list[str]) -> _Prepared:
     return _Prepared(of_texts, np.cumsum(np.concatenate(parts)), np.concatenate(buckets))
 
 
+def _settled(losses: list[float]) -> bool:
+    """Whether the loss has stopped falling; looked at between passes."""
+    if len(losses) < 2 * PATIENCE:
+        return False
+    last = float(np.mean(losses[-PATIENCE:]))
+    return len(losses) >= MOST_STEPS or last < LEAST_LOSS or last > FALLING * float(np.mean(losses[-2 * PATIENCE : -PATIENCE]))
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     """Trains embeddings and softmax together, in numpy, by Adagrad.
 
     The first pass averages whole documents, so that words find their sides; the
-    others average the window that scores highest. Without texts of both labels
-    the score is the share of label 1.
+    others average the window that scores highest (the first of equal ones), until
+    the loss has stopped falling. Rows that repeat are learned as often as they
+    stand there. ``MODELS`` such models are averaged, since one alone may place a
+    misspelling badly. Without texts of both labels the score is the share of label 1.
     """
     labels = np.asarray(labels, dtype=np.float64)
     if len(labels) == 0 or labels.min() == labels.max():
         share = labels.mean() if len(labels) else 0.5
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    order = np.random.default_rng(seed).permutation(len(texts))
+    batches = _Batches(_prepared(texts), labels, [order[at : at + BATCH] for at in range(0, len(order), BATCH)])
+    models = [_fit_one(batches, seed + k) for k in range(MODELS)]
+    return Model(np.mean([m.weight for m in models], axis=0, dtype=np.float32), float(np.mean([m.bias for m in models])))
+
+
+class _Batches:
+    """Prepared batches with their labels, kept up to ``KEPT_BYTES``."""
+
+    def __init__(self, prepared: _Prepared, labels: np.ndarray, rows: list[np.ndarray]):
+        self.prepared, self.labels, self.rows = prepared, labels, rows
+        self.kept: dict[int, tuple] = {}
+        self.room = KEPT_BYTES
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, number: int):
+        made = self.kept.get(number)
+        if made is None:
+            made = self.prepared.batch(self.rows[number])
+            made = (made[0], *(a.astype(np.int32) for a in made[1:]))
+            size = sum(a.nbytes for a in made)
+            if size <= self.room:
+                self.room -= size
+                self.kept[number] = made
+        return made, self.labels[self.rows[number]]
+
+
+def _fit_one(batches: _Batches, seed: int) -> Model:
     random = np.random.default_rng(seed)
     vectors = (random.standard_normal((BUCKETS, WIDTH)) * 0.05).astype(np.float32)
     softmax = (random.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
@@ -154,14 +199,14 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     vectors_seen = np.full(BUCKETS, 1e-3, dtype=np.float32)
     softmax_seen = np.full((WIDTH, 2), 1e-3, dtype=np.float32)
     bias_seen = np.full(2, 1e-3)
-    order = random.permutation(len(texts))
-    prepared = _prepared(texts)
-    batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
-    for epoch in range(EPOCHS):
+    losses: list[float] = []
+    epoch = -1
+    while not _settled(losses):
+        epoch += 1
         for number in random.permutation(len(batches)):
-            first, back, word, bucket, parts = prepared.batch(batches[number])
-            target = labels[batches[number]]
+            (first, back, word, bucket, parts), target = batches[number]
             if len(back) == 0:
+                losses.append(0.0)
                 continue
             n = np.diff(first)
             side = softmax[:, 1] - softmax[:, 0]
@@ -173,6 +218,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
                 logit, begin, end = window_logits(scalars[back], first)
             probability = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -30, 30)))
             error = (probability - target) / len(target)
+            losses.append(float(-np.log(np.maximum(np.where(target == 1, probability, 1 - probability), 1e-12)).mean()))
             # each document's error goes to the words of its window, and from each word to its subwords
             step = np.zeros(len(back) + 1)
             share = np.where(end > begin, error / np.maximum(end - begin, 1), 0)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from galeframe.llm import attention_lm, lm_scoring, toxicity, words
 
@@ -160,3 +161,27 @@ def test_context_tells_rare_ids_apart():
         return model.log10(context, np.full(context.shape, target), last)[0]
 
     assert log10(101, 301) - log10(101, 302) > log10(102, 301) - log10(102, 302) + 0.5
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.01", 0.4), ("sf0.1", 0.7)])
+def test_toxic_documents_of_the_given_tables_are_found(spark, size, least):
+    """About an eighth of the toxic labels stand on texts without any word that other toxic texts share; they cannot be found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{name}.parquet") for name in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect()
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    right = [r.toxic for r in rows if r.predicted == 1]
+    assert np.mean(caught) >= least and np.mean(right) >= 0.95
+    assert np.mean([r.predicted for r in rows if r.toxic == 1 and r.lang == "en"]) >= 0.55
+    if size == "sf0.1":
+        assert np.mean([r.predicted for r in rows if r.toxic == 1 and r.lang in ("de", "fr")]) >= 0.45
+
+
+def test_repeated_null_and_very_long_texts_in_toxicity(spark, make, prose):
+    rows = [(k, *insulted(k, prose)) for k in range(200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(make([(i, t) for i, t, _ in rows]), labels)
+    long_text = prose(900, 60_000)
+    docs = make([(1, long_text), (1, long_text), (2, long_text + " idiot moron"), (3, None), (3, None)])
+    found = sorted((r.doc_id, r.score, r.predicted) for r in toxicity.score(docs, model).collect())
+    assert len(found) == 5 and found[0] == found[1] and found[3] == found[4]
+    assert found[2][2] == 1 and found[2][1] > found[0][1]
