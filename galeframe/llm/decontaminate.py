@@ -21,7 +21,7 @@ from .common import settled, without_keys
 WINDOW = 8
 #: Consecutive windows that make a leak: 13 words. A shorter item needs all of its windows.
 NEEDED = 6
-#: Literal words that a window must have; placeholders alone say nothing.
+#: Literal words that a window must have to be joined by its template; with fewer it is joined by its values.
 LITERALS = 4
 #: The benchmark's windows are broadcast up to so many, and so many bytes of slots, and shuffled beyond.
 BROADCAST_WINDOWS = 200_000
@@ -75,23 +75,27 @@ def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
     words = words.select("id", "row", "slotted", literal.alias("literal"), F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
     parts = []
     for length in lengths:
-        windows = F.expr(
-            f"""CASE WHEN size(template) >= {length} AND template[0] <> '' THEN concat(transform(sequence(1, size(template) - {length - 1}), at -> named_struct(
+        # with more slots than this a window is joined by its values
+        most = length - min(length, LITERALS)
+        slots = f"filter(slice(surface, at, {length}), w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}')"
+        values = f"filter(slice(surface, at, {length}), w -> substr(w, 1, 1) IN ('{NUMBER}', '{UNIT}'))"
+        plain = f"transform(slice(surface, at, {length}), w -> ltrim('{NAME}', w))"
+        parts.append(
+            f"""CASE WHEN size(template) >= {length} THEN concat(transform(sequence(1, size(template) - {length - 1}), at -> named_struct(
+                'length', {length},
                 'place', at,
                 'literal', false,
-                'key', xxhash64(slice(template, at, {length}), {length}),
-                'slots', CASE WHEN slotted THEN filter(slice(surface, at, {length}), w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}') END)),
+                'key', CASE WHEN slotted AND size({slots}) > {most} THEN xxhash64(slice(surface, at, {length}), {length}, 'values') ELSE xxhash64(slice(template, at, {length}), {length}) END,
+                'slots', CASE WHEN slotted THEN {slots} END)),
                 CASE WHEN literal IS NOT NULL THEN transform(filter(sequence(1, size(template) - {length - 1}), at -> array_contains(slice(template, at, {length}), '{NAME}')), at -> named_struct(
+                'length', {length},
                 'place', at,
                 'literal', true,
-                'key', xxhash64(slice(literal, at, {length}), {length}),
-                'slots', filter(slice(surface, at, {length}), w -> substr(w, 1, 1) IN ('{NUMBER}', '{UNIT}')))) ELSE array() END) END"""
+                'key', CASE WHEN size({values}) > {most} THEN xxhash64({plain}, {length}, 'values') ELSE xxhash64(slice(literal, at, {length}), {length}) END,
+                'slots', {values})) ELSE array() END) ELSE array() END"""
         )
-        parts.append(words.select("id", "row", F.explode(windows).alias("w")).select("id", "row", F.lit(length).alias("length"), "w.place", "w.literal", "w.key", "w.slots"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    windows = F.expr(f"CASE WHEN template[0] <> '' THEN {parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'} END")
+    return words.select("id", "row", F.explode(windows).alias("w")).select("id", "row", "w.length", "w.place", "w.literal", "w.key", "w.slots")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
@@ -111,9 +115,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need
         return docs.select("doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"))
     own_length = items.select(F.col("item_id").alias("id"), F.least(n_words, F.lit(window)).alias("own"))
     of_items = _windows(items, "item_id", sorted(lengths)).join(own_length.distinct(), "id").where("length = own")
-    of_items = of_items.where(F.col("length") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.col("length"), F.lit(LITERALS)))
     of_items = settled(of_items.select(F.col("id").alias("item_id"), F.col("literal").alias("item_literal"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
-    # windows of an item that say enough, in order; a run is of neighbours in it
+    # the windows of an item in order; a run is of neighbours
     of_items = settled(of_items.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id").orderBy("item_place"))))
     needs = of_items.groupBy("item_id").agg(F.least(F.max("rank"), F.lit(needed)).alias("need"))
     size = of_items.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("item_slots", "")))).first()

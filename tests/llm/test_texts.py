@@ -212,6 +212,23 @@ def test_copies_whose_names_are_not_marked_are_found(spark, make, prose):
     assert decontaminate.label_leaks(make([(1, text)]), spark.createDataFrame([(1, text.lower())], "item_id long, text string")).first().contaminated
 
 
+def test_items_of_numbers_are_found_by_their_values(spark, make, prose):
+    texts = ["Compute 12 + 45 - 7 * 3 / 2 + 100 - 55 * 2 and 8", "12 kg 14 kg 9 lb 7 oz 3 kg 2 lb 1 oz 5 kg"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    other = [t.replace("12", "13").replace("45", "46").replace("7", "6").replace("100", "300").replace("9", "4").replace("3 ", "5 ") for t in texts]
+    rows = [(k, f"{prose(k, 20)} {t} {prose(k + 9, 20)}") for k, t in enumerate([*texts, *other])] + [(9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(rows), items).collect()}
+    assert found == {(0, 0), (1, 1)}
+
+
+def test_a_run_does_not_jump_over_places_that_differ(spark, make):
+    item = "alpha beta gamma delta epsilon zeta eta theta 1 2 3 4 5 6 iota kappa lambda my ny xi omikron pi"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = item.replace(" 1 2 3 4 5 6 ", " 9 8 7 6 5 4 ").replace("zeta", "word").replace("kappa", "text")
+    assert decontaminate.find_leaks(make([(1, changed)]), items).count() == 0
+    assert decontaminate.find_leaks(make([(1, item)]), items).count() == 1
+
+
 def runs_by_hand(doc, item, window=decontaminate.WINDOW, needed=decontaminate.NEEDED):
     """Whether a document's words (with marks) hold a run of the item's: every alignment, every run, one after another."""
     def word(w):
@@ -221,14 +238,20 @@ def runs_by_hand(doc, item, window=decontaminate.WINDOW, needed=decontaminate.NE
         return w[1:] if w[0] == decontaminate.NAME else word(w)
 
     def pairs(d, i):
+        """The values that stand for each other if the windows meet: by their templates, or with names as words, and by their values too if there are hardly any words."""
         both = [(b, a) for a, b in zip(d, i, strict=True) if a != word(a) and b != word(b)]
+        enough = min(len(i), 4)
         if [plain(w) for w in d] == [plain(w) for w in i]:
-            return [(b, a) for b, a in both if b[0] != decontaminate.NAME and a[0] != decontaminate.NAME]
-        return both if [word(w) for w in d] == [word(w) for w in i] else None
+            words = sum(w == plain(w) or w[0] == decontaminate.NAME for w in i)
+            values = [[w.lstrip(decontaminate.NAME) for w in side] for side in (d, i)]
+            if words >= enough or values[0] == values[1]:
+                return [(b, a) for b, a in both if b[0] != decontaminate.NAME and a[0] != decontaminate.NAME]
+        if [word(w) for w in d] == [word(w) for w in i] and (sum(w == word(w) for w in i) >= enough or d == i):
+            return both
+        return None
 
     length = min(len(item), window)
-    say = [p for p in range(len(item) - length + 1) if sum(plain(w) == w or w[0] == decontaminate.NAME for w in item[p : p + length]) >= min(length, decontaminate.LITERALS)]
-    say = [p for p in say if sum(word(w) == w for w in item[p : p + length]) >= min(length, decontaminate.LITERALS) or any(w[0] == decontaminate.NAME for w in item[p : p + length])]
+    say = list(range(len(item) - length + 1))
     need = min(len(say), needed)
     for shift in range(-len(item), len(doc)):
         for first in range(len(say) - need + 1):
