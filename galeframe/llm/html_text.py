@@ -5,7 +5,10 @@ count and link density, those of the blocks before and after it, and by where
 it stands: in an article or beside one, in an element made for something else
 (menus, forms), in a heading, in a container whose class names page furniture.
 A decision tree, grown in numpy on the labelled pages below, keeps or drops
-each block. Names of containers around an article say nothing about it unless
+each block. A name counts only if a whole class, id or role says nothing else
+("share-bar", not "share-knowledge-story"), and only on a page, or in an article,
+that has other text: where nearly all words stand in named containers the names
+are no hint. Names of containers around an article say nothing about it unless
 the page has another article without them.
 """
 
@@ -42,6 +45,10 @@ NAMES = frozenset(
     " dialog discussion disqus footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices pagination pager paywall popup promo promotion"
     " recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar toc warning widget".split()
 )
+# Words that may stand beside them in such a name.
+BESIDE = frozenset("area bar block box buttons container global group icons inner items links list media outer page panel posts section site wrapper".split())
+#: Names are a hint if at least this share of the words that could be main text is not named.
+UNNAMED = 0.2
 PLACES = frozenset(["article", "main"])
 
 _ATTRIBUTES = re.compile(r"""(class|id|role|style|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|$)""", re.I)
@@ -62,6 +69,11 @@ class Block:
     heading: bool
 
 
+def _says_furniture(name: str) -> bool:
+    parts = set(_NAME.findall(name))
+    return not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE or p.isdigit() for p in parts)
+
+
 @dataclass
 class Place:
     """An open element and what it says about the text inside."""
@@ -80,8 +92,8 @@ class Place:
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
                 tagged = True
-            elif key in ("class", "id", "role"):  # of an article only whole names count
-                named = named or not NAMES.isdisjoint(value.split() if article else _NAME.findall(value))
+            elif key in ("class", "id", "role"):
+                named = named or any(_says_furniture(name) for name in value.split())
         if article:
             return Place(name, True, tagged, False, self.around or self.named or named)
         return Place(name, self.in_article, tagged, self.named or named, self.around)
@@ -207,11 +219,14 @@ def block_features(blocks: list[Block]) -> np.ndarray:
 
     in_article is 1 in an article, 0 on a page without any, -1 beside one. An
     article in a container named as furniture counts if the page has no other.
+    named is 0 where the names are no hint.
     """
     plain = any(b.in_article and not b.around for b in blocks)
     articles = [b.in_article and not (plain and b.around) for b in blocks]
     some = any(articles)
-    own = np.array([(a - (some and not a), b.tagged, b.named, b.heading, b.n_words, b.link_words / b.n_words) for a, b in zip(articles, blocks, strict=True)], dtype=float).reshape(-1, 6)
+    text = [(b.n_words - b.link_words, b.named) for a, b in zip(articles, blocks, strict=True) if a == some and not b.tagged]
+    telling = sum(n for n, named in text if not named) >= UNNAMED * sum(n for n, _ in text)
+    own = np.array([(a - (some and not a), b.tagged, b.named and (telling or a != some), b.heading, b.n_words, b.link_words / b.n_words) for a, b in zip(articles, blocks, strict=True)], dtype=float).reshape(-1, 6)
     around = np.vstack([np.zeros((1, 2)), own[:, 4:], np.zeros((1, 2))])
     return np.hstack([own[:, :4], around[:-2], own[:, 4:], around[2:]])
 
@@ -251,6 +266,13 @@ LABELLED = (
     "<nav><a>x2</a></nav><article><h1>X9</h1><p>X150</p><p>X1</p><p>X130</p><p>X12</p><p>X2</p><p>X210</p><p>X190</p></article><footer>x9</footer>",
     "<nav><a>x2</a></nav><div class=ad>x11</div><article><h1>X9</h1><p>X9</p><p>X1</p><p>X240</p><p>X3</p></article><footer>x9</footer>",
     "<article><h1>X2</h1><p>X300</p><p>X1 <a>X9</a></p><p>X60</p></article><div>x60</div><div><a>x8</a></div>",
+    "<nav><a>x2</a></nav><article><div class=share><p>X60</p><p>X40</p></div></article><footer>x5</footer>",
+    "<div><a>x2</a></div><section id=search><h2>X4</h2><p>X70</p><p>X50 <a>X3</a></p></section><div>x4</div>",
+    "<nav><a>x3</a></nav><div class=social><h1>X5</h1><p>X80</p><p>X45</p></div><footer>x7</footer>",
+    "<article><h1>X5</h1><div class=notice><p>x12</p></div><p>X90</p><p>X33</p><div class=promo-box>x18 <a>x2</a></div></article>",
+    "<main><h1>X6</h1><p>X70</p><aside><p>x30</p></aside><p>X40</p><form><label>x3</label></form><p>X55</p></main><div>x20</div><footer>x8</footer>",
+    "<article><h1>X6</h1><p>X50</p><div class=related><h3>x2</h3><a>x5</a> <a>x6</a></div><p>X40</p><div class=subscribe><p>x25</p></div><p>X22</p></article>",
+    "<article><h1>X6</h1><p>X80</p><p>X64</p></article><section class=comment-list><article><p>x35</p></article><article><p>x60</p></article></section><footer>x4</footer>",
 )
 
 
@@ -311,8 +333,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
     Null or empty html gives an empty text; broken markup is read as far as it
-    goes and never fails; a very long page is cut and classified whole; equal pages have equal texts; repeated rows and null
-    ids stay as they are; other columns are not read.
+    goes and never fails; a very long page is cut and classified whole; equal
+    pages have equal texts; repeated rows and null ids stay as they are; other
+    columns are not read. A leaf of the tree that is tied drops its blocks.
     """
     tree = trained_tree()
     small_batches(pages.sparkSession)

@@ -177,6 +177,42 @@ def test_other_tokenizers_encode_whole_texts(make):
     assert token_counts.count(make([(1, "a")]).limit(0)).count() == 0
 
 
+LONG = "the quick brown fox jumps over the lazy dog and runs away from here " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><div class='share-knowledge-story'><p>{0}</p><p>{0}</p></div></article>",
+        "<section id='search-engines'><h2>{0}</h2><p>{0}</p></section>",
+        "<div class='social-science'><h1>{0}</h1><p>{0}</p></div>",
+        "<article><div class='share'><p>{0}</p><p>{0}</p></div></article>",
+        "<body class='widget'><p>{0}</p><p>{0}</p></body>",
+    ],
+)
+def test_names_alone_drop_no_text(page):
+    assert html_text.main_text(page.format(LONG.strip())) == "\n".join([LONG.strip()] * 2)
+
+
+def test_blocks_of_pages_unlike_the_labelled_ones():
+    """Kept blocks are marked K, dropped ones D."""
+    words = lambda mark, n: " ".join([mark] * n)
+    pages = [
+        "<header id=top><ul class='menu-items'><li><a>D2</a></li><li><a>D1</a></li></ul></header><main role=main><section class='notice-of-intent'><h2>K6</h2><p>K55</p><p>K31 <em>K4</em></p></section><section class='comment-list'><p>D45</p><p>D38</p></section></main>",
+        "<div id=page-wrapper><div class='nav-bar'><a>D1</a> <a>D1</a> <a>D2</a></div><div class=story><h1>K9</h1><div>K44</div><div>K70 <a>K5</a></div><blockquote>K25</blockquote></div><div class='related-posts'><a>D6</a><br><a>D7</a></div><div class=copyright>D9</div></div>",
+        "<article><header><h1>K7</h1></header><section><p>K62</p><ul><li>K14</li><li>K18</li></ul></section><section class='newsletter-signup'><p>D24</p><form><input>D3</form></section><p>K48</p></article><aside><h3>D3</h3><p>D30</p></aside>",
+        "<table class=layout><tr><td><a>D2</a></td></tr><tr><td><p>K85</p><p>K52</p><p>K40</p></td></tr><tr><td class='site-footer'>D12 <a>D3</a></td></tr></table>",
+        "<div class='cookie-notice'><p>D26</p><button>D1</button></div><div class='tags-and-topics'><p>K75</p><p>K66</p></div><div id=disqus><p>D80</p></div>",
+    ]
+    kept = right = wanted = 0
+    for page in pages:
+        html = re.sub(r"\b([KD])([0-9]+)", lambda m: words(m[1], int(m[2])), page)
+        blocks = [b.text for b in html_text.page_blocks(html)]
+        text = html_text.main_text(html).split("\n")
+        kept, right, wanted = kept + len(text), right + sum(t.startswith("K") for t in text), wanted + sum(b.startswith("K") for b in blocks)
+    assert right / kept >= 0.9 and right / wanted >= 0.9
+
+
 QUESTION = "A farmer near Riverton sold 12 crates of apples to Maria and later 12 crates of pears, so that the whole load was 24 crates weighing 90 kg in all."
 
 
