@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from galeframe.operators.landmarks import weighted_landmarks
 from galeframe.operators.quantiles import exact_percentiles
 
 MOST_FEATURES = 512
@@ -88,15 +89,9 @@ def ridge(found: Moments, penalty: float) -> tuple[np.ndarray, float]:
     return w, float(my - mean @ w)
 
 
-def landmarks(df: DataFrame, vector: str, k: int, seed: int = 0, weight: str | None = None, runs: int = 3) -> np.ndarray:
-    """Centres of weighted k-means, the cheapest of several starts."""
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
-    best = None
-    for run in range(runs):
-        model = KMeans(k=k, seed=seed + run, weightCol="weight", maxIter=20).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return np.array(best.clusterCenters())
+def landmarks(df: DataFrame, vector: str, k: int, seed: int = 0, weight: str | None = None, runs: int = 10) -> np.ndarray:
+    """Centres of weighted k-means, the cheapest of several starts that share their passes."""
+    return weighted_landmarks(df, vector, k, seed, weight, runs)[0]
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
