@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from galeframe.functions import scalar as fx
-from galeframe.operators import exact_dual
+from galeframe.operators import exact_dual, histogram_trees
 from galeframe.operators import learning as ln
 from galeframe.operators import regressors as rg
 from galeframe.operators import stats as st
@@ -206,6 +206,15 @@ def boosted_quantiles(spark, sf_dir):
     return out.select("vec_id", F.least("low", "high").alias("lower"), F.greatest("low", "high").alias("upper"))
 
 
+@query("T13_histogram_boosting")
+def histogram_boosting(spark, sf_dir):
+    """The mean and two quantiles by boosting over binned features, endpoints in order."""
+    out = rows = _vectors(spark, sf_dir).select("vec_id", "x", "y")
+    for name, tau in (("prediction", None), ("low", 0.05), ("high", 0.95)):
+        out = histogram_trees.boost(rows, "x", "y", rounds=5, depth=3, rate=0.3, tau=tau).predict(out, "x", name)
+    return out.select("vec_id", r("prediction").alias("prediction"), r(F.least("low", "high")).alias("lower"), r(F.greatest("low", "high")).alias("upper"))
+
+
 @query("T16_random_nodes")
 def random_nodes(spark, sf_dir):
     """Ridge on random hidden nodes."""
