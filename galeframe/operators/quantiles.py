@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: The sketch places a value within one rank in so many.
 ACCURACY = 10_000
-#: Groups whose brackets are broadcast at most; beyond, the brackets are joined by a shuffle.
-MOST_GROUPS = 100_000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -18,10 +15,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
 
     Missing values count for nothing; a group without values has NULL. One pass
     draws a mergeable sketch of each group, which brackets every percentile from
-    both sides; a second one counts what lies below and above the bracket, by
-    task, and keeps the counted values inside, a few of 10,000 rows. Only those
-    are sorted, so no group is held in one buffer. A bracket that misses its
-    rank, which the sketch's bound rules out, is an error.
+    both sides. A second one counts, by task, how many rows lie where with respect
+    to all brackets at once, and keeps the counted values inside, a few of 10,000
+    rows. Only those are sorted, so no group is held in one buffer. A bracket that
+    misses its rank, which the sketch's bound rules out, is an error. Nothing runs
+    and nothing is kept before the result is read.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     names, of = list(wanted), [columns.index(c) for c, _ in wanted.values()]
@@ -29,23 +27,30 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     margin = 3 / ACCURACY
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)))
     by = [f"__k{i}" for i in range(len(keys))]
-    sketches, placed = [], []
+    sketches, zones, inside = [], {}, []
     for i in range(len(columns)):
         mine = [k for k in range(len(names)) if of[k] == i]
         ends = ", ".join(f"{min(1.0, max(0.0, shares[k] + side * margin))!r}D" for k in mine for side in (-1, 1))
         sketches += [F.expr(f"percentile_approx(__v{i}, array({ends}), {ACCURACY})").alias(f"__e{i}"), F.expr(f"count(__v{i})").alias(f"__n{i}")]
         for at, k in enumerate(mine):
             # missing values stay as a count in their own zone, so that every group has a row
-            zone = f"CASE WHEN __v{i} IS NULL THEN 2 WHEN __v{i} < get(__e{i}, {2 * at}) THEN -1 WHEN __v{i} > get(__e{i}, {2 * at + 1}) THEN 1 ELSE 0 END"
-            placed.append(f"named_struct('which', {k}, 'zone', {zone}, 'value', __v{i}, 'total', __n{i}, 'place', {shares[k]!r}D * (__n{i} - 1))")
-    brackets = rows.groupBy(*by).agg(*sketches).persist(StorageLevel.MEMORY_AND_DISK)  # a row a group, the same for all uses
-    few = brackets.count() <= MOST_GROUPS
-    lookup = brackets.withColumnsRenamed({k: f"{k}b" for k in by})
-    met = F.expr(" AND ".join(f"{k} <=> {k}b" for k in by) or "true")
-    each = rows.join(F.broadcast(lookup) if few else lookup, met).select(*by, F.expr(f"explode(array({', '.join(placed)}))").alias("p")).select(*by, "p.*")
-    counted = each.groupBy(*by, "which", "zone", "place", F.expr("CASE WHEN zone = 0 THEN value END").alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.max("total").alias("total")
-    )
+            zones[f"__z{k}"] = F.expr(f"CAST(CASE WHEN __v{i} IS NULL THEN 2 WHEN __v{i} < get(__e{i}, {2 * at}) THEN -1 WHEN __v{i} > get(__e{i}, {2 * at + 1}) THEN 1 ELSE 0 END AS tinyint)")
+        inside.append(F.expr(f"CASE WHEN {' OR '.join(f'__z{k} = 0' for k in mine)} THEN __v{i} END").alias(f"__in{i}"))
+    brackets = rows.groupBy(*by).agg(*sketches).withColumnsRenamed({k: f"{k}b" for k in by})  # a row a group
+    if keys:
+        placed = rows.join(brackets, F.expr(" AND ".join(f"{k} <=> {k}b" for k in by)))
+    else:
+        placed = rows.crossJoin(F.broadcast(brackets))  # one row
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(columns)):
+        counts += [F.min(f"__v{i}").alias(f"__least{i}"), F.max(f"__v{i}").alias(f"__most{i}"), F.max(f"__n{i}").alias(f"__total{i}")]
+    cells = placed.withColumns(zones).groupBy(*by, *zones, *inside).agg(*counts)
+    each = [
+        f"named_struct('which', {k}, 'zone', __z{k}, 'at', CASE WHEN __z{k} = 0 THEN __in{of[k]} END, 'n', n, 'least', __least{of[k]}, 'most', __most{of[k]}, 'total', __total{of[k]}, 'place', {shares[k]!r}D * (__total{of[k]} - 1))"
+        for k in range(len(names))
+    ]
+    cells = cells.select(*by, F.expr(f"explode(array({', '.join(each)}))").alias("c")).select(*by, "c.*")
+    counted = cells.groupBy(*by, "which", "zone", "place", "at").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("total").alias("total"))
     up = F.sum("n").over(Window.partitionBy(*by, "which").orderBy("zone", "at").rowsBetween(Window.unboundedPreceding, 0))
     # of a zone outside the bracket only the value next to it has a known rank
     value = "CASE WHEN zone = 0 OR zone = -1 AND {r} = up - 1 THEN most WHEN zone = 1 AND {r} = up - n THEN least END"
