@@ -25,6 +25,8 @@ from galeframe.operators.quantiles import exact_percentiles
 MOST_FEATURES = 512
 #: Newton steps that are tried at once, from undamped to one that cannot overshoot.
 TRIALS = 14
+#: Numbers of a point up to which slopes are told ahead of need.
+MOST_AHEAD = 128
 
 
 @dataclass
@@ -115,72 +117,12 @@ def nystroem_features(df: DataFrame, vector: str, centres: np.ndarray, gamma: fl
         for batch in batches:
             x = batch.column(batch.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, centres.shape[1])
             z = rbf(x, centres, gamma) @ root
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(z), pa.list_(pa.float64()))], schema=pa.schema([*batch.schema, pa.field(name, pa.list_(pa.float64()))]))
+            kept = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * root.shape[1]), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, kept], schema=pa.schema([*batch.schema, pa.field(name, pa.list_(pa.float64()))]))
 
     return df.mapInArrow(run, schema)
 
 
-@dataclass
-class PinballFit:
-    weights: np.ndarray
-    intercept: float
-    primal: float
-    dual: float
-    iterations: int
-    converged: bool
-
-
-def pinball_fit(z: np.ndarray, y: np.ndarray, cost: np.ndarray, tau: float, penalty: np.ndarray | float = 1.0, linear: np.ndarray | None = None, most: int = 5000, relative: float = 1e-4, absolute: float = 1e-7) -> PinballFit:
-    """min w'Rw / 2 + c'w + sum cost * pinball(y - Zw - b), by ADMM with a duality-gap certificate.
-
-    The residual is split off and the intercept is free. The best primal and the
-    best dual value seen make the gap; the fit has converged once that is below
-    absolute + relative * max(1, |primal|, |dual|).
-    """
-    n, d = z.shape
-    quadratic = np.eye(d) * penalty if np.isscalar(penalty) else np.asarray(penalty, dtype=float)
-    c = np.zeros(d) if linear is None else linear
-    r_factor = np.linalg.cholesky(quadratic)
-    rho = float(np.median(cost)) / max(1e-6, float(np.median(np.abs(y - np.median(y)))))
-    extended = np.hstack([z, np.ones((n, 1))])
-    base = np.zeros((d + 1, d + 1))
-    base[:d, :d] = quadratic
-    gram = extended.T @ extended
-    factor = np.linalg.inv(base + rho * gram + 1e-12 * np.eye(d + 1))
-    r, u = y - np.quantile(y, tau), np.zeros(n)
-    best = (np.inf, np.zeros(d), 0.0)
-    dual = -np.inf
-    done = 0
-    for done in range(1, most + 1):
-        target = extended.T @ (rho * (y - r) - u)
-        target[:d] -= c
-        solved = factor @ target
-        fitted = extended @ solved
-        v = y - fitted - u / rho
-        r = np.where(v > tau * cost / rho, v - tau * cost / rho, np.where(v < -(1 - tau) * cost / rho, v + (1 - tau) * cost / rho, 0.0))
-        u = u + rho * (r + fitted - y)
-        if done % 25 and done != most:
-            continue
-        w = solved[:d]
-        residual = y - z @ w
-        order = np.argsort(residual)
-        up = np.cumsum(cost[order])
-        b = residual[order][min(n - 1, int(np.searchsorted(up, tau * up[-1])))]
-        e = residual - b
-        primal = 0.5 * w @ quadratic @ w + c @ w + float(np.sum(cost * np.maximum(tau * e, (tau - 1) * e)))
-        if primal < best[0]:
-            best = (primal, w.copy(), float(b))
-        a = np.clip(-u, -(1 - tau) * cost, tau * cost)
-        over = a.sum()  # the free intercept wants multipliers that sum to zero
-        room = (a + (1 - tau) * cost) if over > 0 else (tau * cost - a)
-        a = a - np.sign(over) * room * (abs(over) / max(room.sum(), 1e-300))
-        g = np.linalg.solve(r_factor, z.T @ a - c)
-        dual = max(dual, float(a @ y - 0.5 * g @ g))
-        if best[0] - dual <= absolute + relative * max(1.0, abs(best[0]), abs(dual)):
-            return PinballFit(best[1], best[2], best[0], dual, done, True)
-    return PinballFit(best[1], best[2], best[0], dual, done, False)
-
-
 def domain_terms(found: Moments, variance: float, discrepancy: float) -> tuple[np.ndarray, np.ndarray]:
     """(R, c) of w'Rw / 2 - c'w: the norm of w, the centred residual variance of the source, and the difference of the domains' means.
 
@@ -272,22 +214,17 @@ def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: f
             at[k], delta[k], dual[k], done[k] = np.array(state["point"]), state["delta"], state["dual"], state["iterations"]
             best[k] = (state["primal"], np.append(state["weights"], state["intercept"]))
     live = [k for k in range(len(jobs)) if done[k] < most and not _closed(best[k][0], dual[k], relative, absolute)]
+    slope_size = d + 1 + d * d
+    ahead = len(jobs) > 0 and d <= MOST_AHEAD
+    known: dict[int, np.ndarray] = {}  # slopes that the pass over the trials told already
     while live:
-        # slopes, curvature and the dual at each point
-        points = [(k, at[k], delta[k], tau[k]) for k in live]
-
-        def slopes(x, y, cost, points=points):
-            out = []
-            for _, p, width_of_kink, t in points:
-                e = (y - x @ p) / width_of_kink
-                a = np.clip(e, t - 1, t) * cost
-                inside = (e > t - 1) & (e < t)
-                bent = x[inside]
-                out.append(np.concatenate([a @ x, [a @ y], ((bent * cost[inside, None]).T @ bent).ravel() / width_of_kink]))
-            return np.concatenate(out)
-
+        wanted = [k for k in live if k not in known]
+        if wanted:
+            measure = _slopes([(at[k], delta[k], tau[k]) for k in wanted])
+            known |= dict(zip(wanted, np.split(_total(rows, measure, len(wanted) * slope_size) * share_of_row, len(wanted)), strict=True))
         trials = {}
-        for k, found in zip(live, np.split(_total(rows, slopes, len(live) * (d + 1 + d * d)) * share_of_row, len(live)), strict=True):
+        for k in live:
+            found = known.pop(k)
             ax, ay, curve = found[:d], found[d], found[d + 1 :].reshape(d, d) + base[k]
             over = ax[-1]  # the free intercept wants multipliers that sum to zero
             limit = tau[k] - 1 if over > 0 else tau[k]
@@ -300,26 +237,24 @@ def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: f
             steepest = np.linalg.norm(base[k], 2) + sums[d + 1] / delta[k]  # no curvature is above this
             trials[k] = np.array([at[k], *(at[k] - np.linalg.solve(curve + m * np.eye(d), slope) for m in np.geomspace(1e-9, steepest, TRIALS))])
 
-        # the smooth and the true objective at each trial
-        tried = [(trials[k], delta[k], tau[k]) for k in live]
-
-        def values(x, y, cost, tried=tried):
-            out = []
-            for p, width_of_kink, t in tried:
-                e = y[:, None] - x @ p.T
-                a = np.clip(e / width_of_kink, t - 1, t)
-                out += [cost @ (a * e - width_of_kink * a * a / 2), cost @ np.maximum(t * e, (t - 1) * e)]
-            return np.concatenate(out)
-
+        # the smooth and the true objective at each trial and, as it is mostly the one that is taken, the slopes at the undamped step
         m = TRIALS + 1
-        for k, found in zip(live, np.split(_total(rows, values, len(live) * 2 * m) * share_of_row, len(live)), strict=True):
+        values = _values([(trials[k], delta[k], tau[k]) for k in live])
+        guesses = [(k, w) for k in live for w in (delta[k], delta[k] / 4)] if ahead else []
+        slopes = _slopes([(trials[k][1], w, tau[k]) for k, w in guesses])
+        told = _total(rows, lambda x, y, cost, f=values, g=slopes: np.concatenate([f(x, y, cost), g(x, y, cost)]), len(live) * 2 * m + len(guesses) * slope_size) * share_of_row
+        guessed = dict(zip(guesses, told[len(live) * 2 * m :].reshape(len(guesses), slope_size), strict=True))
+        for k, found in zip(live, np.split(told[: len(live) * 2 * m], len(live)), strict=True):
             norm = 0.5 * np.einsum("ij,jk,ik->i", trials[k], base[k], trials[k]) - trials[k] @ linear[k]
             smooth, true = found[:m] + norm, found[m:] + norm
             if true.min() < best[k][0]:
                 best[k] = (float(true.min()), trials[k][true.argmin()])
-            at[k] = trials[k][smooth.argmin()]
+            taken = int(smooth.argmin())
+            at[k] = trials[k][taken]
             if smooth[0] - smooth.min() <= 0.01 * delta[k] * mass:  # smoothing costs at most half of delta
                 delta[k] = max(delta[k] / 4, 0.25 * (absolute + relative * max(1.0, abs(best[k][0]))) / mass)
+            if taken == 1 and (k, delta[k]) in guessed:
+                known[k] = guessed[k, delta[k]]
             done[k] += 1
         live = [k for k in live if done[k] < most and not _closed(best[k][0], dual[k], relative, absolute)]
     return [
@@ -328,6 +263,36 @@ def _fit_all(rows: DataFrame, jobs: list, penalty: float, most: int, relative: f
     ]
 
 
+def _slopes(points: list):
+    """Of each (point, width of the kink, tau): the multipliers' sums with x and y, and the curvature."""
+
+    def measure(x, y, cost):
+        out = [np.zeros(0)]
+        for p, width_of_kink, t in points:
+            e = (y - x @ p) / width_of_kink
+            a = np.clip(e, t - 1, t) * cost
+            inside = (e > t - 1) & (e < t)
+            bent = x[inside]
+            out.append(np.concatenate([a @ x, [a @ y], ((bent * cost[inside, None]).T @ bent).ravel() / width_of_kink]))
+        return np.concatenate(out)
+
+    return measure
+
+
+def _values(tried: list):
+    """Of each (points, width of the kink, tau): the smoothed and the true loss at every point."""
+
+    def measure(x, y, cost):
+        out = []
+        for p, width_of_kink, t in tried:
+            e = y[:, None] - x @ p.T
+            a = np.clip(e / width_of_kink, t - 1, t)
+            out += [cost @ (a * e - width_of_kink * a * a / 2), cost @ np.maximum(t * e, (t - 1) * e)]
+        return np.concatenate(out)
+
+    return measure
+
+
 def _closed(primal: float, dual: float, relative: float, absolute: float) -> bool:
     return bool(np.isfinite(primal) and np.isfinite(dual) and primal - dual <= absolute + relative * max(1.0, abs(primal), abs(dual)))
 

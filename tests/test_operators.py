@@ -11,6 +11,8 @@ from galeframe.operators import inference, joins, learning, metrics, screening,
 from galeframe.sources import schema
 from galeframe.streaming.conformal import rank_of, stream_expansions
 
+from .whole_fits import pinball_fit
+
 START = dt.datetime(2024, 1, 1)
 
 
@@ -158,7 +160,7 @@ def test_pinball_fit_is_certified(tau):
     r = np.random.default_rng(4)
     z = r.standard_normal((300, 5))
     y = z @ np.arange(5) + r.standard_normal(300)
-    found = learning.pinball_fit(z, y, np.full(300, 1 / 300), tau, 0.01)
+    found = pinball_fit(z, y, np.full(300, 1 / 300), tau, 0.01)
     assert found.converged and found.primal >= found.dual - 1e-9
     assert np.mean(y <= z @ found.weights + found.intercept) == pytest.approx(tau, abs=0.03)
 
@@ -170,7 +172,7 @@ def test_fit_jobs_use_every_row(spark):
     rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(9000), "z": z.tolist(), "y": y}), "vec_id long, z array<double>, y double")
     jobs = spark.createDataFrame([("low", 0.1, 0), ("mid", 0.5, 1)], "job string, tau double, seed int")
     for found in learning.fit_jobs(rows, jobs, "z", "y", 0.1).collect():
-        whole = learning.pinball_fit(z, y, np.full(9000, 1 / 9000), found.tau, 0.1)
+        whole = pinball_fit(z, y, np.full(9000, 1 / 9000), found.tau, 0.1)
         assert found.n == 9000 and found.converged and found.dual <= found.primal
         assert found.primal == pytest.approx(whole.primal, abs=2e-4)
         assert np.allclose(found.weights, whole.weights, atol=0.05)
@@ -199,7 +201,7 @@ def test_domain_objective_is_certified_and_equals_its_definition(spark):
     assert w @ quadratic @ w / 2 - linear @ w + variance / 2 * np.var(ys) == pytest.approx(direct, rel=1e-9)
     jobs = spark.createDataFrame([("a", 0.2, 0), ("b", 0.7, 0)], "job string, tau double, seed int")
     for fit in learning.fit_jobs(rows, jobs, "z", "y", cost="cost", terms={j: (quadratic, linear) for j in "ab"}).collect():
-        whole = learning.pinball_fit(z, y, np.where(target, 0.4, 0.1), fit.tau, quadratic, -linear)
+        whole = pinball_fit(z, y, np.where(target, 0.4, 0.1), fit.tau, quadratic, -linear)
         assert fit.converged and whole.converged and fit.dual <= fit.primal and whole.dual - 1e-6 <= fit.primal
         assert fit.primal == pytest.approx(whole.primal, rel=2e-4)
         assert np.allclose(fit.weights, whole.weights, atol=0.02)

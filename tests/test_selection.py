@@ -16,6 +16,7 @@ from galeframe.sources.storage import shared_dir
 
 from .conftest import SMALL
 from .test_catalogue import comparable, sql  # noqa: F401
+from .whole_fits import pinball_fit
 
 
 @pytest.fixture
@@ -78,7 +79,7 @@ def test_nine_quantiles_selected_from_stored_predictions(spark, path):
     # one of the fits against the same problem in NumPy
     train = features.where("split = 'train'").select("z", "y").collect()
     z, y = np.array([t["z"] for t in train]), np.array([t["y"] for t in train])
-    whole = ln.pinball_fit(z, y, np.full(len(y), 1 / len(y)), 0.3, 0.1, relative=1e-5)
+    whole = pinball_fit(z, y, np.full(len(y), 1 / len(y)), 0.3, 0.1, relative=1e-5)
     fit = selection.fit_candidates(features.where("split = 'train'"), "z", "y", "is_target", [("plain", 0.1, 0.0, 0.0)], [0.3]).first()
     assert fit["dual"] <= whole.primal + 1e-9 and whole.dual <= fit["primal"] + 1e-9 and fit["primal"] == pytest.approx(whole.primal, rel=5e-4)
 
