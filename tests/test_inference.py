@@ -52,14 +52,14 @@ def by_hand(rows):
     return out
 
 
-def tested(frame, seed=3, root=False):
+def inferred(frame, seed=3, root=False):
     sums = inference.block_sums(inference.paired_differences(frame, "A"), ["task", "method"], block(), F.col("difference"))
     return {(x.task, x.method): x for x in inference.block_inference(sums, ["task", "method"], DRAWS, seed, root=root).collect()}
 
 
 @pytest.mark.parametrize("root", [False, True])
 def test_bootstrap_equals_all_resamples(frame, rows, root):
-    found, blocks = tested(frame, root=root), by_hand(rows)
+    found, blocks = inferred(frame, root=root), by_hand(rows)
     assert set(found) == set(blocks) and len(found) == 4
     shape = (lambda v: math.copysign(math.sqrt(abs(v)), v)) if root else (lambda v: v)
     for key, own in blocks.items():
@@ -79,7 +79,7 @@ def test_bootstrap_equals_all_resamples(frame, rows, root):
 
 
 def test_sign_flips_equal_all_patterns(frame, rows):
-    found = tested(frame)
+    found = inferred(frame)
     for key, own in by_hand(rows).items():
         cells = [own[b] for b in sorted(own)]
         n, observed = sum(c[1] for c in cells), sum(c[0] for c in cells) / sum(c[1] for c in cells)
@@ -121,7 +121,7 @@ def test_block_swaps_equal_all_exchanges(spark, frame, rows):
 
 def test_comparisons_are_adjusted_over_all_rows_and_tiers_follow(frame, rows, spark):
     compared = {(x.task, x.method): x for x in inference.reference_comparisons(frame, "A", block(), DRAWS, 7).collect()}
-    plain = tested(frame, seed=7)
+    plain = inferred(frame, seed=7)
     order = sorted(plain, key=lambda k: (plain[k].p_two_sided, k))
     running = 0.0
     for k, key in enumerate(order):
