@@ -36,7 +36,7 @@ BATCH = 64
 #: Models of different seeds that are averaged: scores are linear, so the average is one model.
 MODELS = 3
 #: Bytes of prepared batches that training keeps; others are put together again in every pass.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 32 << 20
 RATE = 0.4
 SEED = 7
 THRESHOLD = 0.7
@@ -122,22 +122,24 @@ class _Prepared:
 
 
 def _prepared(texts: list[str]) -> _Prepared:
-    number: dict[int, int] = {}
+    """Words are numbered in the order they are first met; what is known of them stands in arrays sorted by hash, not in objects."""
+    known, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     of_texts, parts, buckets = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
     for at in range(0, len(texts), BATCH):
         raw = [t.encode() for t in texts[at : at + BATCH]]
         found = words.split(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), True, True)
         value, which, back = np.unique(found.value, return_index=True, return_inverse=True)
-        new = np.array([v not in number for v in value.tolist()], dtype=bool)
+        place = np.searchsorted(known, value)
+        new = (place == len(known)) | (known[np.minimum(place, max(len(known) - 1, 0))] != value) if len(known) else np.ones(len(value), dtype=bool)
         if new.any():
             word, bucket = subword_buckets(found, which[new])
             order = np.argsort(word, kind="stable")
             buckets.append(bucket[order].astype(np.int32))
             parts.append(np.bincount(word, minlength=int(new.sum())))
-            for v in value[new].tolist():
-                number[v] = len(number)
-        numbers = np.array([number[v] for v in value.tolist()], dtype=np.int32)[back]
-        of_texts += [numbers[a:b].copy() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+            numbers = np.insert(numbers, place[new], np.arange(len(known), len(known) + int(new.sum()), dtype=np.int32))
+            known = np.insert(known, place[new], value[new])
+        own = numbers[np.searchsorted(known, value)][back]
+        of_texts += [own[a:b].copy() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
     return _Prepared(of_texts, np.cumsum(np.concatenate(parts)), np.concatenate(buckets))
 
 
@@ -158,12 +160,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     stand there. ``MODELS`` such models are averaged, since one alone may place a
     misspelling badly. Without texts of both labels the score is the share of label 1.
     """
+    return _fit(_prepared(texts), labels, seed)
+
+
+def _fit(prepared: _Prepared, labels: np.ndarray, seed: int = SEED) -> Model:
     labels = np.asarray(labels, dtype=np.float64)
     if len(labels) == 0 or labels.min() == labels.max():
         share = labels.mean() if len(labels) else 0.5
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    order = np.random.default_rng(seed).permutation(len(texts))
-    batches = _Batches(_prepared(texts), labels, [order[at : at + BATCH] for at in range(0, len(order), BATCH)])
+    order = np.random.default_rng(seed).permutation(len(labels))
+    batches = _Batches(prepared, labels, [order[at : at + BATCH] for at in range(0, len(order), BATCH)])
     models = [_fit_one(batches, seed + k) for k in range(MODELS)]
     return Model(np.mean([m.weight for m in models], axis=0, dtype=np.float32), float(np.mean([m.bias for m in models])))
 
@@ -258,7 +264,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # the limit only guards against an id that repeats; the order makes it the same rows in every run
     rows = fit_rows(docs, labels).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * FIT_ROWS).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    labels_of = np.array([r["toxic"] for r in rows])
+    prepared = _prepared([r["text"] for r in rows])
+    del rows  # the driver holds the texts only until their words are numbered
+    return _fit(prepared, labels_of)
 
 
 def score(docs: DataFrame, model: Model, parts: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
