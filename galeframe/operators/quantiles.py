@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 ACCURACY = 10_000
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], few_groups: bool = True) -> DataFrame:
     """The keys and, by name, the percentile of a column (column, share) with linear interpolation.
 
     Missing values count for nothing; a group without values has NULL. One pass
@@ -20,6 +20,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     rows. Only those are sorted, so no group is held in one buffer. A bracket that
     misses its rank, which the sketch's bound rules out, is an error. Nothing runs
     and nothing is kept before the result is read.
+
+    The brackets, a row a group, are broadcast: a join that shuffles by the group
+    sorts all its rows in one task. With millions of groups, which are small then,
+    turn ``few_groups`` off.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     names, of = list(wanted), [columns.index(c) for c, _ in wanted.values()]
@@ -38,7 +42,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         inside.append(F.expr(f"CASE WHEN {' OR '.join(f'__z{k} = 0' for k in mine)} THEN __v{i} END").alias(f"__in{i}"))
     brackets = rows.groupBy(*by).agg(*sketches).withColumnsRenamed({k: f"{k}b" for k in by})  # a row a group
     if keys:
-        placed = rows.join(brackets, F.expr(" AND ".join(f"{k} <=> {k}b" for k in by)))
+        placed = rows.join(F.broadcast(brackets) if few_groups else brackets, F.expr(" AND ".join(f"{k} <=> {k}b" for k in by)))
     else:
         placed = rows.crossJoin(F.broadcast(brackets))  # one row
     counts = [F.count(F.lit(1)).alias("n")]
