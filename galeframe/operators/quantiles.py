@@ -13,7 +13,9 @@ ACCURACY = 10_000
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], few_groups: bool = True) -> DataFrame:
     """The keys and, by name, the percentile of a column (column, share) with linear interpolation.
 
-    Missing values count for nothing; a group without values has NULL. One pass
+    Between equal values it is that value to the last bit, so that rows compare
+    with it as with themselves. Missing values count for nothing; a group without
+    values has NULL. One pass
     draws a mergeable sketch of each group, which brackets every percentile from
     both sides. A second one counts, by task, how many rows lie where with respect
     to all brackets at once, and keeps the counted values inside, a few of 10,000
@@ -63,7 +65,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     ends = [F.expr(f"max(CASE WHEN which = {k} THEN struct(total, place) END)").alias(f"of{k}") for k in range(len(names))]
     ends += [F.expr(f"max(CASE WHEN which = {k} THEN `{side}` END)").alias(f"{side}{k}") for k in range(len(names)) for side in ("floor", "ceil")]
     found = ranked.groupBy(*by).agg(*ends)
-    between = "CASE WHEN of{k}.total > 0 AND (floor{k} IS NULL OR ceil{k} IS NULL) THEN raise_error('a bracket misses its rank') WHEN floor(of{k}.place) = ceil(of{k}.place) THEN floor{k} ELSE (ceil(of{k}.place) - of{k}.place) * floor{k} + (of{k}.place - floor(of{k}.place)) * ceil{k} END"
+    between = "CASE WHEN of{k}.total > 0 AND (floor{k} IS NULL OR ceil{k} IS NULL) THEN raise_error('a bracket misses its rank') WHEN floor{k} = ceil{k} THEN floor{k} ELSE floor{k} + (of{k}.place - floor(of{k}.place)) * (ceil{k} - floor{k}) END"
     return found.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), *(F.expr(between.format(k=k)).alias(name) for k, name in enumerate(names)))
 
 

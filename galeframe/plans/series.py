@@ -90,8 +90,8 @@ def ramp(spark, sf_dir):
 
 #: Episodes of extreme rows: power above the site's 90th percentile, no more than an hour apart.
 _EPISODE_SQL = f"""WITH {SERIES_SQL}, t AS (SELECT site, quantile_cont(power, 0.9) AS high FROM series GROUP BY site), e AS (SELECT series.* FROM series JOIN t USING (site) WHERE power > high),
-    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER o <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY site ORDER BY ts)),
-    i AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER o <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY site ORDER BY ts, raw_row)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts, raw_row ROWS UNBOUNDED PRECEDING) AS run FROM g),
     episodes AS (SELECT site, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows, CAST(sum(CAST(wind > 50 AS INTEGER)) AS BIGINT) AS n_windy FROM i GROUP BY site, run)"""
 
 

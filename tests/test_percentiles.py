@@ -21,3 +21,8 @@ def test_rows_are_not_shuffled_by_their_group(spark, groups):
         assert sorted(found.collect()) == sorted(shuffled.collect()) == [(k, pytest.approx(899.55)) for k in range(6)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_between_equal_values_a_percentile_is_that_value(spark):
+    rows = spark.createDataFrame([(29.27,)] * 14, "v double")
+    assert exact_percentiles(rows, [], {"p": ("v", 0.9)}).first().p == 29.27
