@@ -41,13 +41,14 @@ def _below(value: Column, threshold: Column) -> Column:
     return F.coalesce(value < threshold, F.lit(False))
 
 
-def screen(df: DataFrame, rules: Rules, key: str = "site", ts: str = "ts", capacity: Column | None = None) -> DataFrame:
+def screen(df: DataFrame, rules: Rules, key: str = "site", ts: str = "ts", capacity: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the flags of each rule and ``is_extreme``, their union. Missing values break no rule.
 
     Needs power; wind and temperature only as far as the table has them. The
-    thresholds are one row a site, so the join is of a table of checked size.
+    thresholds are one row a site, and broadcast. ``ties`` orders rows of a site
+    and time, without which their ramps are left to chance.
     """
-    rows = ramp(df, "power", [key], [ts])
+    rows = ramp(df, "power", [key], [ts, *ties])
     has = set(df.columns)
     wanted = {"__q_power": ("power", rules.stat_q / 100)}
     fixed_limits = {}
@@ -61,7 +62,7 @@ def screen(df: DataFrame, rules: Rules, key: str = "site", ts: str = "ts", capac
                 fixed_limits[name] = F.lit(fixed)
             else:
                 wanted[name] = ("temperature", q / 100)
-    rows = rows.join(exact_percentiles(rows, [key], wanted).withColumns(fixed_limits), key)
+    rows = rows.join(F.broadcast(exact_percentiles(rows, [key], wanted).withColumns(fixed_limits)), key)
     none = F.lit(False)
     wind_high = _above(F.col("wind"), F.col("__q_wind")) if "wind" in has else none
     stat = (wind_high if rules.stat_on_wind else none) | (_above(F.col("power"), F.col("__q_power")) if rules.stat_on_power else none)
@@ -93,7 +94,7 @@ def train_thresholds(df: DataFrame, key: str, split: str, wind_q: float = 0.98,
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, key: str, cut_out: float = 25.0) -> DataFrame:
     """Flags hot_wind, cold, hot, cut_out and their union."""
-    rows = df.join(thresholds, key)
+    rows = df.join(F.broadcast(thresholds), key)
     temperature = "temperature" in df.columns
     rows = rows.withColumns(
         {

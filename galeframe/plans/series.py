@@ -198,13 +198,13 @@ def label_budgets(spark, sf_dir):
 
 # --- screening
 
-_RAMP_SQL = "abs(power - coalesce(lag(power) OVER (PARTITION BY site ORDER BY ts), power))"
+_RAMP_SQL = "abs(power - coalesce(lag(power) OVER (PARTITION BY site ORDER BY ts, raw_row), power))"
 _SCREEN_SQL = f"""WITH {SERIES_SQL}, x AS (SELECT *, {_RAMP_SQL} AS ramp FROM series), t AS (SELECT site, quantile_cont(power, 0.95) AS qp, quantile_cont(wind, 0.95) AS qw, quantile_cont(ramp, 0.9) AS qr FROM x GROUP BY site),
     f AS (SELECT x.*, coalesce(wind > qw, false) OR coalesce(power > qp, false) AS is_stat, coalesce(ramp > qr, false) AS is_ramp, coalesce(wind > 97, false) AS is_cut_out FROM x JOIN t USING (site))"""
 
 
 def _screened(spark, sf_dir):
-    return sc.screen(site_series(spark, sf_dir), sc.Rules(ramp_q=90.0, cut_out=97.0))
+    return sc.screen(site_series(spark, sf_dir), sc.Rules(ramp_q=90.0, cut_out=97.0), ties=("raw_row",))
 
 
 @query("X1_screen", f"{_SCREEN_SQL} SELECT raw_row, is_stat OR is_ramp OR is_cut_out AS is_extreme FROM f")
