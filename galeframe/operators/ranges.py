@@ -13,6 +13,7 @@ them first, as the operators on values do.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -113,6 +114,16 @@ def positions(ranged: Ranged, name: str = "__at", total: str = "__n") -> Ranged:
     return Ranged(rows.withColumn(name, F.col(name) + F.col("__before")).drop("__before"), ranged.keys, ranged.order, True)
 
 
+def over_keys(ranged: Ranged, wanted: dict[str, tuple[Callable, str]]) -> Ranged:
+    """Adds by name the least or largest value of a column, (F.min or F.max, column), over all rows of the key."""
+    of_key = Window.partitionBy(*ranged.keys)
+    if not ranged.many:
+        return Ranged(ranged.frame.withColumns({n: f(c).over(of_key) for n, (f, c) in wanted.items()}), ranged.keys, ranged.order, False)
+    cells = ranged.frame.groupBy(*ranged.keys, RANGE).agg(*(f(c).alias(f"__{n}") for n, (f, c) in wanted.items()))
+    cells = cells.select(*ranged.keys, RANGE, *(f(f"__{n}").over(of_key).alias(n) for n, (f, _) in wanted.items()))
+    return Ranged(joined_cells(ranged.frame, cells, [*ranged.keys, RANGE]), ranged.keys, ranged.order, True)
+
+
 def with_neighbours(ranged: Ranged, before: int = 0, after: int = 0) -> Ranged:
     """Adds to each range the last ``before`` rows of its key before it and the first ``after`` behind it, marked by ``__own`` being false.
 

@@ -132,4 +132,4 @@ def stratified_labels(df: DataFrame, key: list[str], month: str, event: str, ts:
     """The label budget of each key: month by event cells, largest remainders, evenly timed rows in each cell."""
     cell = [*key, month, event]
     quotas = largest_remainder(df.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")), key, [month, event], "size", budget).select(*cell, "quota")
-    return evenly_timed(df.join(quotas, cell), cell, ts, "quota")
+    return evenly_timed(df.join(F.broadcast(quotas), cell), cell, ts, "quota")  # a row a cell, and no more cells than budget

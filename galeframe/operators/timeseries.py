@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galeframe.operators.ranges import RANGE, in_ranges, own_rows, positions, with_neighbours
+from galeframe.operators.ranges import RANGE, in_ranges, joined_cells, over_keys, own_rows, positions, with_neighbours
 
 STRETCH_DAYS = 7
 
@@ -161,36 +161,40 @@ def evenly_timed(df: DataFrame, keys: list[str], ts: str, quota: str) -> DataFra
     A row is chosen once, so each choice depends on the one before it. As the
     distance to a time falls and then rises along a key, the choice is the row
     nearest to it, moved behind the last choice and before the rows that later
-    times need: only those numbers, at most ``quota`` of a key, are folded.
+    times need: only those numbers, at most ``quota`` of a key, are folded. Rows
+    are numbered by ranges, and a task tells only the first and the last of its
+    rows between two of the wanted times.
     """
     tick = F.unix_micros(F.col(ts).cast("timestamp")) * 1000
-    of_key = Window.partitionBy(*keys)
-    in_time = of_key.orderBy("__tick")
-    rows = df.withColumn("__tick", tick).withColumns(
-        {"__at": F.row_number().over(of_key.orderBy("__tick", *(c for c in df.columns if c not in (*keys, ts)))) - 1, "__first": F.rank().over(in_time) - 1, "__n": F.count(F.lit(1)).over(of_key)}
+    ranged = positions(in_ranges(df.withColumn("__tick", tick), keys, ["__tick", *(c for c in df.columns if c not in (*keys, ts))]))
+    rows = over_keys(ranged, {"__low": (F.min, "__tick"), "__high": (F.max, "__tick")}).frame.withColumn("__at", F.col("__at") - 1)
+    rows = rows.withColumn("__first", F.min("__at").over(Window.partitionBy(*keys, RANGE, "__tick"))).withColumn("__w", F.col(quota).cast("int"))
+    many = rows.where("__n > __w AND __w > 0")
+    # the number of wanted times before a row, low + (high - low) * j DIV (w - 1) being time j
+    since, span = "CAST(__tick - __low AS DECIMAL(20, 0))", "(__high - __low)"
+    passed = F.expr(f"CASE WHEN {span} = 0 THEN 0 WHEN __w = 1 THEN CAST(__tick - __low > {span} DIV 2 AS INT) ELSE CAST(({since} * (__w - 1) + {span} - 1) DIV {span} AS INT) END")
+    place = F.struct("__tick", "__first")
+    cells = many.where("__tick IS NOT NULL").groupBy(*keys, passed.alias("__j")).agg(
+        F.min(place).alias("__from"), F.max(place).alias("__to"), *(F.max(c).alias(c) for c in ("__low", "__high", "__w"))
     )
-    cells = rows.groupBy(*keys).agg(F.min("__tick").alias("__low"), F.max("__tick").alias("__high"), F.max("__n").alias("__n"), F.min(quota).cast("int").alias("__w")).where("__n > __w AND __w > 0")
-    number = F.posexplode(F.sequence(F.lit(0), F.col("__w") - 1)).alias("__j", "__k")
-    aims = cells.select(*keys, "__n", "__w", "__low", "__high", number).withColumn(
-        "__tick", F.col("__low") + F.expr("CASE WHEN __w = 1 THEN (__high - __low) DIV 2 ELSE ((__high - __low) * __j) DIV (__w - 1) END")
-    )
-    # an aim between the rows before and after it
-    marks = rows.select(*keys, "__tick", F.col("__first").alias("__row"), F.lit(None).cast("int").alias("__j")).unionByName(aims.select(*keys, "__tick", F.lit(None).cast("int").alias("__row"), "__j"))
-    before, after = in_time.rangeBetween(Window.unboundedPreceding, 0), in_time.rangeBetween(1, Window.unboundedFollowing)
-    row = F.when(F.col("__row").isNotNull(), F.struct("__tick", "__row"))
-    near = marks.withColumns({"__b": F.last(row, ignorenulls=True).over(before), "__a": F.first(row, ignorenulls=True).over(after)}).where("__j IS NOT NULL")
-    near = near.select(*keys, "__j", F.when(F.col("__a").isNull() | (F.col("__tick") - F.col("__b.__tick") <= F.col("__a.__tick") - F.col("__tick")), F.col("__b.__row")).otherwise(F.col("__a.__row")).alias("__near"))
-    last = rows.join(cells.select(*keys, "__w"), keys).where("__at >= __n - __w").select(*keys, (F.col("__at") - (F.col("__n") - F.col("__w"))).cast("int").alias("__j"), "__at", "__first")
-    wanted = near.join(last, [*keys, "__j"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__j", "__near", "__at", "__first"))).alias("__aims"))
+    of_key = cells.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("__low", "__high", "__w")))
+    grid = of_key.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__w"))))
+    grid = joined_cells(grid, cells.select(*keys, "__j", "__from", "__to"), [*keys, "__j"], "left")
+    number = Window.partitionBy(*keys)
+    before, after = number.orderBy("__j").rowsBetween(Window.unboundedPreceding, 0), number.orderBy(F.desc("__j")).rowsBetween(Window.unboundedPreceding, -1)
+    aim = F.col("__low") + F.expr(f"CASE WHEN __w = 1 THEN {span} DIV 2 ELSE (CAST({span} AS DECIMAL(20, 0)) * __j) DIV (__w - 1) END")
+    near = grid.withColumns({"__b": F.max("__to").over(before), "__a": F.min("__from").over(after), "__aim": aim}).where("__j < __w")
+    near = near.select(*keys, "__j", F.when(F.col("__a").isNull() | (F.col("__aim") - F.col("__b.__tick") <= F.col("__a.__tick") - F.col("__aim")), F.col("__b.__first")).otherwise(F.col("__a.__first")).alias("__near"))
+    last = many.where("__at >= __n - __w").select(*keys, (F.col("__at") - (F.col("__n") - F.col("__w"))).cast("int").alias("__j"), "__at", "__first")
+    wanted = joined_cells(near, last, [*keys, "__j"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__j", "__near", "__at", "__first"))).alias("__aims"))
     picked = F.expr(
         """aggregate(__aims, CAST(array() AS array<bigint>), (done, x) -> concat(done, array(CAST(CASE
             WHEN x.__near <= coalesce(try_element_at(done, -1), -1) THEN try_element_at(done, -1) + 1
             WHEN x.__near > x.__at THEN greatest(coalesce(try_element_at(done, -1), -1) + 1, x.__first)
             ELSE x.__near END AS bigint))))"""
     )
-    chosen = wanted.select(*keys, F.explode(picked).alias("__at"))
-    some = rows.join(chosen, [*keys, "__at"], "left_semi")
-    return some.unionByName(rows.where(F.col("__n") <= F.col(quota))).select(df.columns)
+    chosen = wanted.select(*keys, F.explode(picked).alias("__at")).withColumn("__hit", F.lit(True))
+    return joined_cells(rows, chosen, [*keys, "__at"], "left").where("__n <= __w OR __hit").select(df.columns)
 
 
 def head(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -1,7 +1,10 @@
 """Windows over ranges of a key equal windows over the whole key, and one key is many tasks."""
 
+import datetime as dt
 import random
+import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +93,31 @@ def test_only_numbers_cut_ranges(spark):
     rows = spark.createDataFrame([("a", "t")], "site string, name string")
     with pytest.raises(TypeError):
         ranges.in_ranges(rows, ["site"], ["name"])
+
+
+def test_evenly_timed_rows_are_those_of_a_plain_loop(spark, monkeypatch):
+    """Against the rule said in loops: each time takes the nearest row that is left and leaves enough for the later times."""
+    r = np.random.default_rng(4)
+    times = {k: sorted(r.integers(0, 400 if k % 2 else 12, 60).tolist()) for k in range(6)}
+    quotas = {0: 1, 1: 7, 2: 13, 3: 59, 4: 60, 5: 25}
+    rows = [(k, 100 * k + n, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), quotas[k]) for k, own in times.items() for n, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "site int, raw_row long, ts timestamp_ntz, quota long")
+    expected = set()
+    for k, own in times.items():
+        n, w = len(own), quotas[k]
+        ticks, done = [t * 10**9 for t in own], -1
+        for j in range(w):
+            aim = ticks[0] + ((ticks[-1] - ticks[0]) // 2 if w == 1 else (ticks[-1] - ticks[0]) * j // (w - 1))
+            done = min(range(done + 1, n - w + j + 1), key=lambda p, a=aim, t=ticks: (abs(t[p] - a), t[p], p))
+            expected.add(100 * k + done)
+    for size in (1 << 18, 9):
+        monkeypatch.setattr(ranges, "ROWS_PER_RANGE", size)
+        found = [x.raw_row for x in timeseries.evenly_timed(frame, ["site"], "ts", "quota").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_evenly_timed_looks_ahead_over_no_whole_key(spark):
+    """A frame up to the end of a key is gone through again for each of its rows."""
+    frame = spark.range(50).selectExpr("1 AS site", "id AS raw_row", "timestamp_seconds(id) AS ts", "5L AS quota")
+    plan = timeseries.evenly_timed(frame, ["site"], "ts", "quota")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and not re.search(r"Frame, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan)
