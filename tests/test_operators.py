@@ -238,3 +238,14 @@ def test_separate_segments_equal_a_scan(spark):
                 expected.append((p, start, end))
                 last = end
         assert sorted((x.event_at, x.start_at, x.end_at) for x in found if x.site == k) == expected
+
+
+def test_a_task_measures_few_rows_at_once(spark, monkeypatch):
+    """What a task holds beside its batch does not grow with the batch, and the sums are those of the whole."""
+    rows = spark.range(3000).selectExpr("array(double(id % 7), double(id % 11)) AS z", "double(id % 5) AS y", "1.0D AS cost").coalesce(1)
+
+    def measure(x, y, cost):
+        return np.array([len(x) if len(x) > 1024 else 0, cost @ x[:, 0], cost @ y, cost @ x[:, -1]])
+
+    over, first, target, n = learning._total(rows, measure, 4)
+    assert (over, first, target, n) == (0, sum(k % 7 for k in range(3000)), sum(k % 5 for k in range(3000)), 3000)
