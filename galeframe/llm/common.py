@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, **aggregates) -> tuple[DataFrame, dict]:
+    """``df`` settled, and aggregates of its rows, observed by the tasks that settle it: no further pass."""
+    seen = Observation()
+    return settled(df.observe(seen, *(value.alias(name) for name, value in aggregates.items()))), seen.get
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"

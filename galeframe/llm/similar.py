@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .common import MOST_IDS, settled, small_batches, stored, without_keys
+from .common import MOST_IDS, counted, small_batches, stored, without_keys
 from .components import components
 
 #: Coordinates of a point, at least, and the mean count in a coordinate, at most.
@@ -356,17 +356,20 @@ def _verified(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return together.mapInArrow(run, "a long, b long")
 
 
-def _sets_of(texts: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """``placed`` with the sets of its documents; texts move only where their documents are too many to be broadcast."""
-    if placed.count() <= MOST_PLACED:
+def _sets_of(texts: DataFrame, placed: DataFrame, size: int, n: int) -> DataFrame:
+    """``placed``, of ``size`` rows, with the sets of its documents; texts move only where their documents are too many to be broadcast."""
+    if size <= MOST_PLACED:
         return _sets(texts.join(F.broadcast(placed), "doc_id").select(*placed.columns, F.col("text").alias("body")), n)
     return _sets(words.squeeze(texts).join(placed, "doc_id").select(*placed.columns, "body"), n)
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the label of each document: the smallest id that links reach."""
-    found = components(links).select(F.col("id").alias("doc_id"), "component")
-    return rows.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    return rows.drop("label").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _as_links(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def _block(n, salt: int = 0):
@@ -377,32 +380,34 @@ def _links_of_large(large: DataFrame, threshold: Fraction, block_docs: int) -> D
     """Links of families of several blocks: (doc_id, family, blocks, shingles) rows of whole families."""
     # each block within itself
     rows = large.withColumn("i", _block(F.col("blocks"))).withColumns({"j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
-    links = settled(_verified(rows, threshold))
+    found = components(_verified(rows, threshold))
 
     # a few documents of every block and group meet in new blocks, fewer each time
     level, met, size = 0, rows, None
     while True:
         first = Window.partitionBy("family", "i", "label").orderBy(F.xxhash64("doc_id", F.lit(-1)), "doc_id")
-        some = _labelled(met, links).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SPOKESMEN).drop("nth")
+        some = _labelled(met, found).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SPOKESMEN).drop("nth")
         several = some.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.max("i").alias("last")).where("x < y AND last > 0")
-        blocks = several.select("family", F.ceil(F.col("n") / block_docs).cast("int").alias("fewer"))
+        # a row a family of several blocks
+        blocks = F.broadcast(several.select("family", F.ceil(F.col("n") / block_docs).cast("int").alias("fewer")))
         level += 1
-        met = settled(some.join(blocks, "family").withColumn("i", _block(F.col("fewer"), level)).drop("fewer"))
-        now = met.count()
-        if now == 0 or size is not None and 2 * now > size:
+        met, seen = counted(some.join(blocks, "family").withColumn("i", _block(F.col("fewer"), level)).drop("fewer"), n=F.count(F.lit(1)))
+        if seen["n"] == 0 or size is not None and 2 * seen["n"] > size:
             break
-        size = now
-        links = settled(links.unionByName(_verified(met, threshold)))
+        size = seen["n"]
+        found = components(_as_links(found).unionByName(_verified(met, threshold)))
 
     # what is not in its family's largest group is compared with all other groups
-    label = settled(_labelled(rows.select("doc_id", "family", "blocks", "i"), links))
+    label = _labelled(rows, found).select("doc_id", "family", "blocks", "i", "label", "shingles")
     groups = label.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     most = groups.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
-    left = most.where("most.n < all").select("family", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block_docs).cast("int").alias("strays"))
-    open_rows = label.join(left, "family").join(large.select("doc_id", "shingles"), "doc_id")
+    left, seen = counted(most.where("most.n < all").select("family", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block_docs).cast("int").alias("strays")), n=F.count(F.lit(1)))
+    if seen["n"] == 0:
+        return _as_links(found)
+    open_rows = label.join(F.broadcast(left), "family")
     home = open_rows.withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("strays") - 1)), "side": F.lit(0)})
     stray = open_rows.where("label <> main").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"j": _block(F.col("strays"), -2), "side": F.lit(1)})
-    return links.unionByName(_verified(home.select(PLACED).unionByName(stray.select(PLACED)), threshold))
+    return _as_links(found).unionByName(_verified(home.select(PLACED).unionByName(stray.select(PLACED)), threshold))
 
 
 def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -423,26 +428,26 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     known = facts.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     # equal sets: each to the smallest id that has it, which alone goes on
-    of_set = settled(known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_key", "least"))
-    of_set = F.broadcast(of_set) if of_set.count() <= MOST_IDS else of_set
+    of_set, seen = counted(known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_key", "least"), n=F.count(F.lit(1)))
+    of_set = F.broadcast(of_set) if seen["n"] <= MOST_IDS else of_set
     equal = known.select("doc_id", "set_key").join(of_set, "set_key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     alone = known.join(of_set, "set_key", "left").where("least IS NULL OR doc_id = least")
 
     slab = alone.select("doc_id", F.explode("keys").alias("key")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
     members = slab.select("doc_id", "key").join(alone.select("doc_id", "n_shingles", "point"), "doc_id")
-    agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold).distinct()
-    families = settled(components(agreed).select(F.col("id").alias("doc_id"), F.col("component").alias("family")))
+    agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold)
+    families = components(agreed).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
 
     # families of one block are compared as they are, larger ones by blocks
-    sized = families.join(alone.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-    crowd = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / (1000 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    placed = settled(families.join(crowd, "family").select("doc_id", "family", "blocks"))
+    sized = alone.select("doc_id", "n_shingles").join(families, "doc_id")
+    crowd = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n_shingles") / (1000 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    placed, seen = counted(families.join(crowd, "family").select("doc_id", "family", "blocks"), small=F.count_if(F.col("blocks") == 1), large=F.count_if(F.col("blocks") > 1))
     named = texts.where("doc_id IS NOT NULL")
-    small = _sets_of(named, placed.where("blocks = 1"), n).withColumns({"i": F.lit(0), "j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
+    small = _sets_of(named, placed.where("blocks = 1"), seen["small"], n).withColumns({"i": F.lit(0), "j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
     links = equal.unionByName(_verified(small, threshold))
-    large = placed.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_links_of_large(stored(_sets_of(named, large, n)), threshold, block_docs))
+    if seen["large"]:
+        large = placed.where("blocks > 1")
+        links = links.unionByName(_links_of_large(stored(_sets_of(named, large, seen["large"], n)), threshold, block_docs))
     found = components(links)
     facts = facts.select("doc_id", "n_shingles")
     return facts.join(found, facts["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

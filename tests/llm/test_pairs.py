@@ -93,6 +93,43 @@ def test_chains_become_one_component(spark):
     assert found == {i: 0 for i in range(41)} | {50: 50, 51: 50}
 
 
+@pytest.mark.parametrize(("links", "held"), [(10**6, 10**6), (10**6, 8), (0, 10**6), (0, 8)])
+def test_components_by_one_task_by_stars_and_in_parts(spark, monkeypatch, links, held):
+    monkeypatch.setattr(components, "MOST_LINKS", links)
+    monkeypatch.setattr(components, "MOST_HELD", held)
+    r = random.Random(5)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)]
+    label = {i: i for p in pairs if p[0] != p[1] for i in p}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    found = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+    assert len(found) == len(label) and {x.id: x.component for x in found} == label
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def stages(spark, run):
+    """Stages that Spark runs or skips for ``run``."""
+    context, group = spark.sparkContext, f"counted-{random.random()}"
+    context.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    return sum(len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup(group))
+
+
+def test_small_tables_of_links_take_few_stages(spark, make, prose):
+    """Each stage deals its rows to as many tasks as the session has partitions, however few the rows are."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert stages(spark, lambda: components.components(links).collect()) <= 4
+    words = prose("near", 100).split()
+    rows = [(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(60)]
+    assert stages(spark, lambda: similar.similar_groups(make(rows), 3, Fraction(9, 10), block_docs=15).collect()) <= 120
+
+
 def brute_substrings(rows, window):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     first = {}
