@@ -1,6 +1,8 @@
 import corpus_pipeline
 from galeframe.llm import registry
 
+from .test_pairs import stages
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -34,5 +36,12 @@ def test_stages_on_nulls_repeats_and_clashing_names(make, prose):
     assert packed.select("doc_id").distinct().count() == 5
 
 
+def test_near_copies_take_few_stages(spark, make, prose):
+    """Shuffles of few rows cost a file for each partition of the session, so their number is what fills the disk."""
+    words = prose("near", 100).split()
+    docs = make([(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(40)])
+    assert stages(spark, lambda: corpus_pipeline.near_copies(spark, docs, SMALL).collect()) <= 80
+
+
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
