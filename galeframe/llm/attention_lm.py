@@ -106,8 +106,8 @@ class Model:
         h, y, order = self._by_path(self._forward(ids)[-1][scored], target[scored])
         total = np.zeros(len(y))
         for level, n in enumerate(self._at_depth(y)):
-            node, side = self.tree.node[level][y[:n]], self.tree.side[level][y[:n]]
-            odds = np.einsum("ij,ij->i", self.head[node], h[:n]) + self.bias[node]
+            node, side = np.take(self.tree.node[level], y[:n]), np.take(self.tree.side[level], y[:n])
+            odds = np.einsum("ij,ij->i", np.take(self.head, node, axis=0), h[:n]) + np.take(self.bias, node)
             # log(1 + exp(x)) of the odds of the side not taken
             odds *= 1 - 2 * side
             total[:n] += np.log(1 + np.exp(np.minimum(odds, _MOST)))
@@ -179,19 +179,21 @@ class Model:
             return
         h, y, order = self._by_path(h3.reshape(-1, WIDTH)[here], target.reshape(-1)[here])
         push = np.zeros_like(h)
-        nodes, errors, contexts = [], [], []
-        for level, n in enumerate(self._at_depth(y)):
-            node, side = self.tree.node[level][y[:n]], self.tree.side[level][y[:n]]
-            u = self.head[node]
-            odds = np.einsum("ij,ij->i", u, h[:n]) + self.bias[node]
-            error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - side
+        depths = self._at_depth(y)
+        # the rows of a node's gradient, its bias last, level after level
+        node = np.empty(depths.sum(), dtype=np.int32)
+        context = np.empty((WIDTH + 1, len(node)), dtype=np.float32)
+        at = 0
+        for level, n in enumerate(depths):
+            part = slice(at, at := at + n)
+            np.take(self.tree.node[level], y[:n], out=node[part], mode="clip")
+            u = np.take(self.head, node[part], axis=0)
+            odds = np.einsum("ij,ij->i", u, h[:n]) + np.take(self.bias, node[part])
+            error = np.subtract(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.take(self.tree.side[level], y[:n]), out=context[WIDTH, part])
             u *= error[:, None]
             push[:n] += u
-            nodes.append(node)
-            errors.append(error)
-            contexts.append((h[:n] * error[:, None]).T)
-        node, error, context = np.concatenate(nodes), np.concatenate(errors), np.concatenate(contexts, axis=1)
-        head_rows, head_touches, dhead = _row_sums(node, np.vstack([context, error]), len(self.head))
+            np.multiply(h[:n].T, error, out=context[:WIDTH, part])
+        head_rows, head_touches, dhead = _row_sums(node, context, len(self.head))
         dh = np.zeros((target.size, WIDTH), np.float32)
         dh[here[order]] = push
         dh3 = dh.reshape(h3.shape)

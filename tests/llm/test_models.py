@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -110,6 +111,18 @@ def test_scores_do_not_depend_on_partitions_and_context_helps(make, prose, monke
     assert sum(found[0][i].score for i in held) > 0.95 * sum(untrained[i] for i in held) and len(held) > 20
 
 
+def test_a_training_step_holds_the_gradients_of_its_paths_once():
+    ids = np.random.default_rng(0).integers(0, 3000, (1024, 16)).astype(np.int32)
+    model = attention_lm.Model.start(np.bincount(ids.ravel(), minlength=3000))
+    seen = model.fresh()
+    model.train(ids, ids, seen)
+    tracemalloc.start()
+    model.train(ids, ids, seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+
+
 def naive_score(model, ids, end):
     """One window, one position and one head row at a time, with an explicit mask."""
     inputs, targets, total = [end, *ids], [*ids, end], 0.0
