@@ -61,41 +61,38 @@ def surface(text):
     return F.trim(F.lower(F.when(named.rlike("[0-9]"), _numbered(named)).otherwise(F.regexp_replace(named, f"[{_GAP}]+", " "))))
 
 
-def _windows(rows: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
-    """(id, row, length, place, literal, key, slots) of every template window of the given lengths; ``literal`` ones hold names as words.
+def _windows(rows: DataFrame, id_col: str, lengths: list[int], wanted: DataFrame | None = None) -> DataFrame:
+    """(id, row, length, place, literal, form, key, slots) of every template window of the given lengths; ``literal`` ones hold names as words.
 
-    No filter stands above the projections: Spark would push it below them and
-    work out the words once more for it.
+    ``form`` is the hash of a window's words whatever the values of its slots.
+    Windows of equal keys have equal forms, so with ``wanted``, a small table of
+    forms, all others go before their slots and keys are worked out. Up to there
+    no function takes a lambda: Spark compiles the loop over the windows.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), surface(F.col("text")).alias("surface"))
-    words = words.withColumn("slotted", F.col("surface").rlike(f"[{MARKS}]"))
-    template = F.when(F.col("slotted"), F.regexp_replace("surface", f"([{MARKS}])[^ ]*", "$1")).otherwise(F.col("surface"))
+    words = rows.select(F.col(id_col).alias("id"), surface(F.col("text")).alias("surface"))
+    slotted = F.col("surface").rlike(f"[{MARKS}]")
+    template = F.when(slotted, F.regexp_replace("surface", f"([{MARKS}])[^ ]*", "$1")).otherwise(F.col("surface"))
     # the same as the template where no name is
     literal = F.when(F.col("surface").contains(NAME), F.split(F.translate(F.regexp_replace("surface", f"([{NUMBER}{UNIT}])[^ ]*", "$1"), NAME, ""), " "))
-    words = words.select("id", "row", "slotted", literal.alias("literal"), F.when(F.col("slotted"), F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
-    parts = []
-    for length in lengths:
-        # with more slots than this a window is joined by its values
-        most = length - min(length, LITERALS)
-        slots = f"filter(slice(surface, at, {length}), w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}')"
-        values = f"filter(slice(surface, at, {length}), w -> substr(w, 1, 1) IN ('{NUMBER}', '{UNIT}'))"
-        plain = f"transform(slice(surface, at, {length}), w -> ltrim('{NAME}', w))"
-        parts.append(
-            f"""CASE WHEN size(template) >= {length} THEN concat(transform(sequence(1, size(template) - {length - 1}), at -> named_struct(
-                'length', {length},
-                'place', at,
-                'literal', false,
-                'key', CASE WHEN slotted AND size({slots}) > {most} THEN xxhash64(slice(surface, at, {length}), {length}, 'values') ELSE xxhash64(slice(template, at, {length}), {length}) END,
-                'slots', CASE WHEN slotted THEN {slots} END)),
-                CASE WHEN literal IS NOT NULL THEN transform(filter(sequence(1, size(template) - {length - 1}), at -> array_contains(slice(template, at, {length}), '{NAME}')), at -> named_struct(
-                'length', {length},
-                'place', at,
-                'literal', true,
-                'key', CASE WHEN size({values}) > {most} THEN xxhash64({plain}, {length}, 'values') ELSE xxhash64(slice(literal, at, {length}), {length}) END,
-                'slots', {values})) ELSE array() END) ELSE array() END"""
-        )
-    windows = F.expr(f"CASE WHEN template[0] <> '' THEN {parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'} END")
-    return words.select("id", "row", F.explode(windows).alias("w")).select("id", "row", "w.length", "w.place", "w.literal", "w.key", "w.slots")
+    # the number of the row stands here so that no filter is pushed below and works out the words once more
+    words = words.select("id", F.monotonically_increasing_id().alias("row"), literal.alias("literals"), F.when(slotted, F.split("surface", " ")).alias("surface"), F.split(template, " ").alias("template"))
+    words = words.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length") if len(lengths) > 1 else F.lit(lengths[0]).alias("length"))
+    # first the places of the template, then as many of the literal words
+    n = "(size(template) - length + 1)"
+    at = F.expr(f"CASE WHEN template[0] <> '' AND {n} > 0 THEN sequence(1, {n} * CASE WHEN literals IS NULL THEN 1 ELSE 2 END) END")
+    windows = words.select("*", F.explode(at).alias("at"))
+    windows = windows.withColumn("form", F.expr(f"CASE WHEN at <= {n} THEN xxhash64(slice(template, at, length), length) ELSE xxhash64(slice(literals, at - {n}, length), length) END"))
+    if wanted is not None:
+        windows = windows.join(F.broadcast(wanted.select("form")), "form", "left_semi")
+    windows = windows.selectExpr("id", "row", "length", f"(at - 1) % {n} + 1 AS place", f"at > {n} AS literal", "form", "template", "surface")
+    windows = windows.selectExpr("id", "row", "length", "place", "literal", "form", "slice(template, place, length) AS template", "slice(surface, place, length) AS surface")
+    windows = windows.where(f"NOT literal OR array_contains(template, '{NAME}')")
+    slots = f"filter(surface, w -> substr(w, 1, 1) BETWEEN '{NUMBER}' AND '{UNIT}' AND NOT (literal AND substr(w, 1, 1) = '{NAME}'))"
+    windows = windows.select("*", F.expr(slots).alias("slots"))
+    # with more slots than this a window is joined by its values
+    most = f"(length - least(length, {LITERALS}))"
+    key = f"CASE WHEN size(slots) > {most} THEN xxhash64(CASE WHEN literal THEN transform(surface, w -> ltrim('{NAME}', w)) ELSE surface END, length, 'values') ELSE form END"
+    return windows.select("id", "row", "length", "place", "literal", "form", F.expr(key).alias("key"), "slots")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
@@ -115,13 +112,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, need
         return docs.select("doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"))
     own_length = items.select(F.col("item_id").alias("id"), F.least(n_words, F.lit(window)).alias("own"))
     of_items = _windows(items, "item_id", sorted(lengths)).join(own_length.distinct(), "id").where("length = own")
-    of_items = settled(of_items.select(F.col("id").alias("item_id"), F.col("literal").alias("item_literal"), "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
+    of_items = settled(of_items.select(F.col("id").alias("item_id"), F.col("literal").alias("item_literal"), "form", "key", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
     # the windows of an item in order; a run is of neighbours
     of_items = settled(of_items.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id").orderBy("item_place"))))
     needs = of_items.groupBy("item_id").agg(F.least(F.max("rank"), F.lit(needed)).alias("need"))
     size = of_items.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("item_slots", "")))).first()
     small = size[0] <= BROADCAST_WINDOWS and (size[1] or 0) <= BROADCAST_BYTES  # else the join shuffles and adaptive execution splits a frequent window
-    of_docs = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", sorted(lengths))
+    of_docs = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", sorted(lengths), of_items if small else None).drop("form")
     met = of_docs.join(F.broadcast(of_items) if small else of_items, "key")
     pairs = F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d"))
     # a window that is met with its names as words needs no values for them

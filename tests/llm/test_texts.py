@@ -326,3 +326,31 @@ def test_leaks_equal_brute_force(spark, make, prose, monkeypatch, broadcast):
     expected = {(d, i) for d, several in words.items() for i, item in of_items.items() if item and any(runs_by_hand(doc, item) for doc in several)}
     found = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(make(rows), items).collect()}
     assert found == expected and len(found) > 20 and not any(d == 100 for d, _ in found)
+
+
+def test_windows_equal_those_made_by_hand_and_unwanted_ones_go_early(spark, make, prose):
+    number, name, unit = decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT
+    rows = [(0, QUESTION), (1, None), (2, ""), (3, "1 kg 2 kg 3 lb"), (4, f"{prose(1, 12)} Ann,5 é5 Berg 7 km"), (5, "a"), (6, QUESTION), (7, prose(2, 40)), (8, "the Ann Berg")]
+    docs, lengths = make(rows), [3, 8]
+    found = [(x.id, x.length, x.place, x.literal, x.key, tuple(x.slots or ())) for x in decontaminate._windows(docs, "doc_id", lengths).collect()]
+    expected = {}
+    for i, s in docs.select("doc_id", decontaminate.surface(F.col("text"))).collect():
+        said = s.split()
+        for length in lengths:
+            for at in range(len(said) - length + 1):
+                part = said[at : at + length]
+                template = [re.sub(f"([{number}-{unit}]).*", r"\1", w) for w in part]
+                slots = [w for w in part if w[0] in number + name + unit]
+                values = [w for w in slots if w[0] != name]
+                most = length - min(length, decontaminate.LITERALS)
+                expected[i, length, at + 1, False] = ("values", *part) if len(slots) > most else tuple(template), tuple(slots)
+                if name in template:
+                    plain = [w.lstrip(name) for w in part]
+                    literal = [re.sub(f"([{number}{unit}]).*", r"\1", w) for w in plain]
+                    expected[i, length, at + 1, True] = ("values", *plain) if len(values) > most else tuple(literal), tuple(values)
+    assert {x[:4]: x[5] for x in found} == {k: slots for k, (_, slots) in expected.items()} and len(found) == len(expected)
+    # keys are equal where what they stand for is
+    assert len({(x[1], x[4]) for x in found}) == len({(k[1], v[0]) for k, v in expected.items()}) == len({(x[1], x[4], expected[x[:4]][0]) for x in found})
+    wanted = decontaminate._windows(docs.where("doc_id = 0"), "doc_id", [8])
+    left = decontaminate._windows(docs, "doc_id", lengths, wanted).collect()
+    assert {x.id for x in left} == {0, 6} and len(left) == 2 * sum(x[0] == 0 and x[1] == 8 for x in found)
