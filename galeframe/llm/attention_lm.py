@@ -25,6 +25,7 @@ RATE = np.float32(0.2)
 SEED = 11
 
 _MOST = np.float32(60)  # exponents beyond are cut, so that sums stay finite
+_CAUSAL = np.tri(CONTEXT, dtype=np.float32)
 
 
 @dataclass
@@ -36,6 +37,11 @@ class Tree:
     side: np.ndarray  # depth x id; 1.0 right, 0.0 left
     odds: np.ndarray  # log odds of the right side, by the counts
 
+    def __post_init__(self):
+        #: place of each id in the order of their paths, longest first
+        self.rank = np.empty(len(self.length), dtype=np.uint16 if len(self.length) <= 1 << 16 else np.int64)
+        self.rank[np.argsort(-self.length, kind="stable")] = np.arange(len(self.length))
+
 
 def huffman(counts: np.ndarray) -> Tree:
     n = len(counts)
@@ -96,34 +102,70 @@ class Model:
         weight = q @ k.transpose(0, 2, 1)
         np.minimum(weight, _MOST, out=weight)
         np.exp(weight, out=weight)
-        weight *= np.tri(c, dtype=np.float32)  # causal mask
-        total = weight.sum(axis=2, keepdims=True)
-        z = (weight @ v) / total
+        weight *= _CAUSAL[:c, :c]
+        # a column of ones beside the values gives the sums of the weights
+        z = weight @ np.concatenate([v, np.ones((b, c, 1), np.float32)], axis=2)
+        total = z[:, :, WIDTH:]
+        z = z[:, :, :WIDTH] / total
         return x, q, k, v, weight, total, z, x + (z.reshape(-1, WIDTH) @ self.out).reshape(x.shape)
 
     def log10(self, ids: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """log10 probability of each target where ``scored``, in order."""
-        h, y, order = self._by_path(self._forward(ids)[-1][scored], target[scored])
-        total = np.zeros(len(y))
-        for level, n in enumerate(self._at_depth(y)):
-            node, side = np.take(self.tree.node[level], y[:n]), np.take(self.tree.side[level], y[:n])
-            odds = np.einsum("ij,ij->i", np.take(self.head, node, axis=0), h[:n]) + np.take(self.bias, node)
+        h, order, first, times, y = self._by_target(self._forward(ids)[-1][scored], target[scored])
+        total = np.zeros(len(order))
+        depths, _, _, across = self._paths(y)
+        at = 0
+        for d in depths:
+            part = slice(at, at := at + d)
+            n = first[d]
             # log(1 + exp(x)) of the odds of the side not taken
-            odds *= 1 - 2 * side
-            total[:n] += np.log(1 + np.exp(np.minimum(odds, _MOST)))
-        out = np.empty(len(y))
+            odds = np.einsum("ij,ij->j", np.repeat(across[:, part], times[:d], axis=1), h[:, :n])
+            np.negative(odds, out=odds)
+            np.exp(np.minimum(odds, _MOST, out=odds), out=odds)
+            odds += 1
+            total[:n] += np.log(odds, out=odds)
+        out = np.empty(len(order))
         out[order] = total * -(1 / np.log(10))
         return out
 
-    def _by_path(self, h: np.ndarray, y: np.ndarray):
-        """Contexts and targets with the longest paths first, and their former places."""
-        order = np.argsort(-self.tree.length[y].astype(np.int16), kind="stable")
-        return h[order], y[order], order
+    def _by_target(self, h: np.ndarray, y: np.ndarray):
+        """Contexts by their targets, the longest paths first.
+
+        Contexts as columns, with a row of ones for the bias; their former
+        places; where each different target's begin, and their number; how many
+        they are; the targets. Equal targets share their paths, so what a path
+        takes is fetched once for all of them.
+        """
+        rank = self.tree.rank[y]
+        order = np.argsort(rank, kind="stable")
+        rank = rank[order]
+        new = np.ones(len(y), dtype=bool)
+        np.not_equal(rank[1:], rank[:-1], out=new[1:])
+        first = np.append(np.flatnonzero(new), len(y))
+        columns = np.ones((WIDTH + 1, len(y)), dtype=np.float32)
+        columns[:WIDTH] = h[order].T
+        return columns, order, first, np.diff(first), y[order[first[:-1]]]
 
-    def _at_depth(self, y: np.ndarray) -> np.ndarray:
-        """How many of the targets, longest paths first, have a node at each depth."""
+    def _paths(self, y: np.ndarray):
+        """The paths of the targets, longest first, level after level.
+
+        How many targets have a node at each depth; the nodes; 1 or -1 for the
+        side taken there; as columns the nodes' vectors and biases times that.
+        """
         n = np.bincount(self.tree.length[y]) if len(y) else np.zeros(1, dtype=np.int64)
-        return len(y) - np.cumsum(n)[:-1]
+        depths = len(y) - np.cumsum(n)[:-1]
+        node, side = np.empty(depths.sum(), dtype=np.int32), np.empty(depths.sum(), dtype=np.float32)
+        at = 0
+        for level, d in enumerate(depths):
+            part = slice(at, at := at + d)
+            np.take(self.tree.node[level], y[:d], out=node[part], mode="clip")
+            np.take(self.tree.side[level], y[:d], out=side[part], mode="clip")
+        side *= 2
+        side -= 1
+        across = np.empty((WIDTH + 1, len(node)), dtype=np.float32)
+        np.multiply(np.take(self.head, node, axis=0).T, side, out=across[:WIDTH])
+        np.multiply(np.take(self.bias, node), side, out=across[WIDTH])
+        return depths, node, side, across
 
     def windows(self, ids: np.ndarray, end: int):
         """(inputs, targets, scored) windows of one text; the end id opens the text and closes it."""
@@ -177,30 +219,35 @@ class Model:
         here = np.flatnonzero(np.ones(target.size, dtype=bool) if scored is None else scored)
         if not len(here):
             return
-        h, y, order = self._by_path(h3.reshape(-1, WIDTH)[here], target.reshape(-1)[here])
-        push = np.zeros_like(h)
-        depths = self._at_depth(y)
-        # the rows of a node's gradient, its bias last, level after level
-        node = np.empty(depths.sum(), dtype=np.int32)
-        context = np.empty((WIDTH + 1, len(node)), dtype=np.float32)
+        h, order, first, times, y = self._by_target(h3.reshape(-1, WIDTH)[here], target.reshape(-1)[here])
+        push = np.zeros((WIDTH, len(here)), dtype=np.float32)
+        depths, nodes, side, taken = self._paths(y)
+        # the gradients of a node from each different target below it, the bias last, level after level
+        sums = np.empty_like(taken)
         at = 0
-        for level, n in enumerate(depths):
-            part = slice(at, at := at + n)
-            np.take(self.tree.node[level], y[:n], out=node[part], mode="clip")
-            u = np.take(self.head, node[part], axis=0)
-            odds = np.einsum("ij,ij->i", u, h[:n]) + np.take(self.bias, node[part])
-            error = np.subtract(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.take(self.tree.side[level], y[:n]), out=context[WIDTH, part])
-            u *= error[:, None]
-            push[:n] += u
-            np.multiply(h[:n].T, error, out=context[:WIDTH, part])
-        head_rows, head_touches, dhead = _row_sums(node, context, len(self.head))
+        for d in depths:
+            part = slice(at, at := at + d)
+            n = first[d]
+            across = np.repeat(taken[:, part], times[:d], axis=1)
+            error = np.einsum("ij,ij->j", across, h[:, :n])
+            np.exp(np.minimum(error, 30, out=error), out=error)
+            error += 1
+            np.reciprocal(error, out=error)
+            across *= error
+            push[:, :n] -= across[:WIDTH]
+            np.multiply(h[:, :n], error, out=across)
+            sums[:, part] = np.add.reduceat(across, first[:d], axis=1)
+        sums *= -side
+        touched = np.concatenate([times[:d] for d in depths]) if len(depths) else nodes
+        head_rows, head_touches, dhead = _row_sums(nodes, sums, len(self.head), touched)
         dh = np.zeros((target.size, WIDTH), np.float32)
-        dh[here[order]] = push
+        dh[here[order]] = push.T
         dh3 = dh.reshape(h3.shape)
         dz = (dh @ self.out.T).reshape(h3.shape)
         da = dz @ v.transpose(0, 2, 1)
         dv = weight.transpose(0, 2, 1) @ dz
-        da -= (da * weight).sum(axis=2, keepdims=True)
+        # the same as the sums of da * weight
+        da -= ((dz * z).reshape(-1, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(*ids.shape, 1)
         da *= weight
         dq = (da @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
         dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)  # q holds the scale
@@ -218,7 +265,7 @@ class Model:
             "head": (head_rows, dhead[:, :WIDTH]),
             "bias": (head_rows, dhead[:, WIDTH]),
         }
-        scale = np.float32(1 / len(y) ** 0.5)
+        scale = np.float32(1 / len(here) ** 0.5)
         for name, (rows, gradient) in gradients.items():
             gradient = gradient * scale
             square = seen[name][rows] + gradient * gradient
@@ -228,8 +275,11 @@ class Model:
         seen["head_touches"][head_rows] += head_touches
 
 
-def _row_sums(row: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows that occur, how often, sums of the columns of ``values`` for each)."""
-    count = np.bincount(row, minlength=n)
+def _row_sums(row: np.ndarray, values: np.ndarray, n: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that occur, how often, sums of the columns of ``values`` for each); a column stands for one occurrence, or for so many ``times``."""
+    count = np.bincount(row, times, n)
     rows = np.flatnonzero(count)
-    return rows, count[rows], np.stack([np.bincount(row, v, n)[rows] for v in values], axis=1).astype(np.float32)
+    place = np.empty(n, dtype=np.int64)
+    place[rows] = np.arange(len(rows))
+    at = place[row]
+    return rows, count[rows], np.stack([np.bincount(at, v, len(rows)) for v in values], axis=1).astype(np.float32)

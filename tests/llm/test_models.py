@@ -123,6 +123,31 @@ def test_a_training_step_holds_the_gradients_of_its_paths_once():
     assert peak < 24e6
 
 
+def test_a_training_step_fetches_the_path_of_equal_targets_once():
+    r = np.random.default_rng(3)
+    ids, target = (np.minimum(r.geometric(0.1, (64, 16)), 79).astype(np.int32) for _ in range(2))
+    scored = r.random(ids.shape) < 0.8
+    model = attention_lm.Model.start(np.bincount(target.ravel(), minlength=80))
+    model.head += r.standard_normal(model.head.shape).astype(np.float32)
+    h, order, first, times, y = model._by_target(model._forward(ids)[-1][scored], target[scored])
+    assert sorted(y) == sorted(set(target[scored])) and times.sum() == len(order) == scored.sum()
+    depths, nodes, side, across = model._paths(y)
+    assert len(nodes) == model.tree.length[y].sum() < model.tree.length[target[scored]].sum() / 5
+    before, seen = model.copy(), model.fresh()
+    model.train(ids, target, seen, scored)
+    # the gradients of the tree one target and one node at a time
+    gradient, touches = np.zeros((len(model.head), attention_lm.WIDTH + 1)), np.zeros(len(model.head))
+    for x, t in zip(before._forward(ids)[-1][scored], target[scored], strict=True):
+        for level in range(model.tree.length[t]):
+            node = model.tree.node[level][t]
+            error = 1 / (1 + math.exp(-(x @ before.head[node] + before.bias[node]))) - model.tree.side[level][t]
+            gradient[node] += error * np.append(x, 1)
+            touches[node] += 1
+    gradient /= scored.sum() ** 0.5
+    assert np.array_equal(seen["head_touches"], touches)
+    assert np.allclose(seen["head"], gradient[:, :-1] ** 2, rtol=1e-2, atol=1e-6) and np.allclose(seen["bias"], gradient[:, -1] ** 2, rtol=1e-2, atol=1e-6)
+
+
 def naive_score(model, ids, end):
     """One window, one position and one head row at a time, with an explicit mask."""
     inputs, targets, total = [end, *ids], [*ids, end], 0.0
