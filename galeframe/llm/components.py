@@ -31,33 +31,34 @@ def reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, ids[root]
 
 
-def _forest(links: DataFrame, roots: bool = False) -> DataFrame:
-    """(id, component): what the links of each task reach, each id once a task; with ``roots`` also of the smallest ids themselves."""
-
-    def run(batches):
-        held, n = [], 0
-
-        def reduced(whole):
-            ids, least = reached(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            told = np.ones(len(ids), dtype=bool) if whole else ids != least
-            return ids[told], least[told]
+def forest(batches, roots: bool = False):
+    """Batches (id, component) of what the links of one task reach, each id once a task; with ``roots`` also of the smallest ids themselves."""
+    held, n = [], 0
+
+    def reduced(whole):
+        ids, least = reached(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        told = np.ones(len(ids), dtype=bool) if whole else ids != least
+        return ids[told], least[told]
+
+    def batch_out(pair):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pair], names=["id", "component"])
+
+    for batch in batches:
+        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))
+        n += batch.num_rows
+        if n > MOST_HELD:
+            held = [reduced(False)]
+            n = len(held[0][0])
+            if n > MOST_HELD // 2 and not roots:  # these links stay as they are, and the task begins anew
+                yield batch_out(held[0])
+                held, n = [], 0
+    if held:
+        yield batch_out(reduced(roots))
 
-        def batch_out(pair):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pair], names=["id", "component"])
 
-        for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))
-            n += batch.num_rows
-            if n > MOST_HELD:
-                held = [reduced(False)]
-                n = len(held[0][0])
-                if n > MOST_HELD // 2 and not roots:  # these links stay as they are, and the task begins anew
-                    yield batch_out(held[0])
-                    held, n = [], 0
-        if held:
-            yield batch_out(reduced(roots))
-
-    return links.mapInArrow(run, "id long, component long")
+def _forest(links: DataFrame, roots: bool = False) -> DataFrame:
+    """(id, component): what the links of each task reach."""
+    return links.mapInArrow(lambda batches: forest(batches, roots), "id long, component long")
 
 
 def _least_neighbour(both: DataFrame) -> DataFrame:
@@ -70,11 +71,13 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", reduced: bool = False) -> DataFrame:
     """(id, component) for every id in ``links``: the smallest id reachable from it.
 
     Every task reduces its own links to one from each id to the smallest that
-    they reach. What is left of them, up to ``MOST_LINKS``, is connected by one
+    they reach. ``reduced`` links come from such tasks already (:func:`forest`):
+    they are not handed to Python again, where a second worker for each task
+    would stay beside the first and hold memory of its own. What is left of them, up to ``MOST_LINKS``, is connected by one
     task. More go through large and small stars in turn: every id hands its
     larger neighbours, then its smaller ones, to the smallest id it knows. Each
     round is two joins on partially aggregated minima; edges of an id with many
@@ -84,7 +87,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nothing; links with a null end are left out.
     """
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges, seen = counted(_forest(whole.select(F.col(a).cast("long"), F.col(b).cast("long"))), n=F.count(F.lit(1)))
+    whole = whole.select(F.col(a).cast("long").alias("id"), F.col(b).cast("long").alias("component"))
+    edges, seen = counted(whole if reduced else _forest(whole), n=F.count(F.lit(1)))
     if seen["n"] <= MOST_LINKS:
         found, seen = counted(_forest(edges.coalesce(1), roots=True), n=F.count(F.lit(1)))
         return F.broadcast(found) if seen["n"] <= MOST_FOUND else found

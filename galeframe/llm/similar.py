@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from . import words
 from .common import MOST_IDS, counted, small_batches, stored, without_keys
-from .components import components
+from .components import components, forest
 
 #: Coordinates of a point, at least, and the mean count in a coordinate, at most.
 GROUPS = 64
@@ -260,7 +260,7 @@ def near_pairs(points: np.ndarray, sizes: np.ndarray, rate: Fraction) -> list[tu
 
 
 def _near(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): documents of a slab that the bound connects; rows of a slab stand together."""
+    """(a, b): documents of a slab that the bound connects, reduced by task; rows of a slab stand together."""
     rate = threshold / (1 + threshold)
 
     def run(batches):
@@ -301,7 +301,7 @@ def _near(members: DataFrame, threshold: Fraction) -> DataFrame:
         finish()
         yield batch_out()
 
-    return members.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long")
+    return members.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lambda batches: forest(run(batches)), "id long, component long").toDF("a", "b")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -323,7 +323,7 @@ PLACED = ["family", "i", "j", "side", "doc_id", "label", "shingles"]
 
 
 def _verified(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): links within each (family, i, j); where j is not -1, only those of side 1 with side 0."""
+    """(a, b): links within each (family, i, j), reduced by task; where j is not -1, only those of side 1 with side 0."""
 
     def run(batches):
         key, ids, sides, labels, sets, out = None, [], [], [], [], []
@@ -353,7 +353,7 @@ def _verified(rows: DataFrame, threshold: Fraction) -> DataFrame:
         yield batch_out()
 
     together = rows.select(PLACED).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "doc_id")
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(lambda batches: forest(run(batches)), "id long, component long").toDF("a", "b")
 
 
 def _sets_of(texts: DataFrame, placed: DataFrame, size: int, n: int) -> DataFrame:
@@ -380,7 +380,7 @@ def _links_of_large(large: DataFrame, threshold: Fraction, block_docs: int) -> D
     """Links of families of several blocks: (doc_id, family, blocks, shingles) rows of whole families."""
     # each block within itself
     rows = large.withColumn("i", _block(F.col("blocks"))).withColumns({"j": F.lit(-1), "side": F.lit(0), "label": F.col("doc_id")})
-    found = components(_verified(rows, threshold))
+    found = components(_verified(rows, threshold), reduced=True)
 
     # a few documents of every block and group meet in new blocks, fewer each time
     level, met, size = 0, rows, None
@@ -395,7 +395,7 @@ def _links_of_large(large: DataFrame, threshold: Fraction, block_docs: int) -> D
         if seen["n"] == 0 or size is not None and 2 * seen["n"] > size:
             break
         size = seen["n"]
-        found = components(_as_links(found).unionByName(_verified(met, threshold)))
+        found = components(_as_links(found).unionByName(_verified(met, threshold)), reduced=True)
 
     # what is not in its family's largest group is compared with all other groups
     label = _labelled(rows, found).select("doc_id", "family", "blocks", "i", "label", "shingles")
@@ -436,7 +436,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     slab = alone.select("doc_id", F.explode("keys").alias("key")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
     members = slab.select("doc_id", "key").join(alone.select("doc_id", "n_shingles", "point"), "doc_id")
     agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold)
-    families = components(agreed).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    families = components(agreed, reduced=True).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
 
     # families of one block are compared as they are, larger ones by blocks
     sized = alone.select("doc_id", "n_shingles").join(families, "doc_id")
@@ -448,7 +448,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     if seen["large"]:
         large = placed.where("blocks > 1")
         links = links.unionByName(_links_of_large(stored(_sets_of(named, large, seen["large"], n)), threshold, block_docs))
-    found = components(links)
+    found = components(links, reduced=True)
     facts = facts.select("doc_id", "n_shingles")
     return facts.join(found, facts["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

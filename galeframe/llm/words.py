@@ -36,8 +36,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_UP = _powers(_BASE, CHUNK * 2 + 2)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), CHUNK * 2 + 2)
+_UP = _powers(_BASE, CHUNK + 2)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from galeframe.llm import components, similar, substrings
+from galeframe.llm import common, components, similar, substrings
 
 
 def shingles(text, n):
@@ -130,6 +130,23 @@ def test_small_tables_of_links_take_few_stages(spark, make, prose):
     assert stages(spark, lambda: similar.similar_groups(make(rows), 3, Fraction(9, 10), block_docs=15).collect()) <= 120
 
 
+def test_no_task_of_the_join_has_two_python_workers(make, prose, monkeypatch):
+    """Workers stay with their executor when their task is done, so a task of two would double what Python holds there."""
+    plans = []
+
+    def counted(df, **aggregates):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.counted(df, **aggregates)
+
+    monkeypatch.setattr(components, "counted", counted)
+    words = prose("near", 100).split()
+    rows = [(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(60)] + [(60, " ".join(words))] * 2
+    found = similar.similar_groups(make(rows), 3, Fraction(9, 10), block_docs=15).collect()
+    assert {r.component_id for r in found} == {0}
+    assert any("MapInArrow" in plan for plan in plans)
+    assert not any(re.search(r"MapInArrow(?:(?!Exchange|Scan)[\s\S])*MapInArrow", plan) for plan in plans)
+
+
 def brute_substrings(rows, window):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     first = {}
