@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 ACCURACY = 10_000
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], few_groups: bool = True) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float] | tuple[str, float, str]], few_groups: bool = True) -> DataFrame:
     """The keys and, by name, the percentile of a column (column, share) with linear interpolation.
 
     Between equal values it is that value to the last bit, so that rows compare
-    with it as with themselves. Missing values count for nothing; a group without
+    with it as with themselves. Between two values a bit apart, interpolation can
+    only round to one of them: which rows lie above a percentile is told by the
+    value on its lower side, and which lie below it by the one on its upper side,
+    asked for as (column, share, "floor") and (column, share, "ceil"). Missing values count for nothing; a group without
     values has NULL. One pass
     draws a mergeable sketch of each group, which brackets every percentile from
     both sides. A second one counts, by task, how many rows lie where with respect
@@ -27,9 +30,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     sorts all its rows in one task. With millions of groups, which are small then,
     turn ``few_groups`` off.
     """
-    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    names, of = list(wanted), [columns.index(c) for c, _ in wanted.values()]
-    shares = [float(share) for _, share in wanted.values()]
+    columns = list(dict.fromkeys(c for c, *_ in wanted.values()))
+    names, of = list(wanted), [columns.index(c) for c, *_ in wanted.values()]
+    shares = [float(share) for _, share, *_ in wanted.values()]
     margin = 3 / ACCURACY
     rows = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)))
     by = [f"__k{i}" for i in range(len(keys))]
@@ -65,8 +68,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     ends = [F.expr(f"max(CASE WHEN which = {k} THEN struct(total, place) END)").alias(f"of{k}") for k in range(len(names))]
     ends += [F.expr(f"max(CASE WHEN which = {k} THEN `{side}` END)").alias(f"{side}{k}") for k in range(len(names)) for side in ("floor", "ceil")]
     found = ranked.groupBy(*by).agg(*ends)
-    between = "CASE WHEN of{k}.total > 0 AND (floor{k} IS NULL OR ceil{k} IS NULL) THEN raise_error('a bracket misses its rank') WHEN floor{k} = ceil{k} THEN floor{k} ELSE floor{k} + (of{k}.place - floor(of{k}.place)) * (ceil{k} - floor{k}) END"
-    return found.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), *(F.expr(between.format(k=k)).alias(name) for k, name in enumerate(names)))
+    between = "WHEN floor{k} = ceil{k} THEN floor{k} ELSE floor{k} + (of{k}.place - floor(of{k}.place)) * (ceil{k} - floor{k})"
+    told = "CASE WHEN of{k}.total > 0 AND (floor{k} IS NULL OR ceil{k} IS NULL) THEN raise_error('a bracket misses its rank') {value} END"
+    values = [f"ELSE {side[0]}{k}" if side else between.format(k=k) for k, (_, _, *side) in enumerate(wanted.values())]
+    return found.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), *(F.expr(told.format(k=k, value=values[k])).alias(name) for k, name in enumerate(names)))
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

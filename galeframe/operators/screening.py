@@ -45,23 +45,26 @@ def screen(df: DataFrame, rules: Rules, key: str = "site", ts: str = "ts", capac
     """``df`` with the flags of each rule and ``is_extreme``, their union. Missing values break no rule.
 
     Needs power; wind and temperature only as far as the table has them. The
-    thresholds are one row a site, and broadcast. ``ties`` orders rows of a site
-    and time, without which their ramps are left to chance.
+    thresholds are one row a site, and broadcast. A row lies above a percentile
+    where it lies above the value next below it, and below one where it lies
+    below the value next above it: ramps differ by rounding alone, and an
+    interpolated value between two such is one of them. ``ties`` orders rows of a
+    site and time, without which their ramps are left to chance.
     """
     rows = ramp(df, "power", [key], [ts, *ties])
     has = set(df.columns)
-    wanted = {"__q_power": ("power", rules.stat_q / 100)}
+    wanted = {"__q_power": ("power", rules.stat_q / 100, "floor")}
     fixed_limits = {}
     if "wind" in has:
-        wanted["__q_wind"] = ("wind", rules.stat_q / 100)
+        wanted["__q_wind"] = ("wind", rules.stat_q / 100, "floor")
     if rules.ramp_q is not None:
-        wanted["__q_ramp"] = ("ramp", rules.ramp_q / 100)
+        wanted["__q_ramp"] = ("ramp", rules.ramp_q / 100, "floor")
     if "temperature" in has:
-        for name, q, fixed in (("__t_low", rules.temp_q_low, rules.temp_low), ("__t_high", rules.temp_q_high, rules.temp_high)):
+        for name, q, fixed, side in (("__t_low", rules.temp_q_low, rules.temp_low, "ceil"), ("__t_high", rules.temp_q_high, rules.temp_high, "floor")):
             if q is None:
                 fixed_limits[name] = F.lit(fixed)
             else:
-                wanted[name] = ("temperature", q / 100)
+                wanted[name] = ("temperature", q / 100, side)
     rows = rows.join(F.broadcast(exact_percentiles(rows, [key], wanted).withColumns(fixed_limits)), key)
     none = F.lit(False)
     wind_high = _above(F.col("wind"), F.col("__q_wind")) if "wind" in has else none

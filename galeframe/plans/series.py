@@ -199,7 +199,14 @@ def label_budgets(spark, sf_dir):
 # --- screening
 
 _RAMP_SQL = "abs(power - coalesce(lag(power) OVER (PARTITION BY site ORDER BY ts, raw_row), power))"
-_SCREEN_SQL = f"""WITH {SERIES_SQL}, x AS (SELECT *, {_RAMP_SQL} AS ramp FROM series), t AS (SELECT site, quantile_cont(power, 0.95) AS qp, quantile_cont(wind, 0.95) AS qw, quantile_cont(ramp, 0.9) AS qr FROM x GROUP BY site),
+
+
+def _next_below(value, share):
+    """The value on the lower side of a percentile: a row lies above the one where it lies above the other, however interpolation would round."""
+    return f"(list({value} ORDER BY {value}) FILTER ({value} IS NOT NULL))[1 + CAST(floor({share}::DOUBLE * (count({value}) - 1)) AS BIGINT)]"
+
+
+_SCREEN_SQL = f"""WITH {SERIES_SQL}, x AS (SELECT *, {_RAMP_SQL} AS ramp FROM series), t AS (SELECT site, {_next_below("power", 0.95)} AS qp, {_next_below("wind", 0.95)} AS qw, {_next_below("ramp", 0.9)} AS qr FROM x GROUP BY site),
     f AS (SELECT x.*, coalesce(wind > qw, false) OR coalesce(power > qp, false) AS is_stat, coalesce(ramp > qr, false) AS is_ramp, coalesce(wind > 97, false) AS is_cut_out FROM x JOIN t USING (site))"""
 
 
