@@ -81,6 +81,7 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
+@functools.cache
 def band_top(band: int) -> int:
     """The largest set size of a band."""
     n = int(BAND ** (band + 1)) + 2
@@ -89,6 +90,7 @@ def band_top(band: int) -> int:
     return n
 
 
+@functools.cache
 def slab_plan(band: int, threshold: Fraction) -> tuple[int, int]:
     """(slabs, most differing shingles) of a band.
 
@@ -102,25 +104,38 @@ def slab_plan(band: int, threshold: Fraction) -> tuple[int, int]:
 
 def slab_keys(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Keys of a set's slabs, in its own band and in every higher one that a similar set may be in."""
+    return spared_keys(shingles, threshold)[0]
+
+
+def spared_keys(shingles: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, list[int]]:
+    """The keys of :func:`slab_keys`, and of each band from the lowest how many of them may go.
+
+    A set of n shingles and one like it differ in at most (n + m)(1 - t) / (1 + t)
+    shingles, m being the largest size of those like it in the band, and share all
+    other slabs. Without slabs that are empty here they still share one key more
+    than may go.
+    """
     n = len(shingles)
     lowest, highest = _band(np.array([n, int(n / threshold)])).tolist()
-    bands = range(lowest, highest + 1)
     mixed = words.mix(shingles ^ np.uint64(0x5AB5))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
     high = shingles >> np.uint64(32)
-    out = []
-    for level in bands:
-        slabs, differ = slab_plan(level, threshold)
+    out, spare = [], []
+    for level in range(lowest, highest + 1):
+        slabs, _ = slab_plan(level, threshold)
         slab = (high * np.uint64(slabs)) >> np.uint64(32)  # rises with the sorted shingles
         edges = np.searchsorted(slab, np.arange(slabs + 1).astype(np.uint64))
         number = np.arange(slabs)
         held = edges[1:] > edges[:-1]
-        if slabs - held.sum() < slabs - differ:  # fewer empty slabs than agreeing ones
+        differ = int((n + min(band_top(level), int(n / threshold))) * (1 - threshold) / (1 + threshold))
+        may_go = int(held.sum()) - differ - 1
+        if may_go >= 0:  # fewer empty slabs than agreeing ones
             number = number[held]
+        spare.append(max(0, may_go))
         total = sums[edges[number + 1]] - sums[edges[number]]
         key = words.mix(total ^ words.mix(number.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(level + 1)))
         out.append((key & ~np.uint64((1 << BAND_BITS) - 1)) | np.uint64(level))
-    return np.concatenate(out)
+    return np.concatenate(out), spare
 
 
 @functools.cache
@@ -150,7 +165,7 @@ def _whole(shingles: np.ndarray) -> np.uint64:
 
 
 def _facts(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, set_key, point, keys): the size of each set, a hash of it, its point with counts of 255 for more, and its slabs."""
+    """(doc_id, n_shingles, set_key, point, keys, lowest, spare): the size of each set, a hash of it, its point with counts of 255 for more, its slabs, and from its lowest band how many of them may go."""
 
     def run(batches):
         for batch in batches:
@@ -158,17 +173,39 @@ def _facts(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             key = np.zeros(batch.num_rows, dtype=np.uint64)
             points = [b""] * batch.num_rows
             keys = [np.zeros(0, np.int64)] * batch.num_rows
+            lowest, spare = np.zeros(batch.num_rows, dtype=np.int32), [[]] * batch.num_rows
             for row, s in shingle_sets(batch.column(1), n):
                 size[row], key[row] = len(s), _whole(s)
                 groups = coordinates(int(_band(np.array([len(s) / threshold]).astype(float))[0]))
                 points[row] = np.minimum(count_vector(s, groups), 255).astype(np.uint8).tobytes()
                 if len(s):
-                    keys[row] = slab_keys(s, threshold).view(np.int64)
+                    found, spare[row] = spared_keys(s, threshold)
+                    keys[row], lowest[row] = found.view(np.int64), _band(np.array([len(s)]))[0]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key.view(np.int64)), pa.array(points, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "point", "keys"])
+            columns = [batch.column(0), pa.array(size), pa.array(key.view(np.int64)), pa.array(points, pa.binary()), lists, pa.array(lowest), pa.array(spare, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "point", "keys", "lowest", "spare"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, point binary, keys array<long>, lowest int, spare array<int>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, point binary, keys array<long>")
+def _members(alone: DataFrame) -> DataFrame:
+    """(key, doc_id, n_shingles, point): the documents that stand together, where each has given up as many of its most shared slabs as it may.
+
+    Two similar documents share more slabs than either gives up. All give up
+    slabs in one order, so the rarest they share stays with both. Slabs of the
+    same documents stand together once, which for near copies is nearly all.
+    """
+    of_slab = Window.partitionBy("key")
+    told = {"m": F.count(F.lit(1)), "x": F.min("doc_id"), "y": F.max("doc_id"), "z": F.bit_xor("doc_id")}  # of the id itself: nothing else is shuffled
+    slabs = alone.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key", *(value.over(of_slab).alias(name) for name, value in told.items())).where("m > 1")
+    band = (1 << BAND_BITS) - 1
+    slabs = slabs.select("doc_id", F.expr(f"xxhash64(m, x, y, z) & ~{band}L | key & {band}L").alias("key"), "m").repartition("doc_id")
+    times = slabs.groupBy("doc_id", "key", "m").agg(F.count(F.lit(1)).alias("times"))
+    of_doc = Window.partitionBy("doc_id", "band").orderBy(F.desc("m"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    times = times.join(alone.select("doc_id", "lowest", "spare"), "doc_id").withColumn("band", F.expr(f"CAST(key & {band}L AS INT)"))
+    kept = times.withColumn("gone", F.sum("times").over(of_doc)).where("gone > get(spare, band - lowest)").select("doc_id", "key")
+    return kept.join(alone.select("doc_id", "n_shingles", "point"), "doc_id").select("key", "doc_id", "n_shingles", "point")
 
 
 # --- the R-tree of one block or pair of blocks
@@ -433,9 +470,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8
     equal = known.select("doc_id", "set_key").join(of_set, "set_key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     alone = known.join(of_set, "set_key", "left").where("least IS NULL OR doc_id = least")
 
-    slab = alone.select("doc_id", F.explode("keys").alias("key")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
-    members = slab.select("doc_id", "key").join(alone.select("doc_id", "n_shingles", "point"), "doc_id")
-    agreed = _near(members.select("key", "doc_id", "n_shingles", "point"), threshold)
+    agreed = _near(_members(alone), threshold)
     families = components(agreed, reduced=True).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
 
     # families of one block are compared as they are, larger ones by blocks

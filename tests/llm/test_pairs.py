@@ -180,3 +180,48 @@ def test_substrings_with_null_and_equal_ids(make, prose):
     found = substrings.remove_repeats(make([(None, text), (1, text), (1, text), (2, text)]), window=12, seed=4).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in found) == [(-1, 0), (1, 0), (1, 0), (2, 20)]
     assert substrings.remove_repeats(make([(1, "a")]).limit(0)).count() == 0
+
+
+def test_similar_sets_still_share_a_slab_when_each_gives_up_what_it_may():
+    """Whatever order decides which slabs go, one that both keep is left."""
+    rng = np.random.default_rng(5)
+    gave = 0
+    for threshold in (Fraction(8, 10), Fraction(9, 10)):
+        for size in [*range(1, 60), 90, 150, 225, 226, 340, 700]:
+            for _ in range(4):
+                whole = np.unique(rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+                both = int(rng.integers(0, size + 1))  # shingles of the first set that the second lacks, and the other way round
+                most = int(2 * size * (1 - threshold) / (1 + threshold))
+                lacks = min(both, most)
+                adds = int(rng.integers(0, most - lacks + 1))
+                other = np.unique(np.concatenate([rng.permutation(whole)[lacks:], rng.integers(0, 1 << 63, adds, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+                shared = len(np.intersect1d(whole, other))
+                if not len(other) or shared < threshold * (len(whole) + len(other) - shared):
+                    continue
+                salt = np.uint64(rng.integers(0, 1 << 62))
+                kept = []
+                for shingles in (whole, other):
+                    keys, spare = similar.spared_keys(shingles, threshold)
+                    band, lowest = keys & np.uint64(63), similar._band(np.array([len(shingles)]))[0]
+                    left = []
+                    for k, n in enumerate(spare):
+                        mine = keys[band == np.uint64(lowest + k)]
+                        left.append(mine[np.argsort(mine ^ salt)][n:])
+                        gave += n
+                    kept.append(np.concatenate(left))
+                assert np.intersect1d(*kept).size, (threshold, len(whole), len(other), shared)
+    assert gave > 1000
+
+
+def test_documents_stand_together_once_for_all_slabs_they_share(spark, make, monkeypatch):
+    """Two near copies share hundreds of slabs, and a line that all documents have makes slabs of many; neither is dealt slab by slab."""
+    rng = np.random.default_rng(11)
+    line = "all rights reserved no part of this text may be copied without the leave of its owner"
+    texts = [f"{line} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 500)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(100 + k, t + " more") for k, t in enumerate(texts)]
+    dealt = []
+    near = similar._near
+    monkeypatch.setattr(similar, "_near", lambda members, threshold: dealt.append(members.count()) or near(members, threshold))
+    found = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(make(rows), 5, Fraction(8, 10)).collect()}
+    assert found == {k: k % 100 for k, _ in rows}
+    assert dealt[0] <= 8 * len(rows), dealt
